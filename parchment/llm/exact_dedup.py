@@ -18,6 +18,13 @@ from .store import Workspace, shared_dir
 #: Deleted before texts are compared: these six characters.
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
+#: Settings of the stream: state on disk, memory shared by all stores of an executor, no space set aside for empty files.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
 
 def normalised(text: Column) -> Column:
     """The text without white space of ASCII; null counts as empty."""
@@ -43,12 +50,9 @@ def learn_state(spark: SparkSession, path: str, state: str) -> DataFrame:
     ``state`` is the stream's checkpoint folder. A later call with the same folder reads only new files and adds to the
     state, which never expires. Columns: digest, doc_id, n_code_points, locator, group_size.
     """
-    keep = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(keep, None)
-    spark.conf.set(keep, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    bounded = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
-    before_bounded = spark.conf.get(bounded, None)
-    spark.conf.set(bounded, "true")
+    before = {name: spark.conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():
+        spark.conf.set(name, value)
     try:
         schema = spark.read.parquet(path).select("doc_id", "text").schema
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100_000).parquet(_as_glob(path))
@@ -64,7 +68,7 @@ def learn_state(spark: SparkSession, path: str, state: str) -> DataFrame:
         query = state_rows.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        for name, value in ((keep, before), (bounded, before_bounded)):
+        for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     stored = spark.read.format("statestore").load(state)
     best, size = (f"value.`{c}`" for c in stored.schema["value"].dataType.names)
@@ -94,8 +98,8 @@ def exact_dedup(spark: SparkSession, path: str) -> DataFrame:
         # the full bytes of every hit against those of the row that stays
         hits = state.where("group_size > 1").select(F.col("doc_id").alias("keep_id"), "digest")
         texts = rows.select("doc_id", normalised(F.col("text")).alias("body")).withColumn("digest", F.sha2(F.col("body").cast("binary"), 256))
-        stays = texts.join(hits.withColumnRenamed("keep_id", "doc_id"), ["doc_id", "digest"], "left_semi").groupBy("digest").agg(F.min("body").alias("keep_body"))
-        odd = ws.table(texts.join(stays, "digest").where(~F.col("body").eqNullSafe(F.col("keep_body"))).select("digest").distinct(), "odd")
+        one = texts.join(hits.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+        odd = ws.table(one.where("low != high").select("digest"), "odd")
         plain = grouped.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))).alias("kept"), F.col("digest").alias("text_sha256"))
         if odd.isEmpty():
             return ws.result(plain)
