@@ -4,8 +4,9 @@ Each document is posted under its (coordinate, value) pairs. Two documents whose
 agree on a coordinate with probability s, so links are sought among pairs that collide on at least ``matches`` of ``coordinates``
 (a T-occurrence join): values that one class alone has cannot collide and are skipped; a document with k shared values needs
 ``matches`` of them, so only its k - matches + 1 rarest are posted as a prefix. Lists of the prefix are merged by stars around
-one pivot each, in rounds, and pairs are emitted within lists only for what the stars leave apart, in blocks, with their
-collisions counted on whole signatures. Every link is confirmed on the full shingle sets of the texts.
+one pivot each, in rounds. What the stars leave apart within a list meets in blocks of bounded size, where collisions are counted on
+whole signatures and only a spanning forest of the links is emitted, never all pairs. Every link is confirmed on full shingle
+sets: of the texts in the rounds, of 64-bit shingle hashes in the blocks.
 
 With 64 coordinates and 36 matches a pair of similarity 0.8 exactly is missed with probability 3e-6; documents with equal
 shingle sets are one class from the start, by digest.
@@ -28,7 +29,7 @@ COORDINATES = 64
 MATCHES = 36
 #: Rows of a list that meet in one block when pairs of a list are compared.
 BLOCK = 256
-ROUNDS = 2
+ROUNDS = 3
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], size: int, coordinates: int) -> Iterator[pa.RecordBatch]:
@@ -101,22 +102,72 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], names=["u", "v"])
 
 
-def _block_pairs(key: tuple, table: pa.Table, coordinates: int, matches: int, percent: int) -> pa.Table:
-    """Pairs of one block of a list, of different components, that collide often enough; never more than BLOCK^2 at a time."""
+def _hashed_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(class_id, set): the shingle hashes of each text, sorted."""
+    for batch in batches:
+        for low, high, data, offsets in tx.slices(batch.column("text")):
+            starts, ends, at = tx.words(data, offsets)
+            sh, pos = tx.shingles(tx.hashes(data, starts, ends), at, size)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class_id").slice(low, high - low), pa.array([sh[a:b].tobytes() for a, b in zip(pos[:-1], pos[1:], strict=True)], pa.binary())], names=["class_id", "set"]
+            )
+
+
+def _intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists, by products of 0/1 matrices over ``width`` shared members at a time."""
+    members = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    values, column, count = np.unique(members, return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    use = count[column] > 1
+    column, owner = place[column[use]], owner[use]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (low, low + width))
+        dense = np.zeros((len(left) + len(right), width), np.float32)
+        dense[owner[a:b], column[a:b] - low] = 1
+        out += dense[: len(left)] @ dense[len(left) :].T
+    return out
+
+
+def _block_links(key: tuple, table: pa.Table, coordinates: int, matches: int, percent: int) -> pa.Table:
+    """Links of one pair of blocks of a list between different components: a spanning forest of them, at most a row for each document."""
     table = table.combine_chunks()
     left, right = key[1].as_py(), key[2].as_py()
     ids, comp, n, block = (table.column(c).to_numpy() for c in ("class_id", "component", "n_shingles", "block"))
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(-1, coordinates)
-    us, vs = [], []
     rows, others = np.flatnonzero(block == left), np.flatnonzero(block == right)
-    for i in rows:
-        with_ = others[(comp[others] != comp[i]) & ((ids[others] > ids[i]) | (left != right))]
-        with_ = with_[np.minimum(n[with_], n[i]) * 100 >= percent * np.maximum(n[with_], n[i])]
-        hit = with_[(sig[with_] == sig[i]).sum(1) >= matches]
-        us.append(np.minimum(ids[hit], ids[i]))
-        vs.append(np.maximum(ids[hit], ids[i]))
-    empty = [np.zeros(0, np.int64)]
-    return pa.table({"u": np.concatenate(us + empty), "v": np.concatenate(vs + empty)}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    wanted = np.zeros((len(rows), len(others)), bool)
+    for k, i in enumerate(rows):
+        may = (comp[others] != comp[i]) & (np.minimum(n[others], n[i]) * 100 >= percent * np.maximum(n[others], n[i]))
+        if left == right:
+            may &= ids[others] > ids[i]
+        at = np.flatnonzero(may)
+        wanted[k, at] = (sig[others[at]] == sig[i]).sum(1) >= matches
+    us, vs = [], []
+    if wanted.any():
+        rows, others, wanted = rows[wanted.any(1)], others[wanted.any(0)], wanted[wanted.any(1)][:, wanted.any(0)]
+        sets = table.column("set")
+        of = lambda at: [np.frombuffer(sets[int(i)].as_py(), np.uint64) for i in at]
+        both = _intersections(of(rows), of(others))
+        linked = wanted & (100 * both >= percent * (n[rows][:, None] + n[others][None, :] - both))
+        root = {c: c for c in comp.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+            a, b = find(int(comp[rows[i]])), find(int(comp[others[j]]))
+            if a != b:
+                root[a] = b
+                us.append(int(ids[rows[i]]))
+                vs.append(int(ids[others[j]]))
+    return pa.table({"u": us, "v": vs}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
@@ -143,44 +194,51 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: i
         shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
         posted = tokens.join(shared.hint("merge"), "token")
         # the prefix: a document with k shared values is found by its k - matches + 1 rarest
-        lists = posted.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("t")).where(F.size("t") >= matches)
-        prefix = ws.table(lists.select("class_id", F.explode(F.slice("t", 1, F.size("t") - (matches - 1))).alias("x")).select("class_id", "x.token"), "prefix")
+        lists = posted.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("t"), F.sum("f").alias("central")).where(F.size("t") >= matches)
+        prefix = ws.table(lists.select("class_id", "central", F.explode(F.slice("t", 1, F.size("t") - (matches - 1))).alias("x")).select("class_id", "central", "x.token"), "prefix")
+        # the texts that may have a link at all, moved once
+        texts = ws.table(given.join(prefix.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
         links = ws.table(member, "links")
         tried = None
         for round_ in range(ROUNDS):
-            comp = components(links, ws) if round_ else None
-            at = prefix if comp is None else prefix.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-            pivot = at.groupBy("token").agg(
-                F.min_by("class_id", F.xxhash64("class_id", F.lit(round_)) if round_ else F.col("class_id")).alias("u"),
-                *([F.min_by("component", F.xxhash64("class_id", F.lit(round_))).alias("cu"), F.count_distinct("component").alias("k")] if round_ else [F.count(F.lit(1)).alias("k")]),
-            ).where("k > 1")
-            pairs = at.join(pivot.hint("merge"), "token").where("class_id != u" if comp is None else "component != cu")
-            pairs = pairs.select(F.least("u", "class_id").alias("u"), F.greatest("u", "class_id").alias("v")).distinct()
+            # the most central document of a list (by how often its values occur) is what the others are likeliest linked to;
+            # later rounds take the most central one outside the component of that
+            rank = F.struct("central", F.xxhash64("class_id", F.lit(round_)))
+            at = prefix.withColumn("component", F.col("class_id")) if not round_ else _labelled(prefix, components(links, ws))
+            pivot = at.groupBy("token").agg(F.max_by(F.struct("class_id", "component"), rank).alias("p"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2")
+            if round_:
+                others = at.join(pivot.select("token", F.col("p.component").alias("main")).hint("merge"), "token").where("component != main")
+                pivot = others.groupBy("token").agg(F.max_by(F.struct("class_id", "component"), rank).alias("p"))
+            pairs = at.join(pivot.select("token", "p").hint("merge"), "token").where("component != p.component")
+            pairs = pairs.select(F.least("p.class_id", "class_id").alias("u"), F.greatest("p.class_id", "class_id").alias("v")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried.hint("merge"), ["u", "v"], "left_anti")
             pairs = ws.table(pairs, "pairs")
             tried = pairs if tried is None else tried.unionByName(pairs)
-            links = ws.table(links.unionByName(_confirmed(pairs, given, classes, base, size, percent)), "links")
+            links = ws.table(links.unionByName(_confirmed(pairs, texts, classes, size, percent)), "links")
         # what is still apart within a list: in blocks, with collisions counted on the signatures
-        comp = components(links, ws)
-        at = prefix.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+        at = _labelled(prefix, components(links, ws))
         apart = at.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2 and f > 2").select("token", F.ceil(F.col("f") / block).cast("int").alias("g"))
-        rest = at.join(apart.hint("merge"), "token").join(classes.select("class_id", "n_shingles", "sig"), "class_id")
+        sets = texts.select(F.col("doc_id").alias("class_id"), "text").mapInArrow(lambda it: _hashed_sets(it, size), "class_id long, set binary")
+        rest = at.join(apart.hint("merge"), "token")
+        needed = sets.join(rest.select("class_id").distinct(), "class_id", "left_semi").join(classes.select("class_id", "n_shingles", "sig"), "class_id").where(F.length("set") == 8 * F.col("n_shingles"))
+        rest = rest.join(needed, "class_id")
         rest = rest.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("g").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        rest = rest.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "class_id", "component", "n_shingles", "block", "sig")
-        found = rest.groupBy("token", "left", "right").applyInArrow(lambda k, t: _block_pairs(k, t, coordinates, matches, percent), "u long, v long").distinct()
-        found = ws.table(found.join(tried.hint("merge"), ["u", "v"], "left_anti"), "pairs")
-        links = ws.table(links.unionByName(_confirmed(found, given, classes, base, size, percent)), "links")
+        rest = rest.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "class_id", "component", "n_shingles", "block", "sig", "set")
+        found = rest.groupBy("token", "left", "right").applyInArrow(lambda k, t: _block_links(k, t, coordinates, matches, percent), "u long, v long").distinct()
+        links = ws.table(links.unionByName(found), "links")
         comp = components(links, ws)
         out = base.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
         return ws.result(out)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs of classes whose texts meet the threshold; only texts of classes in a pair are moved."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
+def _labelled(prefix: DataFrame, component: DataFrame) -> DataFrame:
+    return prefix.join(component.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs of classes whose texts meet the threshold."""
     left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
     right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
     sizes = classes.select(F.col("class_id").alias("u"), F.col("n_shingles").alias("nu"))
