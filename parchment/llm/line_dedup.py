@@ -14,6 +14,8 @@ from .store import Workspace, lower_ascii
 
 #: Characters stripped at both ends of a line for its key.
 EDGE = " \t\n\x0b\x0c\r"
+#: Columns of the result; those of the same names in the input give way.
+ADDED = ("kept_text", "n_lines", "n_dropped")
 
 
 def line_key(line: Column) -> Column:
@@ -87,14 +89,14 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: i
         rows, gone = dropped_lines(docs, ws, min_chars, batches, fanout)
         gone = ws.result(gone)
         split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-        joined = rows.join(gone.withColumnsRenamed({"_id": "_gid", "_row": "_grow"}), (F.col("_id") == F.col("_gid")) & (F.col("_row") == F.col("_grow")), "left")
+        joined = rows.join(gone.withColumnsRenamed({"_id": "_gid", "_row": "_grow", "gone": "_gone"}), (F.col("_id") == F.col("_gid")) & (F.col("_row") == F.col("_grow")), "left")
         # sorted positions of dropped lines as flags: one pass over the lines, whatever their number
         flags = F.split(F.array_join(F.transform("_gaps", lambda g: F.concat(F.repeat(F.lit("0,"), g), F.lit("1"))), ","), ",")
-        before = F.transform(F.col("gone"), lambda x, i: x - F.when(i == 0, F.lit(-1)).otherwise(F.col("gone")[F.greatest(i - 1, F.lit(0))]) - 1)
+        before = F.transform(F.col("_gone"), lambda x, i: x - F.when(i == 0, F.lit(-1)).otherwise(F.col("_gone")[F.greatest(i - 1, F.lit(0))]) - 1)
         out = joined.withColumn("_gaps", before).withColumn("_flags", flags)
-        kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
+        kept = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
             F.array_join(F.filter(split, lambda x, i: F.coalesce(F.get("_flags", i), F.lit("0")) != "1"), "\n")
         )
         # a text that keeps nothing and one that keeps a single empty line are both empty
-        out = out.select(*docs.columns, kept.alias("kept_text"), F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+        out = out.select(*(c for c in docs.columns if c not in ADDED), kept.alias("kept_text"), F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
         return out
