@@ -69,11 +69,19 @@ def _tokens(batches: Iterator[pa.RecordBatch], coordinates: int) -> Iterator[pa.
         for low in range(0, batch.num_rows, 4096):
             part = batch.slice(low, 4096)
             sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint64).reshape(-1, coordinates)
-            token = tx.mix(sig + np.arange(coordinates, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+            k = np.arange(coordinates, dtype=np.uint64)[None, :]
+            token = tx.mix(sig + k * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(COORDINATES - 1) | k
             ids = np.repeat(part.column("class_id").to_numpy(), coordinates)
             yield pa.RecordBatch.from_arrays([pa.array(token.ravel().view(np.int64)), pa.array(ids)], names=["token", "class_id"])
 
 
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class_id, n_shingles, sig) with 32 bits of every value: enough to count collisions within a list."""
+    for batch in batches:
+        sig = [np.frombuffer(x, np.uint64).astype(np.uint32).tobytes() for x in batch.column("sig").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("class_id"), batch.column("n_shingles"), pa.array(sig, pa.binary())], names=["class_id", "n_shingles", "sig"])
+
+
 def _sets(text: str | None, size: int, trans=str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)}), space=" \t\n\x0b\x0c\r") -> set:
     s = (text or "").translate(trans)
     for c in space[1:]:
@@ -132,12 +140,41 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray], width: int =
     return out
 
 
+def _block_candidates(key: tuple, table: pa.Table, coordinates: int, matches: int, percent: int) -> pa.Table:
+    """Documents of one pair of blocks of a list that have a possible link between different components there.
+
+    A pair meets in every list that both were posted in; it counts only in that of the lowest coordinate.
+    """
+    table = table.combine_chunks()
+    token, left, right = (k.as_py() for k in key)
+    ids, comp, n, block, mask = (table.column(c).to_numpy() for c in ("class_id", "component", "n_shingles", "block", "mask"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, coordinates)
+    below = [k for k in range(token & (COORDINATES - 1))]
+    bits = (mask[:, None] >> np.arange(coordinates)) & 1 if below else None
+    rows, others = np.flatnonzero(block == left), np.flatnonzero(block == right)
+    has = np.zeros(table.num_rows, bool)
+    for i in rows:
+        may = (comp[others] != comp[i]) & (np.minimum(n[others], n[i]) * 100 >= percent * np.maximum(n[others], n[i]))
+        if left == right:
+            may &= ids[others] > ids[i]
+        at = others[may]
+        same = sig[at] == sig[i]
+        good = same.sum(1) >= matches
+        at, same = at[good], same[good]
+        if below and len(at):
+            at = at[~(same[:, below] & (bits[at][:, below] & bits[i][below]).astype(bool)).any(1)]
+        if len(at):
+            has[i] = True
+            has[at] = True
+    return table.filter(pa.array(has)).select(["token", "left", "right", "class_id", "component", "n_shingles", "block", "sig"])
+
+
 def _block_links(key: tuple, table: pa.Table, coordinates: int, matches: int, percent: int) -> pa.Table:
     """Links of one pair of blocks of a list between different components: a spanning forest of them, at most a row for each document."""
     table = table.combine_chunks()
     left, right = key[1].as_py(), key[2].as_py()
     ids, comp, n, block = (table.column(c).to_numpy() for c in ("class_id", "component", "n_shingles", "block"))
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(-1, coordinates)
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, coordinates)
     rows, others = np.flatnonzero(block == left), np.flatnonzero(block == right)
     wanted = np.zeros((len(rows), len(others)), bool)
     for k, i in enumerate(rows):
@@ -195,7 +232,9 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: i
         posted = tokens.join(shared.hint("merge"), "token")
         # the prefix: a document with k shared values is found by its k - matches + 1 rarest
         lists = posted.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("t"), F.sum("f").alias("central")).where(F.size("t") >= matches)
-        prefix = ws.table(lists.select("class_id", "central", F.explode(F.slice("t", 1, F.size("t") - (matches - 1))).alias("x")).select("class_id", "central", "x.token"), "prefix")
+        lists = lists.select("class_id", "central", F.slice("t", 1, F.size("t") - (matches - 1)).alias("t"))
+        mask = F.expr(f"aggregate(t, 0L, (a, x) -> a | shiftleft(1L, int(x.token & {COORDINATES - 1})))")
+        prefix = ws.table(lists.select("class_id", "central", mask.alias("mask"), F.explode("t").alias("x")).select("class_id", "central", "mask", "x.token"), "prefix")
         # the texts that may have a link at all, moved once
         texts = ws.table(given.join(prefix.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
         links = ws.table(member, "links")
@@ -219,13 +258,18 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: i
         # what is still apart within a list: in blocks, with collisions counted on the signatures
         at = _labelled(prefix, components(links, ws))
         apart = at.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2 and f > 2").select("token", F.ceil(F.col("f") / block).cast("int").alias("g"))
-        sets = texts.select(F.col("doc_id").alias("class_id"), "text").mapInArrow(lambda it: _hashed_sets(it, size), "class_id long, set binary")
         rest = at.join(apart.hint("merge"), "token")
-        needed = sets.join(rest.select("class_id").distinct(), "class_id", "left_semi").join(classes.select("class_id", "n_shingles", "sig"), "class_id").where(F.length("set") == 8 * F.col("n_shingles"))
-        rest = rest.join(needed, "class_id")
+        short = classes.select("class_id", "n_shingles", "sig").mapInArrow(_short, "class_id long, n_shingles long, sig binary")
+        rest = rest.join(short.hint("merge"), "class_id")
         rest = rest.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("g").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        rest = rest.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "class_id", "component", "n_shingles", "block", "sig", "set")
-        found = rest.groupBy("token", "left", "right").applyInArrow(lambda k, t: _block_links(k, t, coordinates, matches, percent), "u long, v long").distinct()
+        rest = rest.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "class_id", "component", "n_shingles", "block", "mask", "sig")
+        keyed = "token long, left int, right int, class_id long, component long, n_shingles long, block int, sig binary"
+        near = ws.table(rest.groupBy("token", "left", "right").applyInArrow(lambda k, t: _block_candidates(k, t, coordinates, matches, percent), keyed), "near")
+        # only what has a possible link there is compared in full
+        meant = texts.join(near.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("class_id"), "text")
+        sets = meant.mapInArrow(lambda it: _hashed_sets(it, size), "class_id long, set binary")
+        met = near.join(sets, "class_id").where(F.length("set") == 8 * F.col("n_shingles"))
+        found = met.groupBy("token", "left", "right").applyInArrow(lambda k, t: _block_links(k, t, coordinates, matches, percent), "u long, v long").distinct()
         links = ws.table(links.unionByName(found), "links")
         comp = components(links, ws)
         out = base.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
