@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,22 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 REMEMBERED, REMEMBERED_PAIRS = 600_000, 2_000_000
 
 
+class _Words(dict):
+    """Ids, as bytes, of the words seen; others are composed when they are asked for."""
+
+    def __init__(self, fst: Transducer):
+        super().__init__()
+        self.fst = fst
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("i", self.fst.shortest(word)).tobytes()
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
 class Transducer:
     """N, P, byte fallback and A of one model. Built on the driver from the model file; small enough to be sent (bounded by the vocabulary)."""
 
@@ -69,11 +86,14 @@ class Transducer:
         for i in range(n):
             if sp.is_control(i) or sp.is_unknown(i):
                 self.bytes_of[i] = " ⁇ ".encode() if sp.is_unknown(i) else b""
-        self.words: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        self.words = _Words(self)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"words": {}, "pairs": {}}
+        return self.__dict__ | {"words": None, "pairs": {}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state | {"words": _Words(self)}
 
     # the adjacency acceptor ------------------------------------------------------------------------------------------
 
@@ -145,17 +165,63 @@ class Transducer:
 
     def shortest(self, text: str) -> list[int]:
         """Ids on the shortest path of a normalised text through the lexicon."""
-        n, trie, bpe = len(text), self.trie, self.bpe
+        return self._only_path(text) if self.bpe else self._lightest_path(text)
+
+    def _only_path(self, text: str) -> list[int]:
+        """With the weights 0 and infinity any finite path is the shortest, and each position has one way to it: search depth first.
+
+        Arcs are tried longest first. A position that leads nowhere once never will, so each is left at most once.
+        """
+        n, get, pairs, adjacent = len(text), self.trie.get, self.pairs, self.adjacent
+        whole = get(text)
+        if whole is not None and whole >= 0:
+            return [whole]
+        path: list[tuple[int, int | None, list[tuple[int, int | None]]]] = []  # (start, piece before it or None, arcs not yet tried)
+        dead = bytearray(n + 1)
+        s, before = 0, None
+        while s < n:
+            e, arcs = s + 1, []
+            piece = get(text[s:e])
+            if piece is None or piece < 0:
+                arcs.append((e, None))
+            while piece is not None:
+                if piece >= 0:
+                    arcs.append((e, piece))
+                if e == n:
+                    break
+                e += 1
+                piece = get(text[s:e])
+            path.append((s, before, arcs))
+            while True:
+                start, before, arcs = path[-1]
+                s = -1
+                while arcs:
+                    e, piece = arcs.pop()
+                    if dead[e]:
+                        continue
+                    if before is None or piece is None:
+                        s = e
+                        break
+                    ok = pairs.get(before << 20 | piece)
+                    if adjacent(before, piece) if ok is None else ok:
+                        s = e
+                        break
+                if s >= 0:
+                    before = piece
+                    break
+                dead[start] = 1
+                path.pop()
+        out: list[int] = []
+        for (start, before, _), (end, piece, _) in zip(path, [*path[1:], (n, before, [])], strict=True):
+            out.extend(self._fallback(text[start:end]) if piece is None else (piece,))
+        return out
+
+    def _lightest_path(self, text: str) -> list[int]:
+        n, trie, score = len(text), self.trie, self.score
         cost, back = [math.inf] * (n + 1), [None] * (n + 1)  # by position: weight, (start, id or None for a fallback arc)
         cost[0] = 0.0
-        floor = self.floor
-        adjacent = self.adjacent if bpe else None
         for s in range(n):
-            base = cost[s]
-            if base == math.inf:
-                continue
-            before = back[s][1] if s else None
-            known = False
+            base, known = cost[s], False
             for e in range(s + 1, min(n, s + self.longest) + 1):
                 piece = trie.get(text[s:e])
                 if piece is None:
@@ -163,15 +229,10 @@ class Transducer:
                 if piece < 0:
                     continue
                 known |= e == s + 1
-                if bpe:
-                    if cost[e] == math.inf and (before is None or adjacent(before, piece)):
-                        cost[e], back[e] = 0.0, (s, piece)
-                else:
-                    w = base - self.score[piece]
-                    if w < cost[e]:
-                        cost[e], back[e] = w, (s, piece)
-            if not known and (bpe and cost[s + 1] == math.inf or not bpe and base - floor < cost[s + 1]):
-                cost[s + 1], back[s + 1] = (0.0 if bpe else base - floor), (s, None)
+                if base - score[piece] < cost[e]:
+                    cost[e], back[e] = base - score[piece], (s, piece)
+            if not known and base - self.floor < cost[s + 1]:
+                cost[s + 1], back[s + 1] = base - self.floor, (s, None)
         out: list[int] = []
         at = n
         while at:
@@ -187,24 +248,13 @@ class Transducer:
         text = self.normalise(text)
         if not self.whole_words:
             return np.array(self.shortest(text), np.int32).tobytes()
-        words, out = self.words, []
-        for w in self._CUT.findall(text):
-            ids = words.get(w)
-            if ids is None:
-                ids = np.array(self.shortest(w), np.int32).tobytes()
-                if len(words) >= REMEMBERED:
-                    words.clear()
-                if len(w) <= 64:
-                    words[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, self._CUT.findall(text)))
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text or ""), np.int32).tolist()
 
     def decode_bytes(self, ids: list[int]) -> bytes:
-        table = self.bytes_of
-        out = b"".join([table[i] for i in ids])
+        out = b"".join(map(self.bytes_of.__getitem__, ids))
         return out[1:] if self.prefix and out[:1] == b" " else out
 
     def decode(self, ids: list[int]) -> str:
