@@ -234,9 +234,9 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: i
         lists = posted.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("t"), F.sum("f").alias("central")).where(F.size("t") >= matches)
         lists = lists.select("class_id", "central", F.slice("t", 1, F.size("t") - (matches - 1)).alias("t"))
         mask = F.expr(f"aggregate(t, 0L, (a, x) -> a | shiftleft(1L, int(x.token & {COORDINATES - 1})))")
-        prefix = ws.table(lists.select("class_id", "central", mask.alias("mask"), F.explode("t").alias("x")).select("class_id", "central", "mask", "x.token"), "prefix")
+        prefix = ws.table(lists.select("class_id", "central", mask.alias("mask"), F.explode("t").alias("x")).select("class_id", "central", "mask", "x.token"), "prefix", key="class_id")
         # the texts that may have a link at all, moved once
-        texts = ws.table(given.join(prefix.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+        texts = ws.table(given.join(prefix.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts", key="doc_id")
         links = ws.table(member, "links")
         tried = None
         for round_ in range(ROUNDS):
@@ -249,12 +249,13 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: i
                 others = at.join(pivot.select("token", F.col("p.component").alias("main")).hint("merge"), "token").where("component != main")
                 pivot = others.groupBy("token").agg(F.max_by(F.struct("class_id", "component"), rank).alias("p"))
             pairs = at.join(pivot.select("token", "p").hint("merge"), "token").where("component != p.component")
-            pairs = pairs.select(F.least("p.class_id", "class_id").alias("u"), F.greatest("p.class_id", "class_id").alias("v")).distinct()
+            pairs = pairs.select(F.least("p.class_id", "class_id").alias("u"), F.greatest("p.class_id", "class_id").alias("v"), F.col("p.class_id").alias("hub"))
+            pairs = pairs.groupBy("u", "v").agg(F.min("hub").alias("hub"))
             if tried is not None:
                 pairs = pairs.join(tried.hint("merge"), ["u", "v"], "left_anti")
             pairs = ws.table(pairs, "pairs")
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            links = ws.table(links.unionByName(_confirmed(pairs, texts, classes, size, percent)), "links")
+            tried = pairs.select("u", "v") if tried is None else tried.unionByName(pairs.select("u", "v"))
+            links = ws.table(links.unionByName(_confirmed(ws, pairs, texts, classes, size, percent)), "links")
         # what is still apart within a list: in blocks, with collisions counted on the signatures
         at = _labelled(prefix, components(links, ws))
         apart = at.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2 and f > 2").select("token", F.ceil(F.col("f") / block).cast("int").alias("g"))
@@ -281,10 +282,17 @@ def _labelled(prefix: DataFrame, component: DataFrame) -> DataFrame:
     return prefix.join(component.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs of classes whose texts meet the threshold."""
-    left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
-    right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
+def _confirmed(ws: Workspace, pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs of classes whose texts meet the threshold.
+
+    A hub may be in very many pairs: the join on it is one of two shuffled sides, whose large partitions Spark splits. The other
+    document of a pair is in few, and its text stays in its bucket.
+    """
     sizes = classes.select(F.col("class_id").alias("u"), F.col("n_shingles").alias("nu"))
-    sized = pairs.join(sizes, "u").join(sizes.withColumnsRenamed({"u": "v", "nu": "nv"}), "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent).select("u", "v")
-    return sized.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(lambda it: _confirm(it, size, percent), "u long, v long").distinct()
+    sized = pairs.join(sizes, "u").join(sizes.withColumnsRenamed({"u": "v", "nu": "nv"}), "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
+    sized = ws.table(sized.select("hub", F.when(F.col("hub") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("other")).distinct(), "sized")
+    hubs = texts.join(sized.select(F.col("hub").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    hubs = hubs.select((F.col("doc_id") + 0).alias("hub"), F.col("text").alias("text_v"))  # an expression, so that this side is shuffled
+    others = texts.select(F.col("doc_id").alias("other"), F.col("text").alias("text_u"))
+    met = sized.join(hubs, "hub").join(others, "other").select(F.col("other").alias("u"), F.col("hub").alias("v"), "text_u", "text_v")
+    return met.mapInArrow(lambda it: _confirm(it, size, percent), "u long, v long").distinct()

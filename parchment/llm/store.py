@@ -29,18 +29,22 @@ class Workspace:
     """Parquet tables that live as long as the ``with`` block; ``result`` outlives it.
 
     ``table`` writes a frame and reads it back. ``result`` checkpoints the (narrow) final frame: those files belong to the
-    plan and go with it where the cluster cleans checkpoints. Nothing that is returned may depend on a ``table``.
+    plan and go with it where the cluster cleans checkpoints. Nothing that is returned may depend on a ``table``. With ``key``
+    a table is bucketed by that column, so that joins on it leave its rows where they are.
     """
 
     def __init__(self, spark: SparkSession):
         ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
+        self.named: list[str] = []
 
     def __enter__(self) -> Workspace:
         return self
 
     def __exit__(self, *_) -> None:
+        for name in self.named:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.drop(self.root)
 
     def drop(self, path: str) -> None:
@@ -50,8 +54,13 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
-    def table(self, df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+    def table(self, df: DataFrame, name: str = "t", by: str | None = None, key: str | None = None) -> DataFrame:
         at = self.path(name)
+        if key:
+            self.named.append(f"work_{uuid.uuid4().hex}")
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df.write.format("parquet").bucketBy(n, key).option("path", at).saveAsTable(self.named[-1])
+            return self.spark.table(self.named[-1])
         writer = df.write.partitionBy(by) if by else df.write
         writer.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
