@@ -15,7 +15,9 @@ from .store import Workspace
 
 # The patterns of the kinds, in order of precedence.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-SECRET = r"(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_key)[=:][^\s\"',;]{4,}"
+#: The label of a secret in any case, with blanks around its sign; then a value in quotes up to the closing one, or up to a blank.
+LABEL = r"(?i:password|passwd|secret|token|api_key)[ \t]*[=:]"
+SECRET = rf"(?<![A-Za-z0-9]){LABEL}[ \t]*" + r"(?:\"[^\"\r\n]{4,}\"|'[^'\r\n]{4,}'|[\"']?[^\s\"',;]{4,})"
 ACCESS_KEY = r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.]*[0-9])"
@@ -27,7 +29,7 @@ FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|г-жа"
 PERSON = r"(?<![\p{L}-])(?:" + f"{MALE}|{FEMALE}" + r")\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"
 ENTITY = "|".join((EMAIL, SECRET, ACCESS_KEY, IBAN, CARD, IP, SSN, PHONE, PERSON))
 #: What every text with an entity has, quick to look for: other texts are spared the whole pattern.
-HINT = rf"[0-9@]|(?:password|passwd|secret|token|api_key)[=:]|A[KS]IA[A-Z0-9]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|{LABEL}|A[KS]IA[A-Z0-9]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
 
 # Given names by gender and script, and syllables that family names are made of.
 GIVEN = {
@@ -113,12 +115,10 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     card = F.concat(F.substring(value, 1, 1), shaped(F.substring(value, F.lit(2), F.length(value))))  # the issuer's digit stays
     last = F.regexp_extract(card, "[0-9]$", 0).cast("int")
     fixed = F.concat(F.regexp_replace(card, "[0-9]$", ""), F.pmod(last - _luhn(card), F.lit(10)).cast("string"))
-    label = F.regexp_extract(value, "^[^=:]*[=:]", 0)
-    secret = F.regexp_replace(value, "^[^=:]*[=:]", "")
     country = F.regexp_extract(value, r"^\+[0-9]{1,3}[ .-]?(?=[(0-9])", 0)
     return (
         F.when(kind == "email", mail)
-        .when(kind == "secret", F.concat(label, shaped(secret, secret.rlike("^[0-9a-f]+$"))))
+        .when(kind == "secret", shaped(value, value.rlike("^[0-9a-f]+$")))
         .when(kind == "access_key", F.concat(F.substring(value, 1, 4), shaped(F.substring(value, 5, 16))))
         .when(kind == "iban", F.concat(F.substring(value, 1, 2), shaped(F.regexp_replace(value, "^..", ""))))
         .when(kind == "ip", octets)
@@ -140,14 +140,17 @@ def kind_of(match: Column) -> Column:
 
 
 def _parts(match: Column) -> Column:
-    """A match as (kind, value) parts whose values join to it: a person is a title, a given name and a family name, another kind itself."""
+    """A match as (kind, value) parts whose values join to it: a person is a title, a given name and a family name, a secret is what its label and quotes leave, another kind itself."""
     part = lambda k, v: F.struct(k.alias("kind") if isinstance(k, Column) else F.lit(k).alias("kind"), v.alias("value"))
     title = F.regexp_extract(match, r"^\S+ ", 0)
     names = F.regexp_replace(match, r"^\S+ ", "")
     given, family = F.regexp_extract(names, "^([^ ]+) ", 1), F.regexp_extract(names, "[^ ]+$", 0)
     gender = F.when(title.rlike(rf"^(?:{MALE})\.? $"), F.lit("given_m")).otherwise(F.lit("given_f"))
     person = F.when(given == "", F.array(part("text", title), part("family", family))).otherwise(F.array(part("text", title), part(gender, given), part("text", F.lit(" ")), part("family", family)))
-    return F.when(kind_of(match) == "person", person).otherwise(F.array(part(kind_of(match), match)))
+    label = r"^[^=:]*[=:][ \t]*[\"']?"
+    quoted = F.regexp_replace(match, label, "")
+    secret = F.array(part("text", F.regexp_extract(match, label, 0)), part("secret", F.regexp_replace(quoted, "[\"']$", "")), part("text", F.regexp_extract(quoted, "[\"']$", 0)))
+    return F.when(kind_of(match) == "person", person).when(kind_of(match) == "secret", secret).otherwise(F.array(part(kind_of(match), match)))
 
 
 def surrogates(entities: DataFrame, key: str, ws: Workspace) -> DataFrame:

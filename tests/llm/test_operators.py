@@ -310,6 +310,19 @@ def test_pii(spark):
     assert (got[(4, ())].text, got[(5, ())].text, got[(6, ())].text) == ("nothing here", None, "")
 
 
+def test_secrets_in_quotes_and_after_blanks(spark):
+    hexes = "04dbebab91ab85687d4111111111111111f962ee"
+    given = [f'x token = "{hexes}" y', f'TOKEN = "{hexes.upper()}"', f"api_key:'{hexes}'", f"password = {hexes};", 'secret = "two words, and more" z', "passwd = 'abcdefgh", f"password={hexes}", 'the token is "open"', 'token = ""']
+    got = {r.doc_id: r for r in pii.replace_pii(frame(spark, [(i, t, "", "", 0) for i, t in enumerate(given)]), "k").collect()}
+    new = re.fullmatch(r'x token = "([0-9a-f]{40})" y', got[0].text)[1]
+    assert new != hexes and re.fullmatch(r'TOKEN = "[0-9A-Z]{40}"', got[1].text) and hexes.upper() not in got[1].text
+    assert (got[2].text, got[3].text, got[6].text) == (f"api_key:'{new}'", f"password = {new};", f"password={new}")
+    assert re.fullmatch(r'secret = "[a-z]{3} [a-z]{5}, [a-z]{3} [a-z]{4}" z', got[4].text) and got[4].text != given[4]
+    assert re.fullmatch(r"passwd = '[a-z]{8}", got[5].text) and got[5].text != given[5]
+    assert all((got[i].kinds, got[i].n_replaced) == (["secret"], 1) for i in range(7))
+    assert all((got[i].text, got[i].n_replaced) == (given[i], 0) for i in (7, 8))
+
+
 def test_surrogates_stay_distinct(spark):
     from parchment.llm.store import Workspace
 
