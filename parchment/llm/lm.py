@@ -6,7 +6,8 @@ has its smoothed relative frequency there, so that the probabilities of all word
 
 What it is trained on is the whole training fold: counts of (w-2, w-1, w) over the shortlist are a sufficient statistic, gathered by a
 distributed aggregation, and bounded by the shortlist whatever the corpus. They are trained on in shards, each by minibatch NCE in
-numpy from the same start, whose parameters are then averaged (parameter mixing), in rounds. Scores are normalised: batched matrix
+numpy from the same start, whose parameters are then averaged (parameter mixing), in rounds. In each round every counted n-gram is
+used: one counted n times is visited ceil(n / WEIGHT) times, which weigh n together, so that the steps follow the counts. Scores are normalised: batched matrix
 products give the logits of all classes for the distinct contexts of a slice of documents.
 
 Counts of all training words are aggregated and joined by the words' 64-bit hashes; those of the most frequent words go out as a
@@ -28,7 +29,9 @@ from .store import Workspace, held_out
 
 #: Words of the shortlist, and words whose counts are sent out (8 + 8 bytes each).
 SHORTLIST, SENT = 255, 131_072
-DIM, NOISE, STEPS, ROUNDS, SHARDS, BATCH = 16, 5, 1500, 2, 4, 512
+DIM, NOISE, ROUNDS, SHARDS, BATCH = 16, 5, 2, 4, 512
+#: What one visit of an n-gram weighs at most.
+WEIGHT = 16
 #: Rows of counts that a task holds before it adds up and passes them on.
 HELD = 1_500_000
 #: The identity of the end of a text.
@@ -88,6 +91,27 @@ def _contexts(c: np.ndarray, at: np.ndarray, begin: int) -> tuple[np.ndarray, np
     return one, two
 
 
+def _visits(n: np.ndarray, draws: int | None, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place, weight) of minibatches of n-grams that are counted ``n`` times: one pass, or as many visits as ``draws`` says, pass after pass.
+
+    In a pass an n-gram has ceil(n / WEIGHT) visits of equal weight, n together. The order is a walk over all visits by a stride
+    without a common divisor, which needs no memory for them.
+    """
+    mixed = rng.permutation(len(n))
+    times = -(-n[mixed].astype(np.int64) // WEIGHT)
+    weights, ends = n[mixed] / np.maximum(times, 1), np.cumsum(times)
+    total = int(ends[-1]) if len(ends) else 0
+    if not total:
+        return
+    stride = max(1, int(total * 0.6180339887))
+    while np.gcd(stride, total) != 1:
+        stride += 1
+    start, draws = int(rng.integers(total)), total if draws is None else draws
+    for low in range(0, draws, BATCH):
+        place = np.searchsorted(ends, (start + stride * (np.arange(low, min(low + BATCH, draws)) % total)) % total, "right")
+        yield mixed[place], weights[place]
+
+
 class LogBilinear:
     """Parameters: q (context and target vectors of each class), position weights C1 and C2, biases b."""
 
@@ -108,25 +132,23 @@ class LogBilinear:
         self.ctx, self.out, self.bias = flat[:a].reshape(self.ctx.shape).copy(), flat[a:b].reshape(self.out.shape).copy(), flat[b:].copy()
         return self
 
-    def train(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, n: np.ndarray, steps: int, seed: int, rate: float = 0.3, noise: int = NOISE) -> None:
-        """Minibatch NCE with Adagrad: ``n`` weighs an n-gram; each is told from ``noise`` words drawn from the unigram distribution."""
+    def train(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, n: np.ndarray, steps: int | None, seed: int, rate: float = 0.3, noise: int = NOISE) -> None:
+        """Minibatch NCE with Adagrad: ``n`` weighs an n-gram; each is told from ``noise`` words drawn from the unigram distribution. No steps: one pass over all."""
         rng = np.random.default_rng(seed)
         log_noise = np.log(noise * self.noise).astype(np.float32)
         cumulative = np.cumsum(self.noise)
-        total = n.sum()
+        mean = n.sum() / max(1, (-(-n.astype(np.int64) // WEIGHT)).sum())  # weight of a visit
         squares = [np.full(p.shape, 1e-3, np.float32) for p in (self.ctx[0], self.ctx[1], self.out, self.bias)]
-        chance = np.cumsum(n / total) if total else None
-        for _ in range(steps if total else 0):
-            pick = np.minimum(np.searchsorted(chance, rng.random(BATCH)), len(n) - 1)
+        for pick, weight in _visits(n, None if steps is None else steps * BATCH, rng):
             a, b = one[pick], two[pick]
             r = self.ctx[0, a] + self.ctx[1, b]
-            drawn = np.minimum(np.searchsorted(cumulative, rng.random((BATCH, noise))), self.k - 1)
+            drawn = np.minimum(np.searchsorted(cumulative, rng.random((len(pick), noise))), self.k - 1)
             w = np.concatenate([word[pick][:, None], drawn], 1)
             q = self.out[w]
             delta = (r[:, None, :] * q).sum(2) + self.bias[w] - log_noise[w]
             g = -1 / (1 + np.exp(np.clip(-delta, -30, 30)))  # of the log-likelihood, by the score
             g[:, 0] += 1
-            g = g.astype(np.float32) / BATCH
+            g = (g * (weight / mean)[:, None]).astype(np.float32) / BATCH
             dr = (g[:, :, None] * q).sum(1)
             flat, gf = w.ravel(), g.ravel()
             dq = np.zeros_like(self.out)
@@ -181,7 +203,7 @@ def _train(batches: Iterator[pa.RecordBatch], model: LogBilinear, seed: int) ->
         order = np.argsort(key)
         key, n = key[order], n[order]
         word, rest = key % model.k, key // model.k
-        model.train(rest % (model.k + 1), rest // (model.k + 1), word, n, STEPS, seed)
+        model.train(rest % (model.k + 1), rest // (model.k + 1), word, n, None, seed)
         yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([model.parameters().tobytes()], pa.binary())], names=["n", "parameters"])
 
 

@@ -180,6 +180,29 @@ def test_log_bilinear_is_normalised_and_learns():
     assert m.log10(one, np.full(4000, 6), word).mean() > np.log10(1 / 6) + 0.4
 
 
+def test_training_uses_every_counted_ngram(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    k, rng = 100, np.random.default_rng(1)
+    n = rng.choice([1, 1, 1, 2, 17, 40], 900_000)
+    n[5] = 3_000_001
+    key, used, visited = np.arange(len(n)) * (k * (k + 1) ** 2 // len(n)), np.zeros(len(n)), np.zeros(len(n), int)
+    visits = lm._visits
+
+    def told(*given):
+        for place, weight in visits(*given):
+            np.add.at(used, place, weight)
+            np.add.at(visited, place, 1)
+            yield place, weight
+
+    monkeypatch.setattr(lm, "_visits", told)
+    monkeypatch.setattr(lm, "BATCH", 65_536)
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+    assert next(lm._train(iter([batch]), lm.LogBilinear(np.full(k, 10.0)), 3)).column("n")[0].as_py() == n.sum()
+    assert np.allclose(used, n) and (visited == -(-n // lm.WEIGHT)).all()
+
+
 def test_quality_held_out(spark):
     rng = random.Random(3)
     rows = [(i, prose(rng.randint(20, 80), rng) if i % 3 else " ".join(w.upper() + "!!" for w in prose(40, rng).split()), "", "", 0) for i in range(300)] + [(1000, None, "", "", 0), (1001, "", "", "", 0)]
