@@ -2,7 +2,7 @@
 
 A streaming aggregation over the documents keeps one state row per digest in a disk-backed (RocksDB) state store, without
 watermark and so without expiry: the digest of the normalised text, the stable identifier of the row that stays, its content
-locator (file and row in it) and the size of the group. The state is read back as a table; every hit (a row whose digest
+locator (file and start of the block read, not the row in it; nothing here uses it) and the size of the group. The state is read back as a table; every hit (a row whose digest
 is also another row's) is then compared, whole text against the whole text of the row that the state names.
 """
 
