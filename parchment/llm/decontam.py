@@ -3,7 +3,7 @@
 An item of m code points may differ by k = floor(m * max_error_rate) edits. Cut into k + 1 pieces, one piece at least
 occurs unchanged wherever the item occurs within k edits. All pieces of a block of items go into one Aho-Corasick automaton, each
 whole document runs through it once, and around every piece hit the item is verified with Myers' bit-parallel distance.
-Items go out in blocks of bounded size, so nothing that is sent to the executors grows with the benchmark.
+Items shorter than a bound have no budget and must stand on word boundaries. Items go out in blocks of bounded size, so nothing that is sent to the executors grows with the benchmark.
 """
 
 from __future__ import annotations
@@ -66,19 +66,24 @@ def masks(item: str) -> dict[str, int]:
     return out
 
 
+def bounded(text: str, start: int, end: int) -> bool:
+    """Whether no word of the text goes on over either edge of a stretch."""
+    return not (start > 0 and text[start - 1].isalnum() and text[start].isalnum()) and not (end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+
+
 class Matcher:
     """The automaton of one block of items: (item_id, normalised text)."""
 
-    def __init__(self, items: list[tuple[int, str]], max_error_rate: float):
-        self.items, self.rate = items, max_error_rate
+    def __init__(self, items: list[tuple[int, str]], max_error_rate: float, min_chars: int):
+        self.items, self.rate, self.min_chars = items, max_error_rate, min_chars
         self.built = None
 
     def __getstate__(self) -> dict:
-        return {"items": self.items, "rate": self.rate, "built": None}
+        return {"items": self.items, "rate": self.rate, "min_chars": self.min_chars, "built": None}
 
     def build(self) -> None:
         where: dict[str, list[tuple[int, int]]] = {}
-        self.budgets = [int(len(t) * self.rate) for _, t in self.items]
+        self.budgets = [int(len(t) * self.rate) if len(t) >= self.min_chars else 0 for _, t in self.items]
         for i, (_, t) in enumerate(self.items):
             for offset, piece in pieces(t, self.budgets[i]):
                 where.setdefault(piece, []).append((i, offset))
@@ -100,10 +105,13 @@ class Matcher:
         for i, starts in hits.items():
             item_id, item = self.items[i]
             m, k = len(item), self.budgets[i]
-            exact = next((s for s in sorted(starts) if s >= 0 and text.startswith(item, s)), None)
+            short = m < self.min_chars
+            exact = next((s for s in sorted(starts) if s >= 0 and text.startswith(item, s) and (not short or bounded(text, s, s + m))), None)
             if exact is not None:
                 out.append((item_id, 0, exact, exact + m))
                 continue
+            if short:
+                continue
             if i not in self.masks:
                 self.masks[i] = masks(item)
             best, done = None, -1
@@ -132,12 +140,12 @@ def _scan(batches: Iterator[pa.RecordBatch], matcher: Matcher) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
-def blocks(benchmark: DataFrame, min_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size; the driver holds one block at a time."""
     block, size = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         item = normalise(row.text)
-        if len(item) < max(1, min_chars):
+        if not item:
             continue
         block.append((row.item_id, item))
         size += len(item)
@@ -152,14 +160,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_error_rate: float =
     """(doc_id, item_id, distance, match_start, match_end) for every document and item that occurs in it within its budget.
 
     Both texts are compared in lower case with white space runs as one space; positions are those of the document so
-    normalised, of the best occurrence (least distance, then first). Items shorter than ``min_chars`` normalised code points, null and
-    empty ones among them, name no passage and match nothing. Null and empty documents match nothing. Rows that repeat a doc_id or
+    normalised, of the best occurrence (least distance, then first). Items shorter than ``min_chars`` normalised code points match
+    where they occur unchanged and no word goes on over their edges. Null and empty items and documents match nothing. Rows that repeat a doc_id or
     item_id each bring their matches; a null id is carried as null. Empty tables give no rows; other columns are not read.
     """
     ship(docs.sparkSession)
     given, out = docs.select("doc_id", "text"), None
-    for block in blocks(benchmark, min_chars, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(Matcher(block, max_error_rate))
+    for block in blocks(benchmark, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(Matcher(block, max_error_rate, min_chars))
         part = given.mapInArrow(lambda it, shared=shared: _scan(it, shared.value), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
@@ -168,8 +176,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_error_rate: float =
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_error_rate: float = 0.05, min_chars: int = 30, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no item occurs; see ``decontaminate``. Nothing is shuffled."""
     ship(docs.sparkSession)
-    for block in blocks(benchmark, min_chars, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(Matcher(block, max_error_rate))
+    for block in blocks(benchmark, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(Matcher(block, max_error_rate, min_chars))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

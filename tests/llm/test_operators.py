@@ -151,6 +151,15 @@ def test_decontamination(spark):
     assert left == {r[0] for r in rows} - {w[0] for w in want}
 
 
+def test_decontamination_of_short_items(spark):
+    bench = spark.createDataFrame([(1, "Two plus TWO is four"), (2, "art"), (3, "(x)"), (4, " "), (5, None)], "item_id long, text string")
+    texts = ["so two plus\ntwo is four.", "two plus two is fours", "two plus tvo is four", "a party, then: ART!", "party", "f(x)g"]
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts)]
+    got = {(r.doc_id, r.item_id, r.distance, r.match_start, r.match_end) for r in decontam.decontaminate(frame(spark, rows), bench).collect()}
+    assert got == {(0, 1, 0, 3, 23), (3, 2, 0, 15, 18), (5, 3, 0, 1, 4)}
+    assert {r.doc_id for r in decontam.drop_contaminated(frame(spark, rows), bench).collect()} == {1, 2, 4}
+
+
 def test_lm(spark, docs):
     rows = rows_of(spark, docs)
     tokens = {i: [*WORD.findall((t or "").translate(LOWER)), None] for i, t in rows}
