@@ -4,9 +4,12 @@ Each document is posted under its (coordinate, value) pairs. Two documents whose
 agree on a coordinate with probability s, so links are sought among pairs that collide on at least ``matches`` of ``coordinates``
 (a T-occurrence join): values that one class alone has cannot collide and are skipped; a document with k shared values needs
 ``matches`` of them, so only its k - matches + 1 rarest are posted as a prefix. Lists of the prefix are merged by stars around
-one pivot each, in rounds. What the stars leave apart within a list meets in blocks of bounded size, where collisions are counted on
-whole signatures and only a spanning forest of the links is emitted, never all pairs. Every link is confirmed on full shingle
-sets: of the texts in the rounds, of 64-bit shingle hashes in the blocks.
+one pivot each, in rounds. What the stars leave apart within a list meets in blocks of bounded size, and only a spanning forest of the
+links is emitted, never all pairs. Both count the collisions of a pair on whole signatures, and only pairs that reach the threshold
+are confirmed, on full shingle sets: of the texts in the rounds, of 64-bit shingle hashes in the blocks.
+
+Components are kept as labels of classes: links found later are contracted to pairs of components, so that each later step works on
+the few that still merge and not on all links again.
 
 With 64 coordinates and 36 matches a pair of similarity 0.8 exactly is missed with probability 3e-6; documents with equal
 shingle sets are one class from the start, by digest.
@@ -22,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .components import components
+from .components import components, merged
 from .store import Workspace
 
 COORDINATES = 64
 MATCHES = 36
 #: Rows of a list that meet in one block when pairs of a list are compared.
-BLOCK = 256
-ROUNDS = 3
+BLOCK = 512
+ROUNDS = 2
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], size: int, coordinates: int) -> Iterator[pa.RecordBatch]:
@@ -76,12 +79,20 @@ def _tokens(batches: Iterator[pa.RecordBatch], coordinates: int) -> Iterator[pa.
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class_id, n_shingles, sig) with 32 bits of every value: enough to count collisions within a list."""
+    """(class_id, n_shingles, sig) with 16 bits of every value: enough to count collisions of a given pair, and never too few."""
     for batch in batches:
-        sig = [np.frombuffer(x, np.uint64).astype(np.uint32).tobytes() for x in batch.column("sig").to_pylist()]
+        sig = [np.frombuffer(x, np.uint64).astype(np.uint16).tobytes() for x in batch.column("sig").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("class_id"), batch.column("n_shingles"), pa.array(sig, pa.binary())], names=["class_id", "n_shingles", "sig"])
 
 
+def _collide(batches: Iterator[pa.RecordBatch], coordinates: int, matches: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (hub, other) whose signatures agree on enough coordinates."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, coordinates) for c in ("hub_sig", "other_sig"))
+        mask = pa.array((a == b).sum(1) >= matches)
+        yield pa.RecordBatch.from_arrays([batch.column("hub").filter(mask), batch.column("other").filter(mask)], names=["hub", "other"])
+
+
 def _sets(text: str | None, size: int, trans=str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)}), space=" \t\n\x0b\x0c\r") -> set:
     s = (text or "").translate(trans)
     for c in space[1:]:
@@ -148,7 +159,7 @@ def _block_candidates(key: tuple, table: pa.Table, coordinates: int, matches: in
     table = table.combine_chunks()
     token, left, right = (k.as_py() for k in key)
     ids, comp, n, block, mask = (table.column(c).to_numpy() for c in ("class_id", "component", "n_shingles", "block", "mask"))
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, coordinates)
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, coordinates)
     below = [k for k in range(token & (COORDINATES - 1))]
     bits = (mask[:, None] >> np.arange(coordinates)) & 1 if below else None
     rows, others = np.flatnonzero(block == left), np.flatnonzero(block == right)
@@ -174,7 +185,7 @@ def _block_links(key: tuple, table: pa.Table, coordinates: int, matches: int, pe
     table = table.combine_chunks()
     left, right = key[1].as_py(), key[2].as_py()
     ids, comp, n, block = (table.column(c).to_numpy() for c in ("class_id", "component", "n_shingles", "block"))
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, coordinates)
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, coordinates)
     rows, others = np.flatnonzero(block == left), np.flatnonzero(block == right)
     wanted = np.zeros((len(rows), len(others)), bool)
     for k, i in enumerate(rows):
@@ -220,79 +231,91 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: i
     spark = docs.sparkSession
     with Workspace(spark) as ws:
         given = docs.select("doc_id", "text")
-        base = ws.table(
-            given.mapInArrow(lambda it: _signatures(it, size, coordinates), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "signatures"
-        )
-        sets = base.where("n_shingles > 0 and doc_id is not null")
+        base = ws.table(given.mapInArrow(lambda it: _signatures(it, size, coordinates), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "signatures")
         # equal sets: one class each, named by its smallest document
-        classes = ws.table(sets.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("d1", "d2", "n_shingles", F.col("m.doc_id").alias("class_id"), F.col("m.sig").alias("sig")), "classes")
-        member = sets.join(classes.select("d1", "d2", "n_shingles", "class_id"), ["d1", "d2", "n_shingles"]).select(F.col("doc_id").alias("u"), F.col("class_id").alias("v")).where("u != v")
-        tokens = classes.select("class_id", "sig").mapInArrow(lambda it: _tokens(it, coordinates), "token long, class_id long")
-        shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-        posted = tokens.join(shared.hint("merge"), "token")
-        # the prefix: a document with k shared values is found by its k - matches + 1 rarest
-        lists = posted.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("t"), F.sum("f").alias("central")).where(F.size("t") >= matches)
-        lists = lists.select("class_id", "central", F.slice("t", 1, F.size("t") - (matches - 1)).alias("t"))
-        mask = F.expr(f"aggregate(t, 0L, (a, x) -> a | shiftleft(1L, int(x.token & {COORDINATES - 1})))")
-        prefix = ws.table(lists.select("class_id", "central", mask.alias("mask"), F.explode("t").alias("x")).select("class_id", "central", "mask", "x.token"), "prefix", key="class_id")
-        # the texts that may have a link at all, moved once
-        texts = ws.table(given.join(prefix.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts", key="doc_id")
-        links = ws.table(member, "links")
-        tried = None
+        same = ["d1", "d2", "n_shingles"]
+        sets = base.where("n_shingles > 0 and doc_id is not null")
+        classes = ws.table(sets.groupBy(same).agg(F.min(F.struct("doc_id", "sig")).alias("m")).select(*same, F.col("m.doc_id").alias("class_id"), F.col("m.sig").alias("sig")), "classes")
+        members = ws.table(base.select("doc_id", *same).join(classes.select(*same, "class_id"), same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")), "members")
+        # rows that repeat a doc_id with other texts link their classes
+        several = members.where("class_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low != high")
+        spread = members.join(several.select("doc_id", "low"), "doc_id").where("class_id != low").select(F.col("class_id").alias("u"), F.col("low").alias("v"))
+        labels = merged(None, spread, ws)
+        prefix = _prefix(classes, coordinates, matches, ws)
+        # what the candidates are compared by, moved once
+        posted = prefix.select("class_id").distinct()
+        short = classes.select("class_id", "n_shingles", "sig").mapInArrow(_short, "class_id long, n_shingles long, sig binary")
+        short = ws.table(short.join(posted, "class_id", "left_semi"), "short", key="class_id")
+        texts = ws.table(given.join(posted.withColumnRenamed("class_id", "doc_id"), "doc_id", "left_semi"), "texts", key="doc_id")
         for round_ in range(ROUNDS):
-            # the most central document of a list (by how often its values occur) is what the others are likeliest linked to;
-            # later rounds take the most central one outside the component of that
-            rank = F.struct("central", F.xxhash64("class_id", F.lit(round_)))
-            at = prefix.withColumn("component", F.col("class_id")) if not round_ else _labelled(prefix, components(links, ws))
-            pivot = at.groupBy("token").agg(F.max_by(F.struct("class_id", "component"), rank).alias("p"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2")
-            if round_:
-                others = at.join(pivot.select("token", F.col("p.component").alias("main")).hint("merge"), "token").where("component != main")
-                pivot = others.groupBy("token").agg(F.max_by(F.struct("class_id", "component"), rank).alias("p"))
-            pairs = at.join(pivot.select("token", "p").hint("merge"), "token").where("component != p.component")
-            pairs = pairs.select(F.least("p.class_id", "class_id").alias("u"), F.greatest("p.class_id", "class_id").alias("v"), F.col("p.class_id").alias("hub"))
-            pairs = pairs.groupBy("u", "v").agg(F.min("hub").alias("hub"))
-            if tried is not None:
-                pairs = pairs.join(tried.hint("merge"), ["u", "v"], "left_anti")
-            pairs = ws.table(pairs, "pairs")
-            tried = pairs.select("u", "v") if tried is None else tried.unionByName(pairs.select("u", "v"))
-            links = ws.table(links.unionByName(_confirmed(ws, pairs, texts, classes, size, percent)), "links")
-        # what is still apart within a list: in blocks, with collisions counted on the signatures
-        at = _labelled(prefix, components(links, ws))
+            pairs = _counted(_stars(prefix, labels, round_), short, coordinates, matches, percent)
+            links = _confirmed(ws.table(pairs, "pairs"), texts, size, percent)
+            labels = merged(labels, links, ws)
+        # what is still apart within a list: in blocks
+        at = _labelled(prefix, labels)
         apart = at.groupBy("token").agg(F.count(F.lit(1)).alias("f"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2 and f > 2").select("token", F.ceil(F.col("f") / block).cast("int").alias("g"))
-        rest = at.join(apart.hint("merge"), "token")
-        short = classes.select("class_id", "n_shingles", "sig").mapInArrow(_short, "class_id long, n_shingles long, sig binary")
-        rest = rest.join(short.hint("merge"), "class_id")
+        rest = at.join(apart.hint("merge"), "token").join(short.hint("merge"), "class_id")
         rest = rest.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("g").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         rest = rest.select("token", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "class_id", "component", "n_shingles", "block", "mask", "sig")
         keyed = "token long, left int, right int, class_id long, component long, n_shingles long, block int, sig binary"
         near = ws.table(rest.groupBy("token", "left", "right").applyInArrow(lambda k, t: _block_candidates(k, t, coordinates, matches, percent), keyed), "near")
         # only what has a possible link there is compared in full
         meant = texts.join(near.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("class_id"), "text")
-        sets = meant.mapInArrow(lambda it: _hashed_sets(it, size), "class_id long, set binary")
-        met = near.join(sets, "class_id").where(F.length("set") == 8 * F.col("n_shingles"))
-        found = met.groupBy("token", "left", "right").applyInArrow(lambda k, t: _block_links(k, t, coordinates, matches, percent), "u long, v long").distinct()
-        links = ws.table(links.unionByName(found), "links")
-        comp = components(links, ws)
-        out = base.select("doc_id", "n_shingles").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        met = near.join(meant.mapInArrow(lambda it: _hashed_sets(it, size), "class_id long, set binary"), "class_id").where(F.length("set") == 8 * F.col("n_shingles"))
+        labels = merged(labels, met.groupBy("token", "left", "right").applyInArrow(lambda k, t: _block_links(k, t, coordinates, matches, percent), "u long, v long"), ws)
+        out = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
+        out = out.select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
         return ws.result(out)
 
 
-def _labelled(prefix: DataFrame, component: DataFrame) -> DataFrame:
-    return prefix.join(component.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+def _prefix(classes: DataFrame, coordinates: int, matches: int, ws: Workspace) -> DataFrame:
+    """(class_id, central, mask, token): the k - matches + 1 rarest of the k shared values of each class.
+
+    ``central`` sums how often the values of the class occur, ``mask`` has a bit for each coordinate of its prefix.
+    """
+    tokens = classes.select("class_id", "sig").mapInArrow(lambda it: _tokens(it, coordinates), "token long, class_id long")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    lists = tokens.join(shared.hint("merge"), "token").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("t"), F.sum("f").alias("central")).where(F.size("t") >= matches)
+    lists = lists.select("class_id", "central", F.slice("t", 1, F.size("t") - (matches - 1)).alias("t"))
+    mask = F.expr(f"aggregate(t, 0L, (a, x) -> a | shiftleft(1L, int(x.token & {COORDINATES - 1})))")
+    return ws.table(lists.select("class_id", "central", mask.alias("mask"), F.explode("t").alias("x")).select("class_id", "central", "mask", "x.token"), "prefix", key="class_id")
+
+
+def _labelled(prefix: DataFrame, labels: DataFrame) -> DataFrame:
+    return prefix.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
 
 
-def _confirmed(ws: Workspace, pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs of classes whose texts meet the threshold.
+def _stars(prefix: DataFrame, labels: DataFrame, round_: int) -> DataFrame:
+    """(hub, other): in each list that spans several components, its pivot with all documents outside the pivot's component.
 
-    A hub may be in very many pairs: the join on it is one of two shuffled sides, whose large partitions Spark splits. The other
-    document of a pair is in few, and its text stays in its bucket.
+    The most central document of a list (by how often its values occur) is what the others are likeliest linked to; a later
+    round takes the most central one outside the component of that.
     """
-    sizes = classes.select(F.col("class_id").alias("u"), F.col("n_shingles").alias("nu"))
-    sized = pairs.join(sizes, "u").join(sizes.withColumnsRenamed({"u": "v", "nu": "nv"}), "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
-    sized = ws.table(sized.select("hub", F.when(F.col("hub") == F.col("u"), F.col("v")).otherwise(F.col("u")).alias("other")).distinct(), "sized")
-    hubs = texts.join(sized.select(F.col("hub").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    hubs = hubs.select((F.col("doc_id") + 0).alias("hub"), F.col("text").alias("text_v"))  # an expression, so that this side is shuffled
+    at = _labelled(prefix, labels)
+    rank = F.struct("central", F.xxhash64("class_id", F.lit(round_)))
+    pivot = at.groupBy("token").agg(F.max_by(F.struct("class_id", "component"), rank).alias("p"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2")
+    if round_:
+        others = at.join(pivot.select("token", F.col("p.component").alias("main")).hint("merge"), "token").where("component != main")
+        pivot = others.groupBy("token").agg(F.max_by(F.struct("class_id", "component"), rank).alias("p"))
+    pairs = at.join(pivot.select("token", "p").hint("merge"), "token").where("component != p.component")
+    return pairs.select(F.col("p.class_id").alias("hub"), F.col("class_id").alias("other")).distinct()
+
+
+def _counted(pairs: DataFrame, short: DataFrame, coordinates: int, matches: int, percent: int) -> DataFrame:
+    """The pairs whose sizes allow a link and whose signatures collide on ``matches`` coordinates.
+
+    A hub may be in very many pairs: the join on it is one of two shuffled sides, whose large partitions Spark splits.
+    """
+    hubs = short.select((F.col("class_id") + 0).alias("hub"), F.col("n_shingles").alias("nh"), F.col("sig").alias("hub_sig"))  # an expression, so that this side is shuffled
+    others = short.select(F.col("class_id").alias("other"), F.col("n_shingles").alias("no"), F.col("sig").alias("other_sig"))
+    met = pairs.join(others.hint("merge"), "other").join(hubs.hint("merge"), "hub").where(F.least("nh", "no") * 100 >= F.greatest("nh", "no") * percent)
+    return met.select("hub", "other", "hub_sig", "other_sig").mapInArrow(lambda it: _collide(it, coordinates, matches), "hub long, other long")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v): the pairs whose texts meet the threshold. The hub's text is shuffled, the other's stays in its bucket."""
+    hubs = texts.join(pairs.select(F.col("hub").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    hubs = hubs.select((F.col("doc_id") + 0).alias("hub"), F.col("text").alias("text_v"))
     others = texts.select(F.col("doc_id").alias("other"), F.col("text").alias("text_u"))
-    met = sized.join(hubs, "hub").join(others, "other").select(F.col("other").alias("u"), F.col("hub").alias("v"), "text_u", "text_v")
-    return met.mapInArrow(lambda it: _confirm(it, size, percent), "u long, v long").distinct()
+    met = pairs.join(hubs, "hub").join(others, "other").select(F.col("other").alias("u"), F.col("hub").alias("v"), "text_u", "text_v")
+    return met.mapInArrow(lambda it: _confirm(it, size, percent), "u long, v long")

@@ -59,7 +59,7 @@ class Workspace:
         if key:
             self.named.append(f"work_{uuid.uuid4().hex}")
             n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            df.write.format("parquet").bucketBy(n, key).option("path", at).saveAsTable(self.named[-1])
+            df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", at).saveAsTable(self.named[-1])
             return self.spark.table(self.named[-1])
         writer = df.write.partitionBy(by) if by else df.write
         writer.parquet(at)
