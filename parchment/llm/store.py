@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +18,12 @@ from ..cluster import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one is set where none is named."""
+    """The shared folder of the session; a temporary one is set where none is named and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not named and not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="parchment-"))
         current = spark.sparkContext.getCheckpointDir()
     return named or current
@@ -69,13 +73,25 @@ class Workspace:
         return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is computed inside: for columns whose cells may be large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(doc_id: str | Column, of: int) -> Column:
-    """crc32 of the id's decimal text, modulo ``of``; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")).cast("long") % of
+    """crc32 of the id's decimal text, modulo ``of``; null for a null id."""
+    return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")).cast("long") % of
 
 
 def held_out(doc_id: str, of: int, remainder: int) -> Column:

@@ -2,25 +2,27 @@
 
 A monolithic archive is one gzip stream over all its records, which nothing can seek in. The normaliser inflates it once, as a stream,
 rewrites every record as a gzip member of its own and writes a sidecar index of where each member lies. Readers then
-fetch single members. The functions on file objects do the work; the functions on frames run them on the executors, with
-archives of bounded size as rows of Parquet tables, so that any store that Spark writes to will do.
+fetch single members. The functions on file objects do the work; the functions on frames run them on the executors, over archives
+of bounded size that are files of a shared store. A task holds one record at a time. Its files carry the number of the attempt, and
+only those of attempts that ended well are named in the frames, so that a lost executor costs a retry and never half a file.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import io
+import json
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Workspace
+from .store import Workspace, small_batches
 
 #: Payload bytes after which a writing task begins another archive.
 ARCHIVE_BYTES = 16 << 20
@@ -28,9 +30,8 @@ ARCHIVE_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 LEVEL, GZIP = 4, 31
 CHUNK = 1 << 16
-
-INDEX = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("type", pa.string()), ("digest", pa.string())])
-INDEX_SQL = "array<struct<offset:bigint,length:bigint,record_id:string,type:string,digest:string>>"
+#: Rows of an Arrow batch: payloads may be large.
+ROWS = 128
 
 
 def _clean(value: str) -> str:
@@ -38,9 +39,12 @@ def _clean(value: str) -> str:
     return "".join(c if c not in "\r\n" else "%0D" if c == "\r" else "%0A" for c in value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record: a response with its payload, or (refers_to given) a revisit with the HTTP headers alone. ``digest`` is SHA-1 in hex."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
+    """One record: a response with its payload, or (refers_to given) a revisit with the HTTP headers alone.
+
+    ``size`` and ``digest`` (SHA-1 in hex) are those of the full payload, which a revisit need not be given.
+    """
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
     if url:
@@ -115,20 +119,20 @@ def _hex_digest(fields: dict[str, str]) -> str | None:
     return base64.b32decode(value).hex() if len(value) == 32 else value.lower() or None
 
 
-def normalise(raw: BinaryIO, out: BinaryIO) -> list[dict]:
-    """Rewrite an archive as a member for each record; the index rows: offset, length, record_id, type, digest."""
-    index, at = [], 0
+def normalise(raw: BinaryIO, out: BinaryIO) -> Iterator[dict]:
+    """Rewrite an archive as a member for each record; yields the index rows: offset, length, record_id, type, digest."""
+    at = 0
     for fields, head, block in records(raw):
         data = member(head + block + b"\r\n\r\n")
         out.write(data)
-        index.append({"offset": at, "length": len(data), "record_id": fields.get("warc-record-id"), "type": fields.get("warc-type"), "digest": _hex_digest(fields)})
+        yield {"offset": at, "length": len(data), "record_id": fields.get("warc-record-id"), "type": fields.get("warc-type"), "digest": _hex_digest(fields)}
         at += len(data)
-    return index
 
 
-def read_member(archive: bytes, offset: int, length: int) -> tuple[dict[str, str], bytes]:
-    """(headers, block) of the record whose member lies there."""
-    data = zlib.decompress(archive[offset : offset + length], GZIP)
+def read_member(archive: BinaryIO, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+    """(headers, block) of the record whose member lies there; nothing else of the archive is read."""
+    archive.seek(offset)
+    data = zlib.decompress(archive.read(length), GZIP)
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = _headers(head)
     return fields, rest[: int(fields["content-length"])]
@@ -142,86 +146,146 @@ def page_of(urn: str | None) -> int | None:
 # on frames --------------------------------------------------------------------------------------------------------------
 
 
-def _write(batches: Iterator[pa.RecordBatch], archive_bytes: int) -> Iterator[pa.RecordBatch]:
-    part, number = TaskContext.get().partitionId(), 0
-    z, out, size = None, [], 0
+def store_of(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a URI, as executors open them: shared mounts, HDFS and object stores."""
+    if uri.startswith("file:") or ":" not in uri:
+        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri("s3://" + uri.partition("://")[2] if uri.startswith(("s3a://", "s3n://")) else uri)
+
+
+def _attempt(stem: str, end: str) -> str:
+    return f"{stem}-{TaskContext.get().taskAttemptId()}{end}"
+
+
+def _write(batches: Iterator[pa.RecordBatch], location: str, archive_bytes: int) -> Iterator[pa.RecordBatch]:
+    fs, root = store_of(location)
+    part, number, size, n, out, z, uri = TaskContext.get().partitionId(), 0, 0, 0, None, None, ""
 
     def done() -> pa.RecordBatch:
-        out.append(z.flush())
-        return pa.RecordBatch.from_arrays([pa.array([f"archive-{part:06d}-{number:06d}.warc.gz"]), pa.array([b"".join(out)], pa.binary())], names=["archive", "content"])
+        out.write(z.flush())
+        out.close()
+        return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64())], names=["archive", "n_records"])
 
     for batch in batches:
-        for row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
-            page_id, url, html, digest, refers_to = (x.as_py() for x in row)
-            if z is None:
-                z, out, size = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP), [], 0
-            payload = (html or "").encode("utf-8", "surrogatepass")
-            out.append(z.compress(record(page_id, url, payload, digest, refers_to)))
-            size += len(payload)
+        for row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "n", "digest", "refers_to")), strict=True):
+            page_id, url, html, length, digest, refers_to = (x.as_py() for x in row)
+            if out is None:
+                name = _attempt(f"pages-{part:06d}-{number:06d}", ".warc.gz")
+                fs.create_dir(root, recursive=True)
+                z, uri, size, n = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP), f"{location}/{name}", 0, 0
+                out = fs.open_output_stream(f"{root}/{name}", compression=None)
+            data = record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), length, digest, refers_to)
+            out.write(z.compress(data))
+            size, n = size + len(data), n + 1
             if size >= archive_bytes:
                 yield done()
-                z, number = None, number + 1
-    if z is not None:
+                out, number = None, number + 1
+    if out is not None:
         yield done()
 
 
-def write_archives(pages: DataFrame, min_bytes: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(archive, content): monolithic archives with one record for each row of ``pages`` (page_id, url, html)."""
+def write_archives(pages: DataFrame, location: str, min_bytes: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """(archive, n_records): monolithic archives, written to the folder ``location`` when the frame is computed.
+
+    There is a record for each row of ``pages`` (page_id, url, html). Payloads are equal that have equal lengths and SHA-256 digests.
+    Groups of equal payloads meet as keys alone, without their bytes; rows then find their answer by id and digest, which no group shares.
+    """
     body = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", "html", F.sha1(body).alias("digest"), F.octet_length(body).cast("long").alias("n"))
+    rows = pages.select("page_id", "url", "html", F.sha2(body, 256).alias("same"), F.octet_length(body).cast("long").alias("n"))
+    keys = rows.where(F.col("n") >= min_bytes).select("page_id", "same", "n")
     # equal payloads of some size: the largest page_id answers for all
-    answers = rows.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("answer"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    joined = rows.join(answers, ["digest", "n"], "left").withColumn("refers_to", F.when(F.col("answer").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("answer")), F.col("answer")))
-    return joined.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(lambda it: _write(it, archive_bytes), "archive string, content binary")
+    answers = keys.groupBy("same", "n").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).where("c > 1 and refers_to is not null").drop("c")
+    revisits = keys.join(answers, ["same", "n"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("id"), F.col("same").alias("of"), "refers_to").distinct()
+    joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("same") == F.col("of")), "left")
+    joined = joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "n", F.sha1(body).alias("digest"), "refers_to")
+    return joined.mapInArrow(lambda it: _write(it, location, archive_bytes), "archive string, n_records long")
 
 
-def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _normalise(batches: Iterator[pa.RecordBatch], location: str) -> Iterator[pa.RecordBatch]:
+    fs, root = store_of(location)
     for batch in batches:
-        for name, content in zip(batch.column("archive"), batch.column("content"), strict=True):
-            out = io.BytesIO()
-            index = normalise(io.BytesIO(content.as_py()), out)
-            yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([out.getvalue()], pa.binary()), pa.array([index], pa.list_(INDEX))], names=["archive", "content", "index"])
+        for uri in batch.column("archive").to_pylist():
+            source, path = store_of(uri)
+            name = _attempt(uri.rpartition("/")[2].removesuffix(".warc.gz"), ".warc.gz")
+            fs.create_dir(root, recursive=True)
+            with source.open_input_file(path) as raw, fs.open_output_stream(f"{root}/{name}", compression=None) as out, fs.open_output_stream(f"{root}/{name}.idx", compression=None) as index:
+                for entry in normalise(raw, out):
+                    index.write(json.dumps(entry).encode() + b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{location}/{name}"]), pa.array([f"{location}/{name}.idx"])], names=["archive", "sidecar"])
 
 
-def normalise_archives(archives: DataFrame) -> DataFrame:
-    """(archive, content, index) of rows (archive, content); archive files come as such rows from Spark's binaryFile source."""
-    return archives.select("archive", "content").mapInArrow(_normalise, f"archive string, content binary, index {INDEX_SQL}")
+def _spread(named: DataFrame) -> DataFrame:
+    """A row of file names a task, as far as there are rows."""
+    return named.repartition(max(1, min(named.count(), 100_000)), "archive")
+
+
+def normalise_archives(archives: DataFrame, location: str) -> DataFrame:
+    """(archive, sidecar) of rows with the URI of an ``archive``, monolithic or not; both files are written to the folder ``location``.
+
+    A sidecar has a JSON line for every record: offset, length, record_id, type, digest.
+    """
+    return _spread(archives.select("archive")).mapInArrow(lambda it: _normalise(it, location), "archive string, sidecar string")
 
 
 READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("intact", pa.bool_())])
 
 
+def _records_at(archive: str, sidecar: str) -> Iterator[tuple]:
+    (fs, path), (side, at) = store_of(archive), store_of(sidecar)
+    with fs.open_input_file(path) as data, side.open_input_stream(at, compression=None) as index:
+        for line in _lines(index):
+            entry = json.loads(line)
+            fields, block = read_member(data, entry["offset"], entry["length"])
+            http, _, payload = block.partition(b"\r\n\r\n")
+            size, digest, intact = int(_headers(http)["content-length"]), _hex_digest(fields), True
+            if fields["warc-type"] == "response":
+                own = hashlib.sha1(payload).hexdigest()
+                intact = own == digest and len(payload) == size
+                size, digest = len(payload), own
+            yield page_of(fields.get("warc-record-id")), size, digest, fields["warc-type"], page_of(fields.get("warc-refers-to")), archive, entry["offset"], intact
+
+
+def _lines(stream: BinaryIO) -> Iterator[bytes]:
+    held = b""
+    while chunk := stream.read(CHUNK):
+        *full, held = (held + chunk).split(b"\n")
+        yield from full
+    if held:
+        yield held
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), READ, strict=True)], schema=READ)
+
+    rows: list[tuple] = []
     for batch in batches:
-        for name, content, index in zip(*(batch.column(c) for c in ("archive", "content", "index")), strict=True):
-            data, rows = content.as_py(), []
-            for entry in index.as_py():
-                fields, block = read_member(data, entry["offset"], entry["length"])
-                http, _, payload = block.partition(b"\r\n\r\n")
-                size, digest, intact = int(_headers(http)["content-length"]), _hex_digest(fields), True
-                if fields["warc-type"] == "response":
-                    own = hashlib.sha1(payload).hexdigest()
-                    intact = own == digest and len(payload) == size
-                    size, digest = len(payload), own
-                rows.append((page_of(fields.get("warc-record-id")), size, digest, fields["warc-type"], page_of(fields.get("warc-refers-to")), name.as_py(), entry["offset"], intact))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(READ)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, READ, strict=True)], schema=READ)
+        for archive, sidecar in zip(batch.column("archive").to_pylist(), batch.column("sidecar").to_pylist(), strict=True):
+            for row in _records_at(archive, sidecar):
+                rows.append(row)
+                if len(rows) == 4096:
+                    yield batch_of(rows)
+                    rows = []
+    if rows:
+        yield batch_of(rows)
 
 
 def read_archives(normalised: DataFrame) -> DataFrame:
-    """A row for every record: page_id, payload_bytes, payload_digest, record_type, refers_to, archive, offset, intact."""
-    return normalised.select("archive", "content", "index").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, intact boolean")
+    """A row for every record, fetched by its offset: page_id, payload_bytes, payload_digest, record_type, refers_to, archive, offset, intact."""
+    return _spread(normalised.select("archive", "sidecar")).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, intact boolean")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write ``pages`` as monolithic archives, normalise these, and read every record back through the index.
+    """Write ``pages`` as monolithic archives, normalise these, and read every record back through the sidecars.
 
     A row for each row of ``pages``. Null html is an empty payload, a null url leaves its header out, a null page_id is
     carried as null and is never preferred as the response. Of records with equal payloads of at least ``min_bytes`` the one
     with the largest page_id is the response and the others revisit it; rows that repeat that page_id and payload are
-    responses too. A revisit's size and digest are those of the full payload, from its headers. An empty table gives no rows.
+    responses too, and where all page_ids are null all are responses. A revisit's size and digest are those of the full payload, from
+    its headers. An empty table gives no rows; other columns are not read. The archives are in the shared folder while this runs and
+    go when it has been read back; ``write_archives`` and ``normalise_archives`` alone leave theirs where they are told to.
     """
-    with Workspace(pages.sparkSession) as ws:
-        archives = ws.table(write_archives(pages, min_bytes, archive_bytes), "monolithic")
-        normalised = ws.table(normalise_archives(archives), "normalised")
+    with Workspace(pages.sparkSession) as ws, small_batches(pages.sparkSession, ROWS):
+        archives = ws.table(write_archives(pages, ws.path("monolithic-files"), min_bytes, archive_bytes), "monolithic")
+        normalised = ws.table(normalise_archives(archives, ws.path("normalised-files")), "normalised")
         return ws.result(read_archives(normalised))

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 import itertools
+import json
 import math
 import random
 import re
@@ -309,16 +310,37 @@ def test_warc(spark):
 
 def test_warc_members():
     digest = hashlib.sha1(b"body").hexdigest()
-    plain = b"".join(warc.record(i, "u", b"body", digest, None) for i in range(3))
+    plain = b"".join(warc.record(i, "u", b"body", 4, digest, None) for i in range(3))
     out = io.BytesIO()
-    index = warc.normalise(io.BytesIO(gzip.compress(plain)), out)
+    index = list(warc.normalise(io.BytesIO(gzip.compress(plain)), out))
     assert gzip.decompress(out.getvalue()) == plain and [warc.page_of(e["record_id"]) for e in index] == [0, 1, 2]
-    fields, block = warc.read_member(out.getvalue(), index[2]["offset"], index[2]["length"])
+    fields, block = warc.read_member(out, index[2]["offset"], index[2]["length"])
     assert fields["warc-type"] == "response" and block.endswith(b"\r\n\r\nbody")
     again = io.BytesIO()
-    assert warc.normalise(io.BytesIO(out.getvalue()), again) == index and again.getvalue() == out.getvalue()
+    assert list(warc.normalise(io.BytesIO(out.getvalue()), again)) == index and again.getvalue() == out.getvalue()
     with pytest.raises(ValueError, match="ends within"):
-        warc.normalise(io.BytesIO(gzip.compress(plain[:-30])), io.BytesIO())
+        list(warc.normalise(io.BytesIO(gzip.compress(plain[:-30])), io.BytesIO()))
+
+
+def test_warc_files(spark, tmp_path):
+    """The files are archives that gzip alone can read, whole or by the sidecar's offsets; clashing columns and a very long payload change nothing."""
+    rows = [(i, "u", ("x" * 1500 if i < 5 else "é" * 300_000 if i == 7 else f"page {i}"), "clash", 5, b"z") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, same string, n int, archive binary")
+    archives = warc.write_archives(pages, f"file://{tmp_path}/mono", archive_bytes=4000).persist()
+    assert archives.agg(F.sum("n_records")).first()[0] == 20
+    found = warc.normalise_archives(archives, f"{tmp_path}/normal").persist()
+    assert found.count() == archives.count() > 1
+    seen = {}
+    for row in found.collect():
+        data = open(row.archive, "rb").read()
+        entries = [json.loads(x) for x in open(row.sidecar)]
+        whole = gzip.decompress(data)
+        assert b"".join(gzip.decompress(data[e["offset"] : e["offset"] + e["length"]]) for e in entries) == whole
+        for e in entries:
+            one = gzip.decompress(data[e["offset"] : e["offset"] + e["length"]])
+            seen[warc.page_of(e["record_id"])] = (e["type"], one.split(b"\r\n\r\n")[2:][0].decode())
+    assert {i for i, (kind, _) in seen.items() if kind == "revisit"} == {0, 1, 2, 3}
+    assert all(seen[i] == ("response", rows[i][2]) for i in range(4, 20))
 
 
 def test_pii(spark):
