@@ -184,11 +184,12 @@ def _write(batches: Iterator[pa.RecordBatch], location: str, archive_bytes: int)
         yield done()
 
 
-def write_archives(pages: DataFrame, location: str, min_bytes: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, location: str, min_bytes: int = 1000, archive_bytes: int = ARCHIVE_BYTES, ws: Workspace | None = None) -> DataFrame:
     """(archive, n_records): monolithic archives, written to the folder ``location`` when the frame is computed.
 
     There is a record for each row of ``pages`` (page_id, url, html). Payloads are equal that have equal lengths and SHA-256 digests.
     Groups of equal payloads meet as keys alone, without their bytes; rows then find their answer by id and digest, which no group shares.
+    With a workspace the revisits are written first, so that Spark knows their size before it decides how pages are joined to them.
     """
     body = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.sha2(body, 256).alias("same"), F.octet_length(body).cast("long").alias("n"))
@@ -196,6 +197,7 @@ def write_archives(pages: DataFrame, location: str, min_bytes: int = 1000, archi
     # equal payloads of some size: the largest page_id answers for all
     answers = keys.groupBy("same", "n").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).where("c > 1 and refers_to is not null").drop("c")
     revisits = keys.join(answers, ["same", "n"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("id"), F.col("same").alias("of"), "refers_to").distinct()
+    revisits = ws.table(revisits, "revisits") if ws else revisits
     joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("same") == F.col("of")), "left")
     joined = joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "n", F.sha1(body).alias("digest"), "refers_to")
     return joined.mapInArrow(lambda it: _write(it, location, archive_bytes), "archive string, n_records long")
@@ -286,6 +288,6 @@ def round_trip(pages: DataFrame, min_bytes: int = 1000, archive_bytes: int = ARC
     go when it has been read back; ``write_archives`` and ``normalise_archives`` alone leave theirs where they are told to.
     """
     with Workspace(pages.sparkSession) as ws, small_batches(pages.sparkSession, ROWS):
-        archives = ws.table(write_archives(pages, ws.path("monolithic-files"), min_bytes, archive_bytes), "monolithic")
+        archives = ws.table(write_archives(pages, ws.path("monolithic-files"), min_bytes, archive_bytes, ws), "monolithic")
         normalised = ws.table(normalise_archives(archives, ws.path("normalised-files")), "normalised")
         return ws.result(read_archives(normalised))
