@@ -364,6 +364,90 @@ def test_pii(spark):
     assert (got[(4, ())].text, got[(5, ())].text, got[(6, ())].text) == ("nothing here", None, "")
 
 
+LEAKY = {
+    0: "Mr Bob Smith came. Later Smith said hi, and Bob agreed; SMITH's dog too",
+    1: "Frau Müller und Müller",
+    2: "jörg@example.com and user@παράδειγμα.gr",
+    3: "call +44 20 7946 0958 now",
+    4: "Dr. Jane Roe met Mrs 王 小明, then Roe left 小明",
+    5: "Mr Γιώργος Παπάς: Παπάς",
+    6: "IBAN GB82 WEST 1234 5698 7654 32 or DE89370400440532013000",
+    7: "ver 1.2.3.4 at 10.0.0.7, version 2.0.0.1",
+    8: "token = abcd1234 and again abcd1234 here",
+    9: "Mrs. O'Brien-Jones, O'Brien-Jones",
+    10: "г-н Иван Петров, Петров",
+}
+VALUES = {
+    0: ["Bob", "Smith", "SMITH"], 1: ["Müller"], 2: ["jörg", "jö", "user@", "παράδειγμα"], 3: ["7946", "0958"], 4: ["Jane", "Roe", "王", "小明"], 5: ["Γιώργος", "Παπάς"],
+    6: ["WEST", "1234 5698", "370400440532013000"], 7: ["10.0.0.7"], 8: ["abcd1234"], 9: ["O'Brien"], 10: ["Иван", "Петров"],
+}
+
+
+def iban_rest(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def test_pii_leaves_nothing(spark):
+    got = {r.doc_id: r.text for r in pii.replace_pii(frame(spark, [(i, t, "", "", 0) for i, t in LEAKY.items()]), "k").collect()}
+    for i, values in VALUES.items():
+        assert not [v for v in values if v in got[i]], (i, got[i])
+    assert got[7].startswith("ver 1.2.3.4 at ") and got[7].endswith(", version 2.0.0.1")
+    found = re.fullmatch(r"IBAN (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) or (DE\d{20})", got[6])
+    assert [iban_rest(x) for x in found.groups()] == [1, 1]
+    one = re.fullmatch(r"Mr (\S+) (\S+) came. Later (\S+) said hi, and (\S+) agreed; (\S+)'s dog too", got[0])
+    assert one[2] == one[3] and one[1] == one[4] and one[5] == one[2].upper()
+    import regex
+
+    assert regex.fullmatch(r"Mr \p{Greek}{7} \p{Greek}{5}: \p{Greek}{5}", got[5]) and regex.search(r"Mrs \p{Han} (\p{Han}{2}), then \S+ left \1", got[4])
+    assert regex.fullmatch(r"г-н \p{Cyrillic}[\p{Cyrillic}-]+ (\p{Cyrillic}+), \1", got[10])
+
+
+def test_pii_against_brute_force(spark, docs):
+    """Detection with another regex engine and replacement in Python, given the surrogates; on whole texts of many kinds."""
+    import regex
+
+    from parchment.llm.store import Workspace
+
+    pattern = regex.compile(pii.ENTITY.replace(r"\p{Is", r"\p{"), regex.V0)
+    rng = random.Random(8)
+    kinds = ["Mr Bob Smith", "Ann.Lee42@mail.example.com", "+1 (555) 010-2233", "4111 1111 1111 1111", "10.1.2.3", "password=deadbeef12", "Dr Ada Lovelace", "123-45-6789", "Frau Weiß", "Smith", "Bob", "plain 12 words"]
+    rows = [(i, " ".join(rng.choice([*kinds, prose(3, rng)]) for _ in range(rng.randint(1, 30)))) for i in range(80)] + [(100, " ".join([prose(4000, rng), "Mr Bob Smith", prose(4000, rng), "Smith"])), *((1000 + i, t) for i, t in rows_of(spark, docs))]
+    got = collections.defaultdict(set)
+    for r in pii.replace_pii(frame(spark, [(i, t, "", "", 0) for i, t in rows]), "k").collect():
+        got[r.doc_id].add(r.text)
+
+    def parts(m):
+        if "@" in m and "=" not in m.split("@")[0]:
+            return [("email", m)]
+        if m[0] in "MDF":
+            title, *names = m.split(" ")
+            gender = {"Mr": "given_m", "Frau": "given_f"}.get(title, "given_n")
+            return [("text", title + " "), *([(gender, names[0]), ("text", " ")] if len(names) > 1 else []), ("family", names[-1])]
+        if "=" in m:
+            return [("text", "password="), ("secret", m.split("=")[1])]
+        return [("ip" if "." in m else "ssn" if m.count("-") == 2 and "(" not in m else "phone" if "(" in m else "card", m)]
+
+    wanted = sorted({p for _, t in rows for m in pattern.findall(t or "") for p in parts(m) if p[0] != "text"})
+    with Workspace(spark) as ws:
+        new = {(r.kind, r.value): r.surrogate for r in pii.surrogates(spark.createDataFrame(wanted, "kind string, value string"), "k", ws).collect()}
+    assert len(set(new.values())) == len(new) > 10
+    for i, t in rows:
+        if t is None:
+            assert got[i] == {None}
+            continue
+        found = [parts(m) for m in pattern.findall(t)]
+        names = {v: new[k, v] for ps in found for k, v in ps if k == "family" or k.startswith("given")}
+        names |= {v.upper(): x.upper() for v, x in names.items()}
+        secrets = {v: new[k, v] for ps in found for k, v in ps if k == "secret"}
+        out = []
+        for gap, ps in itertools.zip_longest(pattern.split(t), found, fillvalue=[]):
+            for v, x in secrets.items():
+                gap = gap.replace(v, x)
+            out.append(regex.sub(r"\p{L}[\p{L}\p{M}]*", lambda m: names.get(m[0], m[0]), gap) + "".join(new.get(p, p[1]) for p in ps))
+        assert got[i] == {"".join(out)}, t
+
+
 def test_secrets_in_quotes_and_after_blanks(spark):
     hexes = "04dbebab91ab85687d4111111111111111f962ee"
     given = [f'x token = "{hexes}" y', f'TOKEN = "{hexes.upper()}"', f"api_key:'{hexes}'", f"password = {hexes};", 'secret = "two words, and more" z', "passwd = 'abcdefgh", f"password={hexes}", 'the token is "open"', 'token = ""']
@@ -410,7 +494,7 @@ def run_all(spark, df, path, labels):
     bench = spark.createDataFrame([(1, prose(30))], "item_id long, text string")
     return {
         "exact": exact_dedup.exact_dedup(spark, path).count(), "near": near_dedup.near_dedup(df).count(), "decontam": decontam.drop_contaminated(df, bench).count(), "lm": lm.lm_scores(df).count(),
-        "quality": quality.quality(df, labels).count(), "encode": sp.encode(df).count(), "toxicity": toxicity.toxicity(df, labels).count(), "pii": pii.replace_pii(df).count(), "lines": line_dedup.line_dedup(df).count(),
+        "quality": quality.quality(df, labels).count(), "encode": sp.encode(df).count(), "toxicity": toxicity.toxicity(df, labels).count(), "pii": pii.replace_pii(df, "k").count(), "lines": line_dedup.line_dedup(df).count(),
     }
 
 
