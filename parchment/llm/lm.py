@@ -1,14 +1,15 @@
 """Language-model scoring: a unigram base and a log-bilinear neural model trained by noise-contrastive estimation.
 
-The model predicts over a shortlist of the most frequent words and one class for all others: a context of the two words before
-predicts a feature vector r = C1 q(w-1) + C2 q(w-2), and a word w has the logit r . q(w) + b(w). Within the class of others a word
-has its smoothed relative frequency there, so that the probabilities of all words sum to one.
+The model predicts over a vocabulary of the most frequent words and one word that stands for all others: a context of the two words
+before predicts a feature vector r = C1 q(w-1) + C2 q(w-2). The vocabulary is dealt into about as many classes as a class has words; a
+class and a word within its class have logits r . q + b, and both are normalised, so that a probability costs two short sums and not one
+over the vocabulary. Other words have their smoothed relative frequency among themselves, so that the probabilities of all words sum to one.
 
-What it is trained on is the whole training fold: counts of (w-2, w-1, w) over the shortlist are a sufficient statistic, gathered by a
-distributed aggregation, and bounded by the shortlist whatever the corpus. They are trained on in shards, each by minibatch NCE in
+What it is trained on is the whole training fold: counts of (w-2, w-1, w) are a sufficient statistic, gathered by a
+distributed aggregation, and grow with the corpus. They are trained on in shards of bounded size, each by minibatch NCE in
 numpy from the same start, whose parameters are then averaged (parameter mixing), in rounds. In each round every counted n-gram is
 used: one counted n times is visited ceil(n / WEIGHT) times, which weigh n together, so that the steps follow the counts. Scores are normalised: batched matrix
-products give the logits of all classes for the distinct contexts of a slice of documents.
+products give the logits of all classes for the distinct contexts of a slice of documents, and of all words of a class for its tokens.
 
 Counts of all training words are aggregated and joined by the words' 64-bit hashes; those of the most frequent words go out as a
 table of bounded size, so that no frequent word is ever a join key.
@@ -25,15 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import Workspace, held_out
+from .store import Workspace, held_out, small_batches
 
-#: Words of the shortlist, and words whose counts are sent out (8 + 8 bytes each).
-SHORTLIST, SENT = 255, 131_072
-DIM, NOISE, ROUNDS, SHARDS, BATCH = 16, 5, 2, 4, 512
+#: Words of the vocabulary, and words whose counts are sent out (8 + 8 bytes each).
+VOCABULARY, SENT = 32_768, 131_072
+DIM, NOISE, ROUNDS, BATCH = 16, 5, 2, 2048
+#: Counted n-grams of a shard, about; shards at least; and shards whose parameters meet in one task of the averaging.
+SHARD, SHARDS, TOGETHER = 2_000_000, 4, 32
 #: What one visit of an n-gram weighs at most.
 WEIGHT = 16
 #: Rows of counts that a task holds before it adds up and passes them on.
-HELD = 1_500_000
+HELD = 750_000
+#: Bytes of text that are scored at once.
+SCORED = 1 << 20
 #: The identity of the end of a text.
 END = np.uint64(0x0E0D)
 
@@ -63,9 +68,9 @@ def _counted(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield batch(*_fold_in(held))
 
 
-def _sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _sequences(column: pa.Array, limit: int = tx.SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, word hashes with an end after each document, n + 1 positions) of each slice."""
-    for low, high, data, offsets in tx.slices(column):
+    for low, high, data, offsets in tx.slices(column, limit):
         starts, ends, at = tx.words(data, offsets)
         n = high - low
         h = np.full(len(starts) + n, END, np.uint64)
@@ -74,7 +79,7 @@ def _sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 
 def _classes(h: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The class of each word: its place in the shortlist, or the class of others, len(keys)."""
+    """The class of each word: its place in the vocabulary, or that of others, len(keys)."""
     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
     return np.where(keys[at] == h, ids[at], len(keys)).astype(np.int64)
 
@@ -113,70 +118,99 @@ def _visits(n: np.ndarray, draws: int | None, rng: np.random.Generator) -> Itera
 
 
 class LogBilinear:
-    """Parameters: q (context and target vectors of each class), position weights C1 and C2, biases b."""
+    """Parameters: vectors of context words (C1 q and C2 q, kept as products), and vectors and biases of classes and words as targets.
+
+    Word i is of class i // width. ``k`` words are predicted; the contexts have one more, for the beginning of a text.
+    """
 
     def __init__(self, counts: np.ndarray, dim: int = DIM, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.k = len(counts)  # targets; one context class more, for the beginning
-        p = (counts + 0.5) / (counts + 0.5).sum()
-        self.noise = p
-        self.ctx = rng.normal(0, 0.3, (2, self.k + 1, dim)).astype(np.float32)  # C1 q and C2 q, kept as products
-        self.out = rng.normal(0, 0.3, (self.k, dim)).astype(np.float32)
-        self.bias = np.log(p).astype(np.float32)
+        self.k = len(counts)
+        self.width = max(1, int(np.ceil(np.sqrt(self.k))))
+        self.classes = -(-self.k // self.width)
+        p = counts + 0.5
+        of = np.add.reduceat(p, np.arange(0, self.k, self.width))
+        self.class_noise = of / of.sum()
+        self.noise = p / np.repeat(of, self.width)[: self.k]  # within the class
+        self.ctx = rng.normal(0, 0.1, (2, self.k + 1, dim)).astype(np.float32)
+        self.out, self.bias = rng.normal(0, 0.1, (self.k, dim)).astype(np.float32), np.log(self.noise).astype(np.float32)
+        self.class_out, self.class_bias = rng.normal(0, 0.1, (self.classes, dim)).astype(np.float32), np.log(self.class_noise).astype(np.float32)
+
+    def _arrays(self) -> list[np.ndarray]:
+        return [self.ctx[0], self.ctx[1], self.out, self.bias, self.class_out, self.class_bias]
 
     def parameters(self) -> np.ndarray:
-        return np.concatenate([self.ctx.ravel(), self.out.ravel(), self.bias]).astype(np.float32)
+        return np.concatenate([x.ravel() for x in self._arrays()]).astype(np.float32)
 
     def load(self, flat: np.ndarray) -> LogBilinear:
-        a, b = self.ctx.size, self.ctx.size + self.out.size
-        self.ctx, self.out, self.bias = flat[:a].reshape(self.ctx.shape).copy(), flat[a:b].reshape(self.out.shape).copy(), flat[b:].copy()
+        at = 0
+        for x in self._arrays():
+            x[...] = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
         return self
 
-    def train(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, n: np.ndarray, steps: int | None, seed: int, rate: float = 0.3, noise: int = NOISE) -> None:
-        """Minibatch NCE with Adagrad: ``n`` weighs an n-gram; each is told from ``noise`` words drawn from the unigram distribution. No steps: one pass over all."""
+    def train(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, n: np.ndarray, steps: int | None, seed: int, rate: float = 0.1, noise: int = NOISE) -> None:
+        """Minibatch NCE with Adagrad: ``n`` weighs an n-gram. No steps: one pass over all.
+
+        An n-gram's class is told from ``noise`` classes drawn by their frequency, its word from as many of the class, drawn by theirs.
+        """
         rng = np.random.default_rng(seed)
-        log_noise = np.log(noise * self.noise).astype(np.float32)
-        cumulative = np.cumsum(self.noise)
+        ends, class_ends = np.cumsum(np.repeat(self.class_noise, self.width)[: self.k] * self.noise), np.cumsum(self.class_noise)
+        log_noise, log_class_noise = (np.log(noise * x).astype(np.float32) for x in (self.noise, self.class_noise))
         mean = n.sum() / max(1, (-(-n.astype(np.int64) // WEIGHT)).sum())  # weight of a visit
-        squares = [np.full(p.shape, 1e-3, np.float32) for p in (self.ctx[0], self.ctx[1], self.out, self.bias)]
+        squares = [np.ones(p.shape, np.float32) for p in self._arrays()]
+
+        def update(p: np.ndarray, s: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
+            rows, place = np.unique(at, return_inverse=True)
+            total = np.stack([np.bincount(place, weights=x, minlength=len(rows)) for x in g.reshape(len(at), -1).T], 1).astype(np.float32).reshape(len(rows), *p.shape[1:])
+            s[rows] += total * total
+            p[rows] += rate * total / np.sqrt(s[rows])
+
+        def told(out: np.ndarray, bias: np.ndarray, logs: np.ndarray, r: np.ndarray, w: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Gradients of the log-likelihood by the features, and by the vectors and biases of the targets (the first) and the noise."""
+            q = out[w]
+            delta = np.einsum("bd,bkd->bk", r, q) + bias[w] - logs[w]
+            g = -1 / (1 + np.exp(np.clip(-delta, -30, 30)))
+            g[:, 0] += 1
+            g = (g * weight[:, None]).astype(np.float32)
+            return np.einsum("bk,bkd->bd", g, q), (g[:, :, None] * r[:, None, :]).reshape(-1, r.shape[1]), g.ravel()
+
         for pick, weight in _visits(n, None if steps is None else steps * BATCH, rng):
-            a, b = one[pick], two[pick]
+            a, b, w, weight = one[pick], two[pick], word[pick], weight / mean
             r = self.ctx[0, a] + self.ctx[1, b]
-            drawn = np.minimum(np.searchsorted(cumulative, rng.random((len(pick), noise))), self.k - 1)
-            w = np.concatenate([word[pick][:, None], drawn], 1)
-            q = self.out[w]
-            delta = (r[:, None, :] * q).sum(2) + self.bias[w] - log_noise[w]
-            g = -1 / (1 + np.exp(np.clip(-delta, -30, 30)))  # of the log-likelihood, by the score
-            g[:, 0] += 1
-            g = (g * (weight / mean)[:, None]).astype(np.float32) / BATCH
-            dr = (g[:, :, None] * q).sum(1)
-            flat, gf = w.ravel(), g.ravel()
-            dq = np.zeros_like(self.out)
-            many = (g[:, :, None] * r[:, None, :]).reshape(-1, r.shape[1])
-            for j in range(dq.shape[1]):
-                dq[:, j] = np.bincount(flat, weights=many[:, j], minlength=self.k)
-            grads = []
-            for c in (a, b):
-                d = np.zeros_like(self.ctx[0])
-                for j in range(d.shape[1]):
-                    d[:, j] = np.bincount(c, weights=dr[:, j], minlength=len(d))
-                grads.append(d)
-            grads += [dq, np.bincount(flat, weights=gf, minlength=self.k).astype(np.float32)]
-            for p, d, s in zip((self.ctx[0], self.ctx[1], self.out, self.bias), grads, squares, strict=True):
-                s += d * d
-                p += rate * d / np.sqrt(s)
+            c = w // self.width
+            classes = np.concatenate([c[:, None], np.minimum(np.searchsorted(class_ends, rng.random((len(pick), noise))), self.classes - 1)], 1)
+            low = np.where(c > 0, class_ends[c - 1], 0.0)
+            drawn = np.searchsorted(ends, low[:, None] + rng.random((len(pick), noise)) * self.class_noise[c][:, None], "right")
+            words = np.concatenate([w[:, None], np.clip(drawn, (c * self.width)[:, None], np.minimum((c + 1) * self.width, self.k)[:, None] - 1)], 1)
+            by_class, by_word = told(self.class_out, self.class_bias, log_class_noise, r, classes, weight), told(self.out, self.bias, log_noise, r, words, weight)
+            dr = by_class[0] + by_word[0]
+            p = self._arrays()
+            for i, (at, g) in enumerate([(a, dr), (b, dr), (words.ravel(), by_word[1]), (words.ravel(), by_word[2]), (classes.ravel(), by_class[1]), (classes.ravel(), by_class[2])]):
+                update(p[i], squares[i], at, g)
+
+    @staticmethod
+    def _log_sum(logits: np.ndarray) -> np.ndarray:
+        top = logits.max(1)
+        return top + np.log(np.exp(logits - top[:, None]).sum(1))
 
     def log10(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of each class after its context."""
+        """Normalised log10 probability of each word after its context."""
         code, inverse = np.unique(two * (self.k + 1) + one, return_inverse=True)
-        z = np.empty(len(code), np.float32)
-        for low in range(0, len(code), 8192):
-            part = code[low : low + 8192]
-            logits = (self.ctx[0, part % (self.k + 1)] + self.ctx[1, part // (self.k + 1)]) @ self.out.T + self.bias
-            top = logits.max(1)
-            z[low : low + 8192] = top + np.log(np.exp(logits - top[:, None]).sum(1))
-        r = self.ctx[0, one] + self.ctx[1, two]
-        return ((r * self.out[word]).sum(1) + self.bias[word] - z[inverse]).astype(np.float64) / np.log(10)
+        r = self.ctx[0, code % (self.k + 1)] + self.ctx[1, code // (self.k + 1)]
+        z = np.concatenate([self._log_sum(r[low : low + 8192] @ self.class_out.T + self.class_bias) for low in range(0, len(code), 8192)]) if len(code) else np.zeros(0, np.float32)
+        c = word // self.width
+        order = np.argsort(c, kind="stable")
+        out = np.empty(len(word))
+        for at in np.split(order, np.flatnonzero(np.diff(c[order])) + 1) if len(order) else []:
+            k = int(c[at[0]])
+            words = slice(k * self.width, min((k + 1) * self.width, self.k))
+            for low in range(0, len(at), 8192):
+                part = at[low : low + 8192]
+                x = r[inverse[part]]
+                logits = x @ self.out[words].T + self.bias[words]
+                out[part] = logits[np.arange(len(part)), word[part] - words.start] - self._log_sum(logits) + x @ self.class_out[k] + self.class_bias[k] - z[inverse[part]]
+        return out / np.log(10)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +241,18 @@ def _train(batches: Iterator[pa.RecordBatch], model: LogBilinear, seed: int) ->
         yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([model.parameters().tobytes()], pa.binary())], names=["n", "parameters"])
 
 
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for all of a task: the parameters averaged by weight, one shard's at a time."""
+    total, mean = 0, None
+    for batch in batches:
+        for n, flat in sorted(zip(batch.column("n").to_pylist(), batch.column("parameters").to_pylist(), strict=True)):
+            flat = np.frombuffer(flat, np.float32).astype(np.float64)
+            total += n
+            mean = flat if mean is None else mean + (flat - mean) * (n / total)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], names=["n", "parameters"])
+
+
 ROWS = "row_id long, doc_id long, n_tokens long, model double, logs double, n_sent long, n_other long, other_logs double, rest array<long>, rest_n array<int>"
 
 
@@ -214,7 +260,7 @@ def _score(batches: Iterator[pa.RecordBatch], keys: np.ndarray, ids: np.ndarray,
     row = TaskContext.get().partitionId() << 40
     logs_of = np.log10(sent_n + 0.5)
     for batch in batches:
-        for low, high, h, at in _sequences(batch.column("text")):
+        for low, high, h, at in _sequences(batch.column("text"), SCORED):
             n = high - low
             doc = np.repeat(np.arange(n), np.diff(at))
             c = _classes(h, keys, ids)
@@ -244,7 +290,7 @@ def _score(batches: Iterator[pa.RecordBatch], keys: np.ndarray, ids: np.ndarray,
             row += n
 
 
-def lm_scores(docs: DataFrame, shortlist: int = SHORTLIST, sent: int = SENT) -> DataFrame:
+def lm_scores(docs: DataFrame, vocabulary: int = VOCABULARY, sent: int = SENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
     Learnt from all rows whose crc32(doc_id as text) mod 5 is not 1 (rows without a doc_id among them). A-Z is lower-cased; tokens
@@ -262,7 +308,7 @@ def lm_scores(docs: DataFrame, shortlist: int = SHORTLIST, sent: int = SENT) ->
         top = counts.orderBy(F.desc("n"), "key").limit(sent).toArrow()
         sent_keys, sent_n = top.column("key").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy().astype(np.int64)
         rank = np.lexsort((sent_keys, -sent_n))
-        rank = np.concatenate([np.flatnonzero(sent_keys == END), rank[sent_keys[rank] != END]])[:shortlist]
+        rank = np.concatenate([np.flatnonzero(sent_keys == END), rank[sent_keys[rank] != END]])[: min(vocabulary, sent)]
         short = sent_keys[rank] if len(rank) else np.array([END])
         short_n = sent_n[rank] if len(rank) else np.zeros(1, np.int64)
         order = np.argsort(short)
@@ -273,15 +319,21 @@ def lm_scores(docs: DataFrame, shortlist: int = SHORTLIST, sent: int = SENT) ->
         by = np.argsort(sent_keys)
         sent_keys, sent_n = sent_keys[by], sent_n[by]
 
-        grams = ws.table(train.mapInArrow(lambda it: _ngrams(it, keys, ids), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).repartition(SHARDS, F.xxhash64("key")), "grams")
+        grams = ws.table(train.mapInArrow(lambda it: _ngrams(it, keys, ids), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
+        shards = max(SHARDS, -(-grams.count() // SHARD))
+        made_of = "n long, parameters binary"
         model = LogBilinear(np.append(short_n, other_n).astype(float))
         for round_ in range(ROUNDS if total else 0):
             now = spark.sparkContext.broadcast(model)
-            made = grams.repartition(SHARDS, F.xxhash64("key")).mapInArrow(lambda it, now=now, r=round_: _train(it, now.value, 100 + r), "n long, parameters binary").toArrow()
-            weight = made.column("n").to_numpy().astype(float)
-            flat = np.stack([np.frombuffer(p.as_py(), np.float32) for p in made.column("parameters")])
-            by_content = np.lexsort((flat[:, 0], weight))  # the same sum whatever the order of arrival
-            model = LogBilinear(np.append(short_n, other_n).astype(float)).load(np.average(flat[by_content], axis=0, weights=weight[by_content]).astype(np.float32))
+            with small_batches(spark, 100_000):
+                made = ws.table(grams.repartition(shards, F.xxhash64("key")).mapInArrow(lambda it, now=now, r=round_: _train(it, now.value, 100 + r), made_of), "made")
+            while True:  # averages of averages, until few are left for the driver
+                tasks = -(-made.count() // TOGETHER)
+                with small_batches(spark, 1):
+                    made = ws.table(made.repartition(tasks, F.xxhash64("parameters")).mapInArrow(_averaged, made_of), "made")
+                if tasks == 1:
+                    break
+            model = LogBilinear(np.append(short_n, other_n).astype(float)).load(np.frombuffer(made.first().parameters, np.float32))
 
         out = spark.sparkContext.broadcast((keys, ids, model, sent_keys, sent_n))
         rows = ws.table(given.mapInArrow(lambda it: _score(it, *out.value), ROWS), "rows")

@@ -169,7 +169,7 @@ def test_lm(spark, docs):
         if zlib.crc32(str(i).encode()) % 5 != 1:
             counts.update(w)
     n, v = sum(counts.values()), len(counts)
-    got = lm.lm_scores(spark.read.parquet(docs), shortlist=20, sent=100).collect()
+    got = lm.lm_scores(spark.read.parquet(docs), vocabulary=20, sent=100).collect()
     assert len(got) == len(rows)
     for r in got:
         w = tokens[r.doc_id]
@@ -178,6 +178,32 @@ def test_lm(spark, docs):
         assert r.score < 0
 
 
+def test_lm_beats_word_frequencies(spark):
+    """On held-out documents whose words follow from the word before, by 0.2 log10 a token at least; and against sums over the whole vocabulary."""
+    rng = random.Random(6)
+    follows = {w: rng.sample(VOCABULARY, 3) for w in VOCABULARY}
+    rows = []
+    for i in range(400):
+        words = [rng.choice(VOCABULARY)]
+        while len(words) < 80:
+            words.append(rng.choice(follows[words[-1]]))
+        rows.append((i, " ".join(words), "", "", 0))
+    got = [r for r in lm.lm_scores(frame(spark, rows)).collect() if r.held_out]
+    assert sum(r.score - r.base_score for r in got) >= 0.2 * sum(r.n_tokens for r in got) > 1000
+    import numpy as np
+
+    m = lm.LogBilinear(np.arange(1.0, 31))
+    one, two = np.array([3, 30]), np.array([30, 7])
+    logits = (m.ctx[0, one] + m.ctx[1, two]) @ m.out.T + m.bias
+    classes = (m.ctx[0, one] + m.ctx[1, two]) @ m.class_out.T + m.class_bias
+    for w in range(30):
+        c = w // m.width
+        inside = range(c * m.width, min(30, (c + 1) * m.width))
+        for i in range(2):
+            want = math.log10(math.exp(logits[i, w]) / sum(math.exp(logits[i, x]) for x in inside) * math.exp(classes[i, c]) / sum(map(math.exp, classes[i])))
+            assert m.log10(one[i : i + 1], two[i : i + 1], np.array([w]))[0] == pytest.approx(want, abs=1e-5)
+
+
 def test_log_bilinear_is_normalised_and_learns():
     import numpy as np
 
@@ -437,7 +463,7 @@ def test_pii_against_brute_force(spark, docs):
             assert got[i] == {None}
             continue
         found = [parts(m) for m in pattern.findall(t)]
-        names = {v: new[k, v] for ps in found for k, v in ps if k == "family" or k.startswith("given")}
+        names = {v: new[k, v] for k, v in sorted((p for ps in found for p in ps), reverse=True) if k == "family" or k.startswith("given")}
         names |= {v.upper(): x.upper() for v, x in names.items()}
         secrets = {v: new[k, v] for ps in found for k, v in ps if k == "secret"}
         out = []
