@@ -183,13 +183,13 @@ def test_lm_beats_word_frequencies(spark):
     rng = random.Random(6)
     follows = {w: rng.sample(VOCABULARY, 3) for w in VOCABULARY}
     rows = []
-    for i in range(400):
+    for i in range(3000):
         words = [rng.choice(VOCABULARY)]
         while len(words) < 80:
             words.append(rng.choice(follows[words[-1]]))
         rows.append((i, " ".join(words), "", "", 0))
     got = [r for r in lm.lm_scores(frame(spark, rows)).collect() if r.held_out]
-    assert sum(r.score - r.base_score for r in got) >= 0.2 * sum(r.n_tokens for r in got) > 1000
+    assert sum(r.score - r.base_score for r in got) >= 0.2 * sum(r.n_tokens for r in got) > 5000
     import numpy as np
 
     m = lm.LogBilinear(np.arange(1.0, 31))
