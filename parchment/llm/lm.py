@@ -7,7 +7,7 @@ over the vocabulary. Other words have their smoothed relative frequency among th
 
 What it is trained on is the whole training fold: counts of (w-2, w-1, w) are a sufficient statistic, gathered by a
 distributed aggregation, and grow with the corpus. They are trained on in shards of bounded size, each by minibatch NCE in
-numpy from the same start, whose parameters are then averaged (parameter mixing), in rounds. In each round every counted n-gram is
+numpy from the same start, whose parameters are then averaged (parameter mixing). Every counted n-gram is
 used: one counted n times is visited ceil(n / WEIGHT) times, which weigh n together, so that the steps follow the counts. Scores are normalised: batched matrix
 products give the logits of all classes for the distinct contexts of a slice of documents, and of all words of a class for its tokens.
 
@@ -30,8 +30,8 @@ from .store import Workspace, held_out, small_batches
 
 #: Words of the vocabulary, and words whose counts are sent out (8 + 8 bytes each).
 VOCABULARY, SENT = 32_768, 131_072
-DIM, NOISE, ROUNDS, BATCH = 16, 5, 2, 2048
-#: Counted n-grams of a shard, about; shards at least; and shards whose parameters meet in one task of the averaging.
+DIM, NOISE, BATCH = 16, 5, 2048
+#: Tokens of a shard, about; shards at least; and shards whose parameters meet in one task of the averaging.
 SHARD, SHARDS, TOGETHER = 2_000_000, 4, 32
 #: What one visit of an n-gram weighs at most.
 WEIGHT = 16
@@ -133,11 +133,11 @@ class LogBilinear:
         self.class_noise = of / of.sum()
         self.noise = p / np.repeat(of, self.width)[: self.k]  # within the class
         self.ctx = rng.normal(0, 0.1, (2, self.k + 1, dim)).astype(np.float32)
-        self.out, self.bias = rng.normal(0, 0.1, (self.k, dim)).astype(np.float32), np.log(self.noise).astype(np.float32)
-        self.class_out, self.class_bias = rng.normal(0, 0.1, (self.classes, dim)).astype(np.float32), np.log(self.class_noise).astype(np.float32)
+        biased = lambda noise: np.concatenate([rng.normal(0, 0.1, (len(noise), dim)), np.log(noise)[:, None]], 1).astype(np.float32)
+        self.out, self.class_out = biased(self.noise), biased(self.class_noise)  # the last column is the bias
 
     def _arrays(self) -> list[np.ndarray]:
-        return [self.ctx[0], self.ctx[1], self.out, self.bias, self.class_out, self.class_bias]
+        return [self.ctx[0], self.ctx[1], self.out, self.class_out]
 
     def parameters(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self._arrays()]).astype(np.float32)
@@ -149,7 +149,7 @@ class LogBilinear:
             at += x.size
         return self
 
-    def train(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, n: np.ndarray, steps: int | None, seed: int, rate: float = 0.1, noise: int = NOISE) -> None:
+    def train(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, n: np.ndarray, steps: int | None, seed: int, rate: float = 0.25, noise: int = NOISE) -> None:
         """Minibatch NCE with Adagrad: ``n`` weighs an n-gram. No steps: one pass over all.
 
         An n-gram's class is told from ``noise`` classes drawn by their frequency, its word from as many of the class, drawn by theirs.
@@ -161,19 +161,22 @@ class LogBilinear:
         squares = [np.ones(p.shape, np.float32) for p in self._arrays()]
 
         def update(p: np.ndarray, s: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
-            rows, place = np.unique(at, return_inverse=True)
-            total = np.stack([np.bincount(place, weights=x, minlength=len(rows)) for x in g.reshape(len(at), -1).T], 1).astype(np.float32).reshape(len(rows), *p.shape[1:])
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            total, rows = np.add.reduceat(g[order], first, axis=0), at[first]
             s[rows] += total * total
             p[rows] += rate * total / np.sqrt(s[rows])
 
-        def told(out: np.ndarray, bias: np.ndarray, logs: np.ndarray, r: np.ndarray, w: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Gradients of the log-likelihood by the features, and by the vectors and biases of the targets (the first) and the noise."""
+        def told(out: np.ndarray, logs: np.ndarray, r: np.ndarray, w: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Gradients of the log-likelihood by the features, and by the vectors and biases (last) of the targets (the first) and the noise."""
             q = out[w]
-            delta = np.einsum("bd,bkd->bk", r, q) + bias[w] - logs[w]
+            delta = (q[:, :, :-1] @ r[:, :, None])[:, :, 0] + q[:, :, -1] - logs[w]
             g = -1 / (1 + np.exp(np.clip(-delta, -30, 30)))
             g[:, 0] += 1
             g = (g * weight[:, None]).astype(np.float32)
-            return np.einsum("bk,bkd->bd", g, q), (g[:, :, None] * r[:, None, :]).reshape(-1, r.shape[1]), g.ravel()
+            one = np.concatenate([r, np.ones((len(r), 1), np.float32)], 1)
+            return (g[:, None, :] @ q[:, :, :-1])[:, 0], (g[:, :, None] * one[:, None, :]).reshape(-1, one.shape[1])
 
         for pick, weight in _visits(n, None if steps is None else steps * BATCH, rng):
             a, b, w, weight = one[pick], two[pick], word[pick], weight / mean
@@ -183,11 +186,10 @@ class LogBilinear:
             low = np.where(c > 0, class_ends[c - 1], 0.0)
             drawn = np.searchsorted(ends, low[:, None] + rng.random((len(pick), noise)) * self.class_noise[c][:, None], "right")
             words = np.concatenate([w[:, None], np.clip(drawn, (c * self.width)[:, None], np.minimum((c + 1) * self.width, self.k)[:, None] - 1)], 1)
-            by_class, by_word = told(self.class_out, self.class_bias, log_class_noise, r, classes, weight), told(self.out, self.bias, log_noise, r, words, weight)
+            by_class, by_word = told(self.class_out, log_class_noise, r, classes, weight), told(self.out, log_noise, r, words, weight)
             dr = by_class[0] + by_word[0]
-            p = self._arrays()
-            for i, (at, g) in enumerate([(a, dr), (b, dr), (words.ravel(), by_word[1]), (words.ravel(), by_word[2]), (classes.ravel(), by_class[1]), (classes.ravel(), by_class[2])]):
-                update(p[i], squares[i], at, g)
+            for p, s, at, g in zip(self._arrays(), squares, (a, b, words.ravel(), classes.ravel()), (dr, dr, by_word[1], by_class[1]), strict=True):
+                update(p, s, at, g)
 
     @staticmethod
     def _log_sum(logits: np.ndarray) -> np.ndarray:
@@ -198,7 +200,7 @@ class LogBilinear:
         """Normalised log10 probability of each word after its context."""
         code, inverse = np.unique(two * (self.k + 1) + one, return_inverse=True)
         r = self.ctx[0, code % (self.k + 1)] + self.ctx[1, code // (self.k + 1)]
-        z = np.concatenate([self._log_sum(r[low : low + 8192] @ self.class_out.T + self.class_bias) for low in range(0, len(code), 8192)]) if len(code) else np.zeros(0, np.float32)
+        z = np.concatenate([self._log_sum(r[low : low + 8192] @ self.class_out[:, :-1].T + self.class_out[:, -1]) for low in range(0, len(code), 8192)]) if len(code) else np.zeros(0, np.float32)
         c = word // self.width
         order = np.argsort(c, kind="stable")
         out = np.empty(len(word))
@@ -208,8 +210,8 @@ class LogBilinear:
             for low in range(0, len(at), 8192):
                 part = at[low : low + 8192]
                 x = r[inverse[part]]
-                logits = x @ self.out[words].T + self.bias[words]
-                out[part] = logits[np.arange(len(part)), word[part] - words.start] - self._log_sum(logits) + x @ self.class_out[k] + self.class_bias[k] - z[inverse[part]]
+                logits = x @ self.out[words, :-1].T + self.out[words, -1]
+                out[part] = logits[np.arange(len(part)), word[part] - words.start] - self._log_sum(logits) + x @ self.class_out[k, :-1] + self.class_out[k, -1] - z[inverse[part]]
         return out / np.log(10)
 
 
@@ -319,21 +321,20 @@ def lm_scores(docs: DataFrame, vocabulary: int = VOCABULARY, sent: int = SENT) -
         by = np.argsort(sent_keys)
         sent_keys, sent_n = sent_keys[by], sent_n[by]
 
-        grams = ws.table(train.mapInArrow(lambda it: _ngrams(it, keys, ids), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-        shards = max(SHARDS, -(-grams.count() // SHARD))
-        made_of = "n long, parameters binary"
         model = LogBilinear(np.append(short_n, other_n).astype(float))
-        for round_ in range(ROUNDS if total else 0):
-            now = spark.sparkContext.broadcast(model)
+        if total:
+            start, shards, made_of = spark.sparkContext.broadcast(model), max(SHARDS, -(-total // SHARD)), "n long, parameters binary"
+            # counts meet by n-gram in their shard, where they are trained on at once
+            grams = train.mapInArrow(lambda it: _ngrams(it, keys, ids), "key long, n long").repartition(shards, "key").groupBy("key").agg(F.sum("n").alias("n"))
             with small_batches(spark, 100_000):
-                made = ws.table(grams.repartition(shards, F.xxhash64("key")).mapInArrow(lambda it, now=now, r=round_: _train(it, now.value, 100 + r), made_of), "made")
-            while True:  # averages of averages, until few are left for the driver
+                made = ws.table(grams.mapInArrow(lambda it: _train(it, start.value, 100), made_of), "made")
+            while True:  # averages of averages, until one is left for the driver
                 tasks = -(-made.count() // TOGETHER)
                 with small_batches(spark, 1):
                     made = ws.table(made.repartition(tasks, F.xxhash64("parameters")).mapInArrow(_averaged, made_of), "made")
                 if tasks == 1:
                     break
-            model = LogBilinear(np.append(short_n, other_n).astype(float)).load(np.frombuffer(made.first().parameters, np.float32))
+            model.load(np.frombuffer(made.first().parameters, np.float32))
 
         out = spark.sparkContext.broadcast((keys, ids, model, sent_keys, sent_n))
         rows = ws.table(given.mapInArrow(lambda it: _score(it, *out.value), ROWS), "rows")

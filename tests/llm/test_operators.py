@@ -194,8 +194,8 @@ def test_lm_beats_word_frequencies(spark):
 
     m = lm.LogBilinear(np.arange(1.0, 31))
     one, two = np.array([3, 30]), np.array([30, 7])
-    logits = (m.ctx[0, one] + m.ctx[1, two]) @ m.out.T + m.bias
-    classes = (m.ctx[0, one] + m.ctx[1, two]) @ m.class_out.T + m.class_bias
+    logits = (m.ctx[0, one] + m.ctx[1, two]) @ m.out[:, :-1].T + m.out[:, -1]
+    classes = (m.ctx[0, one] + m.ctx[1, two]) @ m.class_out[:, :-1].T + m.class_out[:, -1]
     for w in range(30):
         c = w // m.width
         inside = range(c * m.width, min(30, (c + 1) * m.width))
