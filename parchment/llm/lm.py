@@ -324,8 +324,8 @@ def lm_scores(docs: DataFrame, vocabulary: int = VOCABULARY, sent: int = SENT) -
         model = LogBilinear(np.append(short_n, other_n).astype(float))
         if total:
             start, shards, made_of = spark.sparkContext.broadcast(model), max(SHARDS, -(-total // SHARD)), "n long, parameters binary"
-            # counts meet by n-gram in their shard, where they are trained on at once
-            grams = train.mapInArrow(lambda it: _ngrams(it, keys, ids), "key long, n long").repartition(shards, "key").groupBy("key").agg(F.sum("n").alias("n"))
+            # counts meet by n-gram and are trained on at once; a shard is as many of the partitions as its size asks for, not one each
+            grams = train.mapInArrow(lambda it: _ngrams(it, keys, ids), "key long, n long").repartition(shards, "key").groupBy("key").agg(F.sum("n").alias("n")).coalesce(shards)
             with small_batches(spark, 100_000):
                 made = ws.table(grams.mapInArrow(lambda it: _train(it, start.value, 100), made_of), "made")
             while True:  # averages of averages, until one is left for the driver
