@@ -82,8 +82,11 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: i
     A line's key is the line without ASCII white space at both ends, A-Z lower-cased. Keys of at least ``min_chars`` code
     points lose all their lines except in the smallest doc_id that has them (where repeats stay). Null and empty texts are
     one empty line. Rows with one doc_id count as one document; a null doc_id as the smallest. Other columns pass
-    through (names that begin with _ are reserved). ``batches`` ascending id ranges are taken in turn.
+    through, whatever their names. ``batches`` ascending id ranges are taken in turn.
     """
+    own = {f"_{c}": f"_{c} of the input" for c in ("id", "row", "gid", "grow", "gone", "gaps", "flags") if f"_{c}" in docs.columns}
+    if own:  # names that are used here
+        return line_dedup(docs.withColumnsRenamed(own), min_chars, batches, fanout).withColumnsRenamed({v: k for k, v in own.items()})
     spark = docs.sparkSession
     with Workspace(spark) as ws:
         rows, gone = dropped_lines(docs, ws, min_chars, batches, fanout)

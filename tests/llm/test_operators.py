@@ -516,6 +516,12 @@ def test_lines(spark, docs, batches):
     assert got == brute_lines(rows_of(spark, docs))
 
 
+def test_lines_with_clashing_names(spark):
+    rows = [(2, "same line here ok\nb", "p", 7), (1, "same line here ok", "q", 8)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, _id string, _row long")).select("doc_id", "kept_text", "_id", "_row").collect()
+    assert sorted(map(tuple, got)) == [(1, "same line here ok", "q", 8), (2, "b", "p", 7)]
+
+
 def run_all(spark, df, path, labels):
     bench = spark.createDataFrame([(1, prose(30))], "item_id long, text string")
     return {
