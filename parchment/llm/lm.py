@@ -37,6 +37,8 @@ SHARD, SHARDS, TOGETHER = 2_000_000, 4, 32
 WEIGHT = 16
 #: Rows of counts that a task holds before it adds up and passes them on.
 HELD = 750_000
+#: Rows whose logits are held at once, few enough for a processor's cache.
+ROWS_AT_ONCE = 1024
 #: Bytes of text that are scored at once.
 SCORED = 1 << 20
 #: The identity of the end of a text.
@@ -160,58 +162,75 @@ class LogBilinear:
         mean = n.sum() / max(1, (-(-n.astype(np.int64) // WEIGHT)).sum())  # weight of a visit
         squares = [np.ones(p.shape, np.float32) for p in self._arrays()]
 
-        def update(p: np.ndarray, s: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
-            order = np.argsort(at, kind="stable")
+        def moved(p: np.ndarray, s: np.ndarray, at: np.ndarray, total: np.ndarray) -> None:
+            square = np.take(s, at, axis=0) + total * total
+            s[at] = square
+            p[at] = np.take(p, at, axis=0) + rate * total / np.sqrt(square)
+
+        def summed(at: np.ndarray, size: int, x: np.ndarray, of: np.ndarray | None = None, g: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+            """The rows that ``at`` names, and the sums of the gradients of each: rows of x, or g times the row of x that ``of`` names."""
+            order = np.argsort(at.astype(np.uint16) if size <= 1 << 16 else at, kind="stable")  # 16 bits are sorted by radix
             at = at[order]
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            total, rows = np.add.reduceat(g[order], first, axis=0), at[first]
-            s[rows] += total * total
-            p[rows] += rate * total / np.sqrt(s[rows])
-
-        def told(out: np.ndarray, logs: np.ndarray, r: np.ndarray, w: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Gradients of the log-likelihood by the features, and by the vectors and biases (last) of the targets (the first) and the noise."""
-            q = out[w]
-            delta = (q[:, :, :-1] @ r[:, :, None])[:, :, 0] + q[:, :, -1] - logs[w]
+            rows = np.take(x, order if of is None else of[order], axis=0)
+            return at[first], np.add.reduceat(rows if g is None else rows * g[order, None], first, axis=0)
+
+        def residual(delta: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            """Gradients by the logits of the target (the first) and the noise, less their log noise probability."""
             g = -1 / (1 + np.exp(np.clip(-delta, -30, 30)))
             g[:, 0] += 1
-            g = (g * weight[:, None]).astype(np.float32)
-            one = np.concatenate([r, np.ones((len(r), 1), np.float32)], 1)
-            return (g[:, None, :] @ q[:, :, :-1])[:, 0], (g[:, :, None] * one[:, None, :]).reshape(-1, one.shape[1])
+            return (g * weight[:, None]).astype(np.float32)
 
         for pick, weight in _visits(n, None if steps is None else steps * BATCH, rng):
+            m = len(pick)
             a, b, w, weight = one[pick], two[pick], word[pick], weight / mean
-            r = self.ctx[0, a] + self.ctx[1, b]
+            r = np.concatenate([np.take(self.ctx[0], a, axis=0) + np.take(self.ctx[1], b, axis=0), np.ones((m, 1), np.float32)], 1)
             c = w // self.width
-            classes = np.concatenate([c[:, None], np.minimum(np.searchsorted(class_ends, rng.random((len(pick), noise))), self.classes - 1)], 1)
+            classes = np.concatenate([c[:, None], np.minimum(np.searchsorted(class_ends, rng.random((m, noise))), self.classes - 1)], 1)
             low = np.where(c > 0, class_ends[c - 1], 0.0)
-            drawn = np.searchsorted(ends, low[:, None] + rng.random((len(pick), noise)) * self.class_noise[c][:, None], "right")
+            drawn = np.searchsorted(ends, low[:, None] + rng.random((m, noise)) * self.class_noise[c][:, None], "right")
             words = np.concatenate([w[:, None], np.clip(drawn, (c * self.width)[:, None], np.minimum((c + 1) * self.width, self.k)[:, None] - 1)], 1)
-            by_class, by_word = told(self.class_out, log_class_noise, r, classes, weight), told(self.out, log_noise, r, words, weight)
-            dr = by_class[0] + by_word[0]
-            for p, s, at, g in zip(self._arrays(), squares, (a, b, words.ravel(), classes.ravel()), (dr, dr, by_word[1], by_class[1]), strict=True):
-                update(p, s, at, g)
+            # the classes are few: their gradients as a matrix, so that sums are products
+            g = residual(np.take_along_axis(r @ self.class_out.T, classes, 1) - log_class_noise[classes], weight)
+            by_class = np.bincount((np.arange(m)[:, None] * self.classes + classes).ravel(), g.ravel(), m * self.classes).reshape(m, self.classes).astype(np.float32)
+            q = np.take(self.out, words.ravel(), axis=0).reshape(m, noise + 1, -1)
+            by_word = residual(np.einsum("mkd,md->mk", q, r) - log_noise[words], weight)
+            dr = (by_class @ self.class_out + np.einsum("mk,mkd->md", by_word, q))[:, :-1]
+            class_total = by_class.T @ r
+            moved(self.ctx[0], squares[0], *summed(a, self.k + 1, dr))
+            moved(self.ctx[1], squares[1], *summed(b, self.k + 1, dr))
+            moved(self.out, squares[2], *summed(words.ravel(), self.k, r, np.repeat(np.arange(m), noise + 1), by_word.ravel()))
+            moved(self.class_out, squares[3], np.arange(self.classes), class_total)
 
     @staticmethod
     def _log_sum(logits: np.ndarray) -> np.ndarray:
+        """The logarithm of the sum of the exponentials of each row, which are overwritten."""
         top = logits.max(1)
-        return top + np.log(np.exp(logits - top[:, None]).sum(1))
+        logits -= top[:, None]
+        np.exp(logits, out=logits)
+        return top + np.log(logits.sum(1))
 
     def log10(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each word after its context."""
         code, inverse = np.unique(two * (self.k + 1) + one, return_inverse=True)
-        r = self.ctx[0, code % (self.k + 1)] + self.ctx[1, code // (self.k + 1)]
-        z = np.concatenate([self._log_sum(r[low : low + 8192] @ self.class_out[:, :-1].T + self.class_out[:, -1]) for low in range(0, len(code), 8192)]) if len(code) else np.zeros(0, np.float32)
+        r = np.take(self.ctx[0], code % (self.k + 1), axis=0) + np.take(self.ctx[1], code // (self.k + 1), axis=0)
+        r = np.concatenate([r, np.ones((len(r), 1), np.float32)], 1)  # times the bias
+        z = np.empty(len(code), np.float32)
+        for low in range(0, len(code), ROWS_AT_ONCE):
+            z[low : low + ROWS_AT_ONCE] = self._log_sum(r[low : low + ROWS_AT_ONCE] @ self.class_out.T)
         c = word // self.width
-        order = np.argsort(c, kind="stable")
+        order = np.argsort(c.astype(np.uint16) if self.classes <= 1 << 16 else c, kind="stable")
         out = np.empty(len(word))
         for at in np.split(order, np.flatnonzero(np.diff(c[order])) + 1) if len(order) else []:
             k = int(c[at[0]])
-            words = slice(k * self.width, min((k + 1) * self.width, self.k))
-            for low in range(0, len(at), 8192):
-                part = at[low : low + 8192]
-                x = r[inverse[part]]
-                logits = x @ self.out[words, :-1].T + self.out[words, -1]
-                out[part] = logits[np.arange(len(part)), word[part] - words.start] - self._log_sum(logits) + x @ self.class_out[k, :-1] + self.class_out[k, -1] - z[inverse[part]]
+            start, end = k * self.width, min((k + 1) * self.width, self.k)
+            vectors = np.ascontiguousarray(self.out[start:end].T)
+            for low in range(0, len(at), ROWS_AT_ONCE):
+                part = at[low : low + ROWS_AT_ONCE]
+                x = np.take(r, inverse[part], axis=0)
+                logits = x @ vectors
+                mine = logits[np.arange(len(part)), word[part] - start]
+                out[part] = mine - self._log_sum(logits) + x @ self.class_out[k] - z[inverse[part]]
         return out / np.log(10)
 
 
