@@ -347,10 +347,10 @@ def lm_scores(docs: DataFrame, vocabulary: int = VOCABULARY, sent: int = SENT) -
             grams = train.mapInArrow(lambda it: _ngrams(it, keys, ids), "key long, n long").repartition(shards, "key").groupBy("key").agg(F.sum("n").alias("n")).coalesce(shards)
             with small_batches(spark, 100_000):
                 made = ws.table(grams.mapInArrow(lambda it: _train(it, start.value, 100), made_of), "made")
-            while True:  # averages of averages, until one is left for the driver
+            while True:  # averages of averages, read as they lie in files and not shuffled, until one is left for the driver
                 tasks = -(-made.count() // TOGETHER)
                 with small_batches(spark, 1):
-                    made = ws.table(made.repartition(tasks, F.xxhash64("parameters")).mapInArrow(_averaged, made_of), "made")
+                    made = ws.table(made.coalesce(tasks).mapInArrow(_averaged, made_of), "made")
                 if tasks == 1:
                     break
             model.load(np.frombuffer(made.first().parameters, np.float32))
