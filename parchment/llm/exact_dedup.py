@@ -9,6 +9,7 @@ is also another row's) is then compared, whole text against the whole text of th
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,9 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def _digest(text: Column) -> Column:
-    return F.sha2(normalised(text).cast("binary"), 256)
+def sha256(body: Column) -> Column:
+    """The digest of a normalised text, in lower-case hex."""
+    return F.sha2(body.cast("binary"), 256)
 
 
 def _as_glob(path: str) -> str:
@@ -44,7 +46,7 @@ def _as_glob(path: str) -> str:
     return f"{path[:-1]}[{path[-1]}]"
 
 
-def learn_state(spark: SparkSession, path: str, state: str) -> DataFrame:
+def learn_state(spark: SparkSession, path: str, state: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """Run the stream over all files at ``path`` that it has not seen; return its whole state.
 
     ``state`` is the stream's checkpoint folder. A later call with the same folder reads only new files and adds to the
@@ -57,7 +59,7 @@ def learn_state(spark: SparkSession, path: str, state: str) -> DataFrame:
         schema = spark.read.parquet(path).select("doc_id", "text").schema
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100_000).parquet(_as_glob(path))
         keyed = rows.select(
-            _digest(F.col("text")).alias("digest"),
+            digest(normalised(F.col("text"))).alias("digest"),
             F.struct(
                 F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"),
                 (-F.col("doc_id")).alias("minus_id"),
@@ -81,30 +83,31 @@ def learn_state(spark: SparkSession, path: str, state: str) -> DataFrame:
     )
 
 
-def exact_dedup(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of the Parquet table at ``path``: doc_id, keep_id, group_size, kept, text_sha256, bytes_checked.
+def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row per document of the Parquet table at ``path``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting ``[\\x20\\x09-\\x0D]``; null counts as empty, so null, empty and blank texts
     are one group. Of a group the row with the most code points, then the smallest doc_id, stays. Rows that are repeated
     with the same doc_id all point at it, and are all ``kept`` where their id and text are those of the row that stays.
     A null doc_id is never preferred to a number of the same length. An empty table gives no rows; other columns are
-    not read. Should two different texts share a digest, each text of that digest becomes a group of its own.
+    not read. ``text_sha256`` is the digest. Should two different texts share a digest, each text of that digest becomes a
+    group of its own.
     """
     with Workspace(spark) as ws:
-        state = ws.table(learn_state(spark, path, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"), "state")
-        rows = spark.read.parquet(path).select("doc_id", "text")
-        digests = rows.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), _digest(F.col("text")).alias("digest"))
-        grouped = ws.table(digests.join(state.select("digest", F.col("doc_id").alias("keep_id"), F.col("n_code_points").alias("keep_n"), "group_size"), "digest"), "grouped")
+        state = ws.table(learn_state(spark, path, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", digest), "state")
+        rows = spark.read.parquet(path).select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), normalised(F.col("text")).alias("body"))
+        rows = rows.withColumn("digest", digest(F.col("body")))
+        kept = (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))).alias("kept")
+        out = ["doc_id", "keep_id", "group_size", kept, F.col("digest").alias("text_sha256")]
+        grouped = ws.table(rows.drop("body").join(state.select("digest", F.col("doc_id").alias("keep_id"), F.col("n_code_points").alias("keep_n"), "group_size"), "digest"), "grouped")
         # the full bytes of every hit against those of the row that stays
-        hits = state.where("group_size > 1").select(F.col("doc_id").alias("keep_id"), "digest")
-        texts = rows.select("doc_id", normalised(F.col("text")).alias("body")).withColumn("digest", F.sha2(F.col("body").cast("binary"), 256))
-        one = texts.join(hits.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+        hits = state.where("group_size > 1").select("digest")
+        one = rows.join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
         odd = ws.table(one.where("low != high").select("digest"), "odd")
-        plain = grouped.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))).alias("kept"), F.col("digest").alias("text_sha256"))
         if odd.isEmpty():
-            return ws.result(plain)
+            return ws.result(grouped.select(*out))
         # one digest, several texts: those few groups again, with the text itself as the key
-        again = texts.join(odd, "digest", "left_semi").join(rows.select("doc_id", F.length("text").cast("long").alias("n")), "doc_id")
-        best = again.groupBy("digest", "body").agg(F.max(F.struct("n", (-F.col("doc_id")).alias("m"))).alias("b"), F.count(F.lit(1)).alias("group_size"))
-        split = again.join(best, ["digest", "body"]).select("doc_id", (-F.col("b.m")).alias("keep_id"), "group_size", (F.col("doc_id") == -F.col("b.m")).alias("kept"), F.col("digest").alias("text_sha256"))
-        return ws.result(plain.join(odd.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left_anti").select(split.columns).unionByName(split))
+        again = rows.join(odd, "digest", "left_semi")
+        best = again.groupBy("digest", "body").agg(F.max(F.struct("n", (-F.col("doc_id")).alias("minus_id"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
+        best = best.select("digest", "body", (-F.col("best.minus_id")).alias("keep_id"), F.col("best.n").alias("keep_n"), "group_size")
+        return ws.result(grouped.join(odd, "digest", "left_anti").select(*out).unionByName(again.join(best, ["digest", "body"]).select(*out)))

@@ -75,6 +75,23 @@ def test_exact(spark, docs):
             assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (keep, len(members), i == keep, hashlib.sha256(body.encode()).hexdigest())
 
 
+def test_exact_texts_under_one_digest(spark, tmp_path):
+    """With a digest of two values only, groups are still those of the texts; null and repeated ids lose no row."""
+    at = str(tmp_path / "t")
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts())] + [(3, texts()[3], "", "", 0), (None, texts()[4], "", "", 0), (None, None, "", "", 0), (900, "lone", "", "", 0), (900, "lo ne", "", "", 0)]
+    frame(spark, rows).write.parquet(at)
+    groups = collections.defaultdict(list)
+    for i, t, *_ in rows:
+        groups[squeezed(t)].append((-len(t or ""), i is None, i or 0, i))
+    want = []
+    for members in groups.values():
+        n, _, _, keep = min(members)
+        want += [(i, keep, len(members), i == keep and m == n) for m, _, _, i in members]
+    got = exact_dedup.exact_dedup(spark, at, lambda body: F.when(F.length(body) % 2 == 0, "even").otherwise("odd"))
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()), key=key) == sorted(want, key=key)
+
+
 def test_exact_state_lives_on(spark, tmp_path):
     at, state = str(tmp_path / "t"), str(tmp_path / "state")
     frame(spark, [(2, "a b", "", "", 0)]).write.parquet(at)
