@@ -117,22 +117,22 @@ def report_quality(gt_label: Column, n_gt: Column, p: Column, width: Column, hei
 
 
 def token_f1(a: Column, b: Column) -> Column:
-    """F1 of the word multisets: each word with its running number is a member of a set, so that one intersection counts all."""
-    numbered = lambda w: _numbered(F.array_sort(w))
+    """F1 of the word multisets."""
     x, y = words(F.coalesce(a, F.lit(""))), words(F.coalesce(b, F.lit("")))
-    same = F.size(F.array_intersect(numbered(x), numbered(y)))
-    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(F.coalesce(F.try_divide(2.0 * same, F.size(x) + F.size(y)), F.lit(0.0)))
+    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(F.coalesce(F.try_divide(2.0 * _common(x, y), F.size(x) + F.size(y)), F.lit(0.0)))
 
 
-def _numbered(sorted_words: Column) -> Column:
-    """Each of the sorted words with its number among its equals: a running count in one pass."""
-    empty = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+def _common(x: Column, y: Column) -> Column:
+    """Size of the multiset intersection: both sides' words sorted together, and one pass that keeps the counts of the last word only."""
+    side = lambda ws, k: F.transform(ws, lambda w: F.struct(w.alias("w"), F.lit(k).alias("k")))
+    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("same"))
 
-    def step(s: Column, w: Column) -> Column:
-        n = F.when(s["last"].eqNullSafe(w), s["n"] + 1).otherwise(F.lit(0))
-        return F.struct(w.alias("last"), n.alias("n"), F.array_append(s["out"], F.concat(w, F.lit(" "), n.cast("string"))).alias("out"))
+    def step(s: Column, m: Column) -> Column:
+        again = s["w"].eqNullSafe(m["w"])
+        n = lambda c, k: F.when(again, s[c]).otherwise(0) + F.when(m["k"] == k, 1).otherwise(0)
+        return F.struct(m["w"].alias("w"), n("a", 0).alias("a"), n("b", 1).alias("b"), (s["same"] + F.when(again, 0).otherwise(F.least(s["a"], s["b"]))).alias("same"))
 
-    return F.aggregate(sorted_words, empty, step, lambda s: s["out"])
+    return F.aggregate(F.array_sort(F.concat(side(x, 0), side(y, 1))), start, step, lambda s: s["same"] + F.least(s["a"], s["b"]))
 
 
 def calibration_factor() -> float:

@@ -1,5 +1,9 @@
 """Hand-derived unit rows of the evaluation engine."""
 
+import collections
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,5 +123,21 @@ def test_token_f1(spark, a, b, want):
     assert one(spark, s.token_f1(F.lit(a).cast("string"), F.lit(b).cast("string"))) == pytest.approx(want)
 
 
+def test_token_f1_counts_multisets(spark):
+    rng = random.Random(4)
+    pairs = [tuple(" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 30))) for _ in range(2)) for _ in range(60)]
+    for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", s.token_f1(F.col("a"), F.col("b")).alias("f")).collect():
+        x, y = (collections.Counter(t.split()) for t in (r.a, r.b))
+        n = x.total() + y.total()
+        assert r.f == pytest.approx(2 * (x & y).total() / n if n else 1)
+
+
+def test_token_f1_of_long_texts_takes_linear_time(spark):
+    texts = spark.range(200).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(8000)), lambda i: F.concat(F.lit("w"), i % 500))).alias("t"))
+    began = time.time()
+    assert texts.agg(F.min(s.token_f1(F.col("t"), F.col("t")))).first()[0] == 1
+    assert time.time() - began < 60
+
+
 def test_calibration():
     assert 0.5342 * s.calibration_factor() == pytest.approx(0.078471, abs=1e-6)
