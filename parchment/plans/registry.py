@@ -256,11 +256,17 @@ def q_script_bucket(spark, sf_dir):
     return samples(spark, sf_dir).select("image_name", "pred_script", "expected_script")
 
 
-@query(r"SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '[^A-zÀ-ɏ]', '', 'g')) > 0 THEN 'latin' ELSE 'other' END AS script, length(regexp_replace(coalesce(text, ''), '[^A-zÀ-ɏ]', '', 'g')) AS n FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[؀-ۿ฀-๿一-鿿぀-ヿ가-힯]')")
+def _script_sql() -> str:
+    """Each script's characters and minus the length of what precedes the first, the greatest of them all."""
+    found = ", ".join(f"{{'n': length(regexp_replace(t, '[^{p[1:-1]}]', '', 'g')), 'first': -length(regexp_extract(t, '^[^{p[1:-1]}]*')), 'script': '{name}'}}" for name, p in scoring.SCRIPTS.items())
+    return f"SELECT doc_id, CASE WHEN best.n > 0 THEN best.script ELSE 'other' END AS script, best.n AS n FROM (SELECT doc_id, list_max([{found}]) AS best FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"
+
+
+@query(_script_sql())
 def q_script_of_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.where(~F.col("text").rlike("[؀-ۿ฀-๿一-鿿぀-ヿ가-힯]"))
-    return docs.select("doc_id", scoring.script_of(F.col("text")).alias("script"), F.length(F.regexp_replace("text", "[^A-zÀ-ɏ]", "")).cast("long").alias("n"))
+    counts = (F.length(F.regexp_replace("text", f"[^{p[1:-1]}]", "")).cast("long") for p in scoring.SCRIPTS.values())
+    return docs.select("doc_id", scoring.script_of(F.col("text")).alias("script"), F.greatest(*counts).alias("n"))
 
 
 @query("SELECT image_name, round(exp_score, 6) AS exp_score FROM s")
