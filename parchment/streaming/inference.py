@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import json
 import os
 import time
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from ..cluster import ship
 from ..functions import report
 from ..functions.pytext import basename, nonempty
+from ..sources.jsonl import data_url
 
 # Own wording of the prompts; the marks in them are those that reports are parsed by.
 SIMPLE_PROMPT = "Decide whether the document in the image was tampered with. Answer with a report: [Conclusion]: FORGED or AUTHENTIC, [RISK_SCORE]: 0-100, [GROUNDING]: [x1, y1, x2, y2] and [REASON]: for every anomaly, then ## SUMMARY."
@@ -128,9 +128,9 @@ def infer(rows: DataFrame, options: Options, client: Client) -> DataFrame:
                 began, raw, usage, error = time.time(), None, None, None
                 width, height = (int(r[k]) if pd.notna(r[k]) else None for k in ("width", "height"))
                 try:
-                    if r["content"] is None or width is None or height is None:
+                    if r["url"] is None or width is None or height is None:
                         raise FileNotFoundError(r["image_path"])
-                    raw, told = client(messages("data:image/png;base64," + base64.b64encode(r["content"]).decode(), options.prompt_mode))
+                    raw, told = client(messages(r["url"], options.prompt_mode))
                     usage = json.dumps(told)
                 except Exception as e:  # every failure is a record
                     width = height = None
@@ -138,7 +138,7 @@ def infer(rows: DataFrame, options: Options, client: Client) -> DataFrame:
                 out.append((r["sample_id"], r["image_name"], r["image_path"], r["label"], r["language_code"], options.model, width, height, raw, usage, round(time.time() - began, 3), error))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in RAW.split(", ")]).astype({"width": "Int32", "height": "Int32"})
 
-    named = rows.select("sample_id", nonempty("image_file", basename(F.col("image_path"))).alias("image_name"), "image_path", "label", "language_code", F.col("width").try_cast("int").alias("width"), F.col("height").try_cast("int").alias("height"), "content")
+    named = rows.select("sample_id", nonempty("image_file", basename(F.col("image_path"))).alias("image_name"), "image_path", "label", "language_code", F.col("width").try_cast("int").alias("width"), F.col("height").try_cast("int").alias("height"), data_url(F.col("image_path"), F.col("content")).alias("url"))
     done = named.repartition(options.workers).mapInPandas(run, RAW)
     told = done.withColumn("r", report.record(F.col("raw"), F.col("error"), F.col("width"), F.col("height")))
     return told.select("sample_id", "image_name", "image_path", "gold_label", "language_code", "model", "width", "height", "r.raw_output", "r.raw_output_full", "r.thinking", "r.has_think_tag", "r.has_report_tag", "r.parsed", "elapsed_sec", "usage", F.col("raw").alias("api_raw_content"), "error")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from parchment import evaluate
+from parchment import evaluate, infer
 from parchment.operators import evaluate as ev
 from parchment.operators import masks, summary
 from parchment.sources import jsonl, sinks
@@ -112,6 +112,24 @@ def test_inference(spark, tmp_path):
     assert url == "data:image/png;base64,YWI="
 
 
+def test_inference_job(spark, tmp_path):
+    (tmp_path / "im").mkdir()
+    for name in ("a.png", "b.JPG", "c"):
+        (tmp_path / "im" / name).write_bytes(b"x")
+    split, out = tmp_path / "split.jsonl", str(tmp_path / "out")
+    rows = [{"sample_id": str(i), "image_path": str(tmp_path / "im" / n), "width": 10, "height": 20, "label": "fake"} for i, n in enumerate(("a.png", "b.JPG", "c", "missing.png"))]
+    split.write_text("\n".join(map(json.dumps, rows)))
+    told = lambda chat: (chat[-1]["content"][0]["image_url"]["url"], {})
+    job = lambda **k: infer.run(spark, str(split), str(tmp_path / "im"), out, inference.Options("stub", workers=2), told, **k)
+    assert job(max_samples=2) == {"written": 2, "errors": 0}
+    assert job(resume=True) == {"written": 2, "errors": 1}
+    assert job(resume=True) == {"written": 0, "errors": 0}
+    assert job(resume=True, retry_errors=True) == {"written": 1, "errors": 1}
+    got = {(r.sample_id, (r.api_raw_content or "").split(";")[0]) for r in spark.read.json(out).collect()}
+    assert got == {("0", "data:image/png"), ("1", "data:image/jpeg"), ("2", "data:image/jpeg"), ("3", "")}
+    assert job() == {"written": 4, "errors": 1} and spark.read.json(out).count() == 4
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
