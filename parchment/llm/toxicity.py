@@ -33,6 +33,9 @@ ENTRIES, SHARE = 200, 0.01
 #: Code points on each side of a hit that are its context window.
 WINDOW = 60
 
+# Code points of scripts written without spaces (kana, Han). There a term may begin at every letter.
+SPACELESS = ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
+
 _WORD = re.compile(r"[^\W\d_]+")
 KINDS = 4  # exact and misspelled, each as abuse or quoted
 
@@ -41,10 +44,11 @@ class Automaton:
     """Deterministic automaton of all words within one edit of a term, or that begin with a stem or one edit of it.
 
     Edits are insertions, deletions and substitutions of a code point. Only terms of at least five and stems of at least six code points
-    may be misspelled. ``run`` gives 2 for an exact hit, 1 for a misspelled one, 0 for none.
+    may be misspelled. A term in a script without spaces is a stem, since nothing marks its end. ``run`` gives 2 for an exact hit, 1 for a misspelled one, 0 for none.
     """
 
     def __init__(self, terms: list[str], stems: list[str], edits: int = 1):
+        stems = [*stems, *(t for t in terms if t and _spaceless(np.array([ord(t[-1])]))[0])]
         trie: list[dict[str, int]] = [{}]
         ends: list[tuple[bool, bool]] = [(False, False)]  # (ends a term, ends a stem)
         depth = [0]
@@ -106,10 +110,9 @@ class Automaton:
             self.delta.append(row)
             self.accept.append(max(got, verdict(states, False)))
         self.delta, self.accept = np.array(self.delta, np.int32), np.array(self.accept, np.int8)
-        self.table = np.zeros(0x3000, np.int32)
+        self.table = np.zeros(max(map(ord, alphabet), default=0) + 2, np.int32)  # the last cell: all code points beyond
         for c, i in self.classes.items():
-            if ord(c) < len(self.table):
-                self.table[ord(c)] = i
+            self.table[ord(c)] = i
 
     def run(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The verdict of every word, all words a code point further at a time."""
@@ -139,6 +142,26 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _LETTER, _LOWER = _tables()
 
 
+def _letters(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each code point is a letter, and its lower case; those from 0x3000 up are asked once each."""
+    small = np.minimum(codes, len(_LETTER) - 1)
+    letter, lower, far = _LETTER[small], _LOWER[small], codes >= len(_LETTER)
+    if far.any():
+        points, which = np.unique(codes[far], return_inverse=True)
+        chars = [chr(c) for c in points]
+        letter[far] = np.array([c.isalpha() for c in chars])[which]
+        lower[far] = np.array([ord(low) if len(low := c.lower()) == 1 else ord(c) for c in chars], np.uint32)[which]
+    return letter, lower
+
+
+def _spaceless(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(codes), bool)
+    if len(codes) and codes.max() >= SPACELESS[0][0]:
+        for low, high in SPACELESS:
+            out |= (codes >= low) & (codes <= high)
+    return out
+
+
 def _quoted(text: str, start: int, end: int) -> bool:
     before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
     opened, closed = max(map(before.rfind, OPENING)), min((p for c in CLOSING if (p := after.find(c)) >= 0), default=-1)
@@ -156,20 +179,29 @@ def hits(data: np.ndarray, offsets: np.ndarray, automaton: Automaton) -> tuple[n
     at = point[offsets]
     text = data.tobytes().decode("utf-8", "replace")
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    small = np.minimum(codes, 0x2FFF)
-    letter = np.where(codes < 0x3000, _LETTER[small], True)
-    codes = np.where(codes < 0x3000, _LOWER[small], codes)
     if not len(codes):
         return counts, np.zeros(n)
+    letter, codes = _letters(codes)
+    dense = _spaceless(codes)
+    turn = np.flatnonzero(dense[1:] != dense[:-1]) + 1
     full = at[:-1][at[:-1] < at[1:]]
     edge = np.zeros(len(codes) + 1, bool)
     edge[full] = True
     edge[-1] = True
+    cut = edge.copy()
+    cut[turn] = True
     before = np.concatenate([[False], letter[:-1]])
-    starts = np.flatnonzero(letter & (~before | edge[:-1]))
+    starts = np.flatnonzero(letter & (~before | cut[:-1] | dense))
     after = np.concatenate([letter[1:], [False]])
-    ends = np.flatnonzero(letter & (~after | edge[1:])) + 1
+    over = np.flatnonzero(letter & (~after | cut[1:])) + 1
+    ends = over[np.searchsorted(over, starts, "right")]
     verdict = automaton.run(codes, starts, ends)
+    if len(starts) and dense.any():
+        # an occurrence in dense script is met from its neighbours too: the exact one counts, else the first
+        beside = (np.diff(starts) == 1) & dense[starts[1:]] & dense[starts[:-1]] & ~edge[starts[1:]]
+        left, right = np.zeros_like(verdict), np.zeros_like(verdict)
+        left[1:], right[:-1] = np.where(beside, verdict[:-1], 0), np.where(beside, verdict[1:], 0)
+        verdict = np.where((verdict == 1) & ((left > 0) | (right == 2)), 0, verdict).astype(np.int8)
     where = np.flatnonzero(verdict)
     doc = np.searchsorted(at, starts[where], "right") - 1
     for i, d in zip(where, doc, strict=True):
@@ -190,8 +222,10 @@ def _features(batches: Iterator[pa.RecordBatch], automaton: Automaton) -> Iterat
 
 
 def learn_lexicon(texts: DataFrame, n_toxic: int) -> tuple[list[str], list[str]]:
-    """(words, stems) that distinct labelled texts (text, y) teach: in ``SHARE`` of the toxic at least and in hardly any other."""
-    words = texts.select("text", "y").distinct().select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("w"))
+    """(words, stems) that distinct labelled texts (text, y) teach, of Han and kana the runs of two to four letters: in ``SHARE`` of the toxic at least and in hardly any other."""
+    spaced = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))
+    dense = (F.regexp_extract_all("text", F.lit(rf"(?=([\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}]{{{k}}}))"), F.lit(1)) for k in (2, 3, 4))
+    words = texts.select("text", "y").distinct().select("y", F.explode(F.array_distinct(F.concat(spaced, *dense))).alias("w"))
     words = words.where(F.length("w") <= 40).groupBy("w").agg(F.sum("y").cast("long").alias("a"), F.sum(1 - F.col("y")).cast("long").alias("b"))
     least = max(3, math.ceil(SHARE * n_toxic))
     good = words.where((F.col("a") >= least) & (F.col("a") >= 20 * F.col("b"))).orderBy(F.desc("a"), "w").limit(ENTRIES).collect()

@@ -11,6 +11,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,7 +128,6 @@ def test_near(spark, docs, size, block):
 
 
 def test_intersections():
-    import numpy as np
 
     sets = [np.unique(np.array(random.sample(range(400), 60), np.uint64)) for _ in range(7)]
     want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets[3:]] for a in sets[:3]]
@@ -207,7 +207,6 @@ def test_lm_beats_word_frequencies(spark):
         rows.append((i, " ".join(words), "", "", 0))
     got = [r for r in lm.lm_scores(frame(spark, rows)).collect() if r.held_out]
     assert sum(r.score - r.base_score for r in got) >= 0.2 * sum(r.n_tokens for r in got) > 5000
-    import numpy as np
 
     m = lm.LogBilinear(np.arange(1.0, 31))
     one, two = np.array([3, 30]), np.array([30, 7])
@@ -222,7 +221,6 @@ def test_lm_beats_word_frequencies(spark):
 
 
 def test_log_bilinear_is_normalised_and_learns():
-    import numpy as np
 
     rng = np.random.default_rng(0)
     m = lm.LogBilinear(np.full(6, 10.0))
@@ -234,7 +232,6 @@ def test_log_bilinear_is_normalised_and_learns():
 
 
 def test_training_uses_every_counted_ngram(monkeypatch):
-    import numpy as np
     import pyarrow as pa
 
     k, rng = 100, np.random.default_rng(1)
@@ -269,6 +266,23 @@ def test_quality_held_out(spark):
     assert kept == {r.doc_id for r in got if r.predicted}
 
 
+def test_toxicity_beyond_the_first_code_points():
+    """Terms in scripts without spaces are found inside runs, once each; emoji end a word; texts next to each other do not touch."""
+    automaton = toxicity.Automaton(["idiot", "馬鹿野郎"], ["一二三四五六"])
+    rows = ["この馬鹿野郎め", "idiot😀😀", "前idiot前", "馬鹿", "野郎", "一二三四五六", "一二九四五六", "𝐚 ＩＤＩＯＴ", "", "馬鹿野郎。馬鹿野郎", "idiotic 馬", "日本語 " * 2000 + "馬鹿野郎"]
+    data = [t.encode() for t in rows]
+    offsets = np.cumsum([0, *map(len, data)])
+    counts, _ = toxicity.hits(np.frombuffer(b"".join(data), np.uint8), offsets, automaton)
+    assert [(int(c[0] + c[1]), int(c[2] + c[3])) for c in counts] == [(1, 0), (1, 0), (1, 0), (0, 0), (0, 0), (1, 0), (0, 1), (0, 0), (0, 0), (2, 0), (0, 0), (1, 0)]
+
+
+def test_toxicity_learns_terms_without_spaces(spark):
+    rows = [(i, f"天気は{i}悪党奴ですね" if i % 4 == 0 else f"天気は{i}良いですね", "", "", 0) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(frame(spark, rows), labels).collect()}
+    assert any(r.held_out for r in got.values()) and all(r.predicted == (i % 4 == 0) for i, r in got.items())
+
+
 def test_toxicity_held_out_and_windows(spark):
     rng = random.Random(4)
     rows = [(i, prose(30, rng) + (f" you {rng.choice(['idiot', 'moron', 'zorplefax', 'zorplenor'])} " if i % 4 == 0 else " ") + prose(30, rng), "", "", 0) for i in range(300)] + [(1000, None, "", "", 0), (1001, prose(20, rng) + " such an idoit idiott moran", "", "", 0)]
