@@ -93,14 +93,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span, A-Z folded to a-z."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hash of each span, A-Z folded to a-z where ``fold``."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _powers(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_FOLDED[data] * up[: len(data)], out=total[1:])
+    np.cumsum((_FOLDED if fold else _BYTE)[data] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + np.uint64(0x632BE59BD9B4E019))
 
 
@@ -126,3 +126,22 @@ def shingles(words_: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray,
     keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[keep], doc[keep]
     return h, np.searchsorted(doc, np.arange(n + 1))
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``n`` bytes at ``a`` and at ``b`` are equal, eight bytes at a time; long ones are compared whole."""
+    equal = np.ones(len(a), bool)
+    wide = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    for k in np.flatnonzero(n > 256):
+        equal[k] = np.array_equal(data[a[k] : a[k] + n[k]], data[b[k] : b[k] + n[k]])
+    live, at = np.flatnonzero(n <= 256), 0
+    while len(live):
+        rest = n[live] - at
+        differ = (wide[a[live] + at] ^ wide[b[live] + at]) & _MASKS[np.clip(rest, 0, 8)]
+        equal[live[differ != 0]] = False
+        live = live[(rest > 8) & (differ == 0)]
+        at += 8
+    return equal
