@@ -19,7 +19,7 @@ def run(spark: SparkSession, gt_path: str, pred_path: str, raw: bool = False, ma
     if images:
         gt = jsonl.with_sizes(gt, jsonl.image_sizes(spark, images))
     g, p = ev.last_wins(gt, "image_name"), ev.last_wins(pred, "image_name")
-    m = masks.mask_counts(spark, g, p, mask_location) if mask_location else None
+    m = masks.of_truth(g, masks.read_masks(spark, mask_location)) if mask_location else None
     samples = ev.samples(g, p, m, max_samples).persist()
     try:
         if samples.isEmpty():

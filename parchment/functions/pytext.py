@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 #: White space inside a character class of a pattern with (?U): Unicode's and the four separators.
 WS = r"\s\x1c-\x1f"
-_STRIP = rf"(?U)^[{WS}]+|[{WS}]+\z"
+#: The same characters, one by one.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 _ND = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
 _FOREIGN, _ASCII = "".join(_ND), "".join(str(unicodedata.digit(c)) for c in _ND)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _STRIP, "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def collapse(c: Column) -> Column:

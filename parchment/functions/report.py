@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,17 +14,26 @@ from .pytext import WS, ascii_digits, collapse, strip
 WRAPPED = r"(?isU)<report>(.*?)</report>"
 THINKING = r"(?isU)<think>(.*?)</think>"
 CONCLUSION = rf"(?iU)\[conclusion\][:*{WS}]*(forged|authentic|pristine)"
-RISK = rf"(?iU)\[?risk[_{WS}]?score\]?[^0-9]{{0,12}}([0-9]{{1,3}})"
+RISK = rf"(?iU)risk[_{WS}]?score\]?[^0-9]{{0,12}}([0-9]{{1,3}})"
 RISK_BRACKETED = rf"(?iU)\[risk[_{WS}]?score\][:*{WS}]*([0-9]+)"
 GROUNDING = rf"(?iU)\[grounding\][{WS}]*:[{WS}]*\[([^\[\]]+)\]"
 NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
-REASON = rf"(?isU)\[reason\][{WS}]*:[{WS}]*(.*?)(?=\n[{WS}]*###[{WS}]*anomaly|\n[{WS}]*---|\n[{WS}]*##[{WS}]*summary|\z)"
-SUMMARY = rf"(?isU)##[{WS}]*summary[{WS}]*\n(.*?)(?=\n[{WS}]*---|\n[{WS}]*\*\*end of report\*\*|\z)"
-SECTIONS = (
-    ("missing_header", rf"(?iU)#[{WS}]*forgery[{WS}]+analysis\b"),
-    ("missing_detail_section", rf"(?iU)detailed[{WS}]+anomaly[{WS}]+analysis"),
-    ("missing_end_marker", rf"(?iU)end[{WS}]+of[{WS}]+report"),
+REASON = rf"(?iU)\A\[reason\][{WS}]*:[{WS}]*"
+SUMMARY = rf"(?iU)\A##[{WS}]*summary[{WS}]*\n"
+_MARKS = (
+    rf"\[(?:conclusion|grounding|reason)\]|risk[_{WS}]?score|\n[{WS}]*---|\n[{WS}]*###[{WS}]*anomaly|##[{WS}]*summary|#[{WS}]*forgery[{WS}]+analysis{{0}}"
+    rf"|detailed[{WS}]+anomaly[{WS}]+analysis|end[{WS}]+of[{WS}]+report"
 )
+#: What a report is cut before: every place where a mark begins. White space before a summary's heading and stars before the end mark stay
+#: with what precedes, and are looked for there. Then a mark at the start of a piece, and what may still be open at the end of one.
+MARKS = f"(?iU)(?={_MARKS.replace('{0}', r'\b')})"
+BEGINS = rf"(?iU)\A(?:{_MARKS.replace('{0}', '')})"
+GROUNDING_OPEN = rf"(?iU)\A\[grounding\][{WS}]*(?::[{WS}]*(?:\[[^\[\]]*)?)?\z"
+SUMMARY_OPEN = rf"(?iU)\A##[{WS}]*summary[{WS}]*\z"
+NEW_LINE = rf"(?U)\n[{WS}]*\z"
+STARRED = rf"(?U)\n[{WS}]*\*\*\z"
+END_MARK = r"(?iU)\Aend of report\*\*"
+SECTIONS = (("missing_header", "h"), ("missing_detail_section", "d"), ("missing_end_marker", "e"))
 
 PARSED = "struct<conclusion:string,risk_score:int,anomalies:array<struct<grounding:array<int>>>>"
 
@@ -43,8 +54,8 @@ def output_label(c: Column) -> Column:
 
 
 def unwrap(c: Column) -> Column:
-    c = F.coalesce(c, F.lit(""))
-    return strip(F.when(c.rlike(WRAPPED), F.regexp_extract(c, WRAPPED, 1)).otherwise(c))
+    """What is within the first pair of report tags, else all, without white space at the ends: one pass over the text."""
+    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?isU)\A.*?<report>(.*?)</report>.*\z", "$1"))
 
 
 def _numbers(body: Column) -> Column:
@@ -55,35 +66,102 @@ def _four(n: Column) -> Column:
     return F.struct(*(F.get(n, i).alias(k) for i, k in enumerate(("x1", "y1", "x2", "y2"))))
 
 
+def lex(text: Column) -> Column:
+    """Pieces of a report, array<struct<k, s>>: the text cut before every mark, each piece with the kind of the mark it begins with.
+
+    The piece before the first mark, empty where a text begins with one, has the kind "". Pieces in order are the text.
+    """
+    cut = F.split(F.concat(F.lit("\0"), text), MARKS, -1)  # behind another character a mark at the start is cut before, too
+    begun = F.transform(cut, lambda s, i: F.struct(F.when(i > 0, F.lower(F.regexp_extract(s, BEGINS, 0))).otherwise("").alias("m"), F.when(i > 0, s).otherwise(F.substring(s, 2, 1 << 30)).alias("s")))
+
+    def kind(m: Column) -> Column:
+        one, last = F.substring(m, 1, 1), F.right(m, F.lit(1))
+        return F.when(one == "[", F.substring(m, 2, 1)).when(one == "\n", F.when(last == "-", "-").otherwise("a")).when(one == "#", F.when(last == "y", "s").otherwise("h")).when(one == "r", "k").otherwise(one)
+
+    return F.transform(begun, lambda x: F.struct(kind(x["m"]).alias("k"), x["s"].alias("s")))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+_STATE = {
+    "n": "int", "verdict": "string", "risk": "string", "risk_open": "string", "bodies": "array<string>", "body_open": "string", "reasons": "array<string>", "reason_open": "string", "head_open": "string",
+    "summary": "string", "summary_done": "boolean", "h": "boolean", "d": "boolean", "e": "boolean",
+}
+
+
+def _step(s: Column, x: Column) -> Column:
+    """The state after one more piece. A mark whose value may go on in the next piece stays open, as the text since it."""
+    kind, piece, none = x["k"], x["s"], F.lit(None).cast("string")
+    matched = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
+    more = lambda name, k, ok=True: F.when(F.lit(ok) & (kind == k), piece).when(s[name].isNotNull(), F.concat(s[name], piece))
+
+    verdict = F.coalesce(s["verdict"], F.when(kind == "c", matched(piece, rf"\A{CONCLUSION}")))
+
+    score = F.when(s["risk"].isNull(), F.when(s["risk_open"].isNotNull(), F.concat(s["risk_open"], piece)).when(kind == "k", piece))
+    risk = F.coalesce(s["risk"], F.when(score.isNotNull(), matched(ascii_digits(score), RISK)))
+    risk_open = F.when(risk.isNull() & (F.length(piece) < 30), F.right(score, F.lit(60)))  # a score is within 26 characters of its mark
+
+    box = more("body_open", "g")
+    body = F.when(box.isNotNull(), matched(box, rf"\A{GROUNDING}"))
+    body_open = F.when(body.isNull() & box.rlike(GROUNDING_OPEN), box)
+
+    # nothing ends a reason or a summary that has no text yet: the white space before its end belongs to the mark
+    within, some = s["reason_open"], lambda c: strip(c) != ""
+    ends = within.isNotNull() & (kind.isin("-", "a") | ((kind == "s") & within.rlike(NEW_LINE))) & some(within)
+    ends = F.coalesce(ends, F.lit(False))
+    reason_open = F.when(ends, none).when(within.isNotNull(), F.concat(within, piece)).when((kind == "r") & piece.rlike(REASON), F.regexp_replace(piece, REASON, ""))
+
+    told, done = s["summary"], s["summary_done"]
+    head = F.when(told.isNull(), more("head_open", "s"))
+    marked = (kind == "e") & piece.rlike(END_MARK) & told.rlike(STARRED)
+    over = told.isNotNull() & ~done & (((kind == "-") & some(told)) | marked)
+    summary = (
+        F.when(done, told).when(told.isNotNull() & marked, F.regexp_replace(told, STARRED, "")).when(told.isNotNull() & ~over, F.concat(told, piece)).when(told.isNotNull(), told)
+        .when(head.rlike(SUMMARY), F.regexp_replace(head, SUMMARY, ""))
+    )
+    head_open = F.when(told.isNull() & head.rlike(SUMMARY_OPEN), head)
+    new = {
+        "n": s["n"] + F.length(piece), "verdict": verdict, "risk": risk, "risk_open": risk_open, "bodies": F.when(body.isNotNull(), F.array_append(s["bodies"], body)).otherwise(s["bodies"]), "body_open": body_open,
+        "reasons": F.when(ends, F.array_append(s["reasons"], within)).otherwise(s["reasons"]), "reason_open": reason_open, "head_open": head_open, "summary": summary,
+        "summary_done": F.coalesce(done | over, F.lit(False)), **{k: s[k] | (kind == k) for k in "hde"},
+    }
+    return F.struct(*(new[k].cast(t).alias(k) for k, t in _STATE.items()))
+
+
 def parse_report(c: Column) -> Column:
-    """struct(conclusion, risk_score, boxes, reasons, summary, report_len, issues) of a report."""
-    text = unwrap(c)
-    digits = ascii_digits(text)
-    found = F.transform(F.regexp_extract_all(text, F.lit(GROUNDING), F.lit(1)), _numbers)
+    """struct(conclusion, risk_score, boxes, reasons, summary, report_len, issues) of a report.
+
+    One pass cuts the text at its marks, and a fold over the pieces, a machine whose state is what is open, gives all fields. They are
+    what searching the text for each mark alone would give: marks may lie in each other's values.
+    """
+    empty = {k: F.lit(0) if t == "int" else F.lit(False) if t == "boolean" else F.array() if t[0] == "a" else F.lit(None) for k, t in _STATE.items()}
+    start = F.struct(*(empty[k].cast(t).alias(k) for k, t in _STATE.items()))
+    return F.aggregate(lex(unwrap(c)), start, _step, lambda s: _let(F.transform(s["bodies"], _numbers), lambda found: _told(s, found)))
+
+
+def _told(s: Column, found: Column) -> Column:
     wrong = lambda n: F.when(F.size(n) < 4, "malformed_grounding").when((F.get(n, 2) <= F.get(n, 0)) | (F.get(n, 3) <= F.get(n, 1)), "invalid_box_order")
-    verdict, risk, summary = text.rlike(CONCLUSION), digits.rlike(RISK), text.rlike(SUMMARY)
-    none = F.lit(None).cast("string")
+    lacks = lambda c, name: F.when(c, name).otherwise(F.lit(None).cast("string"))
     issues = F.array_compact(
         F.concat(
-            F.array(F.when(~verdict, "missing_or_invalid_conclusion").otherwise(none), F.when(~risk, "missing_risk_score").otherwise(none)),
-            F.transform(found, wrong),
-            F.array(F.when(~summary, "missing_summary").otherwise(none), *(F.when(~text.rlike(p), name).otherwise(none) for name, p in SECTIONS)),
+            F.array(lacks(s["verdict"].isNull(), "missing_or_invalid_conclusion"), lacks(s["risk"].isNull(), "missing_risk_score")), F.transform(found, wrong),
+            F.array(lacks(s["summary"].isNull(), "missing_summary"), *(lacks(~s[k], name) for name, k in SECTIONS)),
         )
-    )
-    full = F.struct(
-        F.when(verdict, norm_label(F.regexp_extract(text, CONCLUSION, 1))).otherwise("UNKNOWN").alias("conclusion"),
-        F.when(risk, F.least(F.lit(100), F.regexp_extract(digits, RISK, 1).try_cast("int"))).alias("risk_score"),
+    )
+    none = s["n"] == 0
+    reasons = F.when(s["reason_open"].isNotNull(), F.array_append(s["reasons"], s["reason_open"])).otherwise(s["reasons"])
+    return F.struct(
+        F.when(s["verdict"].isNotNull(), norm_label(s["verdict"])).otherwise("UNKNOWN").alias("conclusion"),
+        F.least(F.when(s["risk"].isNotNull(), F.lit(100)), s["risk"].try_cast("int")).alias("risk_score"),
         F.transform(F.filter(found, lambda n: wrong(n).isNull()), _four).alias("boxes"),
-        F.transform(F.regexp_extract_all(text, F.lit(REASON), F.lit(1)), collapse).alias("reasons"),
-        F.when(summary, collapse(F.regexp_extract(text, SUMMARY, 1))).otherwise("").alias("summary"),
-        F.length(text).alias("report_len"),
-        issues.alias("issues"),
+        F.transform(reasons, collapse).alias("reasons"),
+        F.coalesce(collapse(s["summary"]), F.lit("")).alias("summary"),
+        s["n"].alias("report_len"),
+        F.when(none, F.array(F.lit("empty_report"))).otherwise(issues).alias("issues"),
     )
-    empty = F.struct(
-        F.lit("UNKNOWN").alias("conclusion"), F.lit(None).cast("int").alias("risk_score"), F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>").alias("boxes"),
-        F.array().cast("array<string>").alias("reasons"), F.lit("").alias("summary"), F.lit(0).alias("report_len"), F.array(F.lit("empty_report")).alias("issues"),
-    )
-    return F.when(F.length(text) == 0, empty).otherwise(full)
 
 
 def split_output(c: Column) -> Column:

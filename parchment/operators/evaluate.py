@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, report, scoring
 from ..functions.pytext import basename, nonempty
+from . import masks as mask_ops
 
 GT_FIELDS = ("image_file", "image_name", "sample_id", "language_code", "label", "report_text", "report", "image_path", "mask_path", "width", "height", "image_width", "image_height")
 PRED_FIELDS = ("image_name", "image_path", "report", "raw_output", "api_raw_content", "raw_output_full")
@@ -48,18 +49,16 @@ def prepare_truth(df: DataFrame) -> DataFrame:
 def samples(gt: DataFrame, pred: DataFrame, masks: DataFrame | None = None, max_samples: int = 0) -> DataFrame:
     """One row for each image that both have (inputs keyed once): labels, localisation, counts, report quality, issues.
 
-    ``masks``: image_name, tp, fp, fn of predicted boxes against a mask image, where there is one.
+    ``masks``: image_name, mask_width, mask_height, rows (see masks) where a sample has one; keyed once. They count for forged samples of
+    known size, resized to it.
     """
     a = gt.select("image_name", "sample_id", "language_code", "label", F.col("report").alias("gt_report"), "width", "height")
     both = a.join(pred.select("image_name", F.col("report").alias("pred_report")), "image_name")
     if max_samples > 0:
         both = both.orderBy("image_name").limit(max_samples)
     parsed = both.withColumns({"gt": report.parse_report(F.col("gt_report")), "pred": report.parse_report(F.col("pred_report"))})
-    counts = F.struct("tp", "fp", "fn")
-    if masks is None:
-        parsed = parsed.withColumn("mask", F.lit(None).cast("struct<tp:bigint,fp:bigint,fn:bigint>"))
-    else:
-        parsed = parsed.join(masks.select("image_name", counts.alias("mask")), "image_name", "left")
+    if masks is not None:
+        parsed = parsed.join(masks.select("image_name", "mask_width", "mask_height", "rows"), "image_name", "left")
     w, h = F.col("width"), F.col("height")
     named = parsed.withColumns({
         "gt_label": report.norm_label(nonempty("label", F.col("gt.conclusion"))), "pred_label": F.col("pred.conclusion"),
@@ -67,7 +66,14 @@ def samples(gt: DataFrame, pred: DataFrame, masks: DataFrame | None = None, max_
         "expected_script": scoring.expected_script(F.col("language_code")), "pred_script": scoring.pred_script(F.col("pred.reasons"), F.col("pred.summary")),
     })
     forged, authentic = F.col("gt_label") == "FORGED", F.col("gt_label") == "AUTHENTIC"
-    m = F.when(forged & geometry.sized(w, h), F.col("mask"))
+    if masks is None:
+        m = F.lit(None).cast("struct<tp:bigint,fp:bigint,fn:bigint>")
+    else:
+        clamped = F.transform("pred_valid", lambda b: geometry.clamp_box(b, w, h))
+        rows = mask_ops.resized(F.col("rows"), F.col("mask_width"), F.col("mask_height"), w, h)
+        m = F.when(forged & geometry.sized(w, h), mask_ops.counts(rows, clamped))
+    named = named.withColumn("mask", m)
+    m = F.col("mask")
     named = named.withColumns({
         "box_miou": F.when(forged, F.when((F.size("gt_valid") > 0) & (F.size("pred_valid") == 0), 0.0).otherwise(geometry.mean_best_iou(F.col("gt_valid"), F.col("pred_valid")))),
         "mask_iou": F.when(m.isNotNull(), F.coalesce(F.try_divide(m["tp"], m["tp"] + m["fp"] + m["fn"]), F.lit(0.0))),
@@ -80,7 +86,7 @@ def samples(gt: DataFrame, pred: DataFrame, masks: DataFrame | None = None, max_
         "image_name", "sample_id", "language_code", "expected_script", "pred_script", "gt_label", "pred_label", (F.col("gt_label") == F.col("pred_label")).alias("det_correct"),
         F.when(forged, F.coalesce("mask_f1", "box_miou")).alias("loc_score"),
         F.when(authentic, "skipped_authentic").when(~forged, "none").when(F.col("mask_f1").isNotNull(), "mask_f1").when(F.col("box_miou").isNotNull(), "box_miou").otherwise("no_gt_boxes").alias("loc_method"),
-        "box_miou", "mask_iou", "mask_f1", "count_score", scoring.token_f1(F.col("gt_report"), F.col("pred_report")).alias("exp_score"), F.col("rep.score").alias("rep_score"),
+        "box_miou", "mask_iou", "mask_f1", "mask", "count_score", scoring.token_f1(F.col("gt_report"), F.col("pred_report")).alias("exp_score"), F.col("rep.score").alias("rep_score"),
         F.col("rep.breakdown").alias("rep_breakdown"), F.col("rep.status").alias("rep_status"), F.size("pred_valid").alias("pred_boxes"), F.size("gt_valid").alias("gt_boxes"),
         F.col("pred.report_len").alias("pred_report_len"), F.col("gt.report_len").alias("gt_report_len"), F.concat(F.col("pred.issues"), F.array_compact(extra)).alias("issues"),
     )

@@ -1,15 +1,24 @@
-"""Predicted boxes against mask images: Spark's image source decodes, one Arrow kernel counts pixels."""
+"""Predicted boxes against masks kept as run lengths; pixels are only seen where an image file is turned into runs.
+
+A mask is ``rows``: for each image row that has any set pixels, its number y and its runs [x1, x2). Overlap with boxes is an interval
+sweep along each such row: the edges of runs and boxes in order, and how many of either cover what lies between two edges. Nothing grows
+with the width of an image or the height of a box, nothing is exploded or shuffled, and joins move runs only.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..cluster import ship
-from ..functions import geometry, report
+from ..functions import geometry
+
+ROWS = "array<struct<y:int,runs:array<struct<x1:int,x2:int>>>>"
+MASKS = f"mask_path string, mask_width int, mask_height int, rows {ROWS}"
 
 
 def grey(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -20,41 +29,88 @@ def grey(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return (19595 * x[:, :, 2] + 38470 * x[:, :, 1] + 7471 * x[:, :, 0] + 32768) >> 16
 
 
-def nearest(x: np.ndarray, width: int, height: int) -> np.ndarray:
-    rows = ((np.arange(height) + 0.5) * x.shape[0] / height).astype(int)
-    columns = ((np.arange(width) + 0.5) * x.shape[1] / width).astype(int)
-    return x[rows][:, columns]
+def encode(mask: np.ndarray) -> list[dict]:
+    """Runs of the set pixels of each row that has any."""
+    edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    y, starts = np.nonzero(edges == 1)
+    _, ends = np.nonzero(edges == -1)
+    rows: dict[int, list[dict]] = {}
+    for a, b, c in zip(y.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        rows.setdefault(a, []).append({"x1": b, "x2": c})
+    return [{"y": k, "runs": v} for k, v in rows.items()]
 
 
-def counts(mask: np.ndarray, boxes: list[tuple[int, int, int, int]]) -> tuple[int, int, int]:
-    """(tp, fp, fn) of the union of half-open boxes."""
-    drawn = np.zeros(mask.shape, bool)
-    for x1, y1, x2, y2 in boxes:
-        drawn[y1:y2, x1:x2] = True
-    return int((mask & drawn).sum()), int((~mask & drawn).sum()), int((mask & ~drawn).sum())
+def _encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        rows = [encode(grey(*x) > 0) for x in zip(f["data"], f["height"], f["width"], f["nChannels"], strict=True)]
+        yield pd.DataFrame({"mask_path": f["mask_path"], "mask_width": f["width"], "mask_height": f["height"], "rows": rows})
 
 
-@F.pandas_udf(StructType([StructField(k, LongType()) for k in ("tp", "fp", "fn")]))
-def _kernel(data: pd.Series, h: pd.Series, w: pd.Series, channels: pd.Series, width: pd.Series, height: pd.Series, boxes: pd.Series) -> pd.DataFrame:
-    out = []
-    for d, a, b, c, x, y, k in zip(data, h, w, channels, width, height, boxes, strict=True):
-        m = grey(d, a, b, c)
-        if m.shape != (y, x):
-            m = nearest(m, x, y)
-        out.append(counts(m > 0, [(q["x1"], q["y1"], q["x2"], q["y2"]) for q in k]))
-    return pd.DataFrame(out, columns=["tp", "fp", "fn"])
-
-
-def _path(c: str) -> Column:
+def plain_path(c: str | Column) -> Column:
     return F.regexp_replace(c, "^file:/*", "/")
 
 
-def mask_counts(spark: SparkSession, gt: DataFrame, pred: DataFrame, location: str) -> DataFrame:
-    """image_name, tp, fp, fn for forged samples of known size whose mask_path is an image under ``location``."""
+def read_masks(spark: SparkSession, location: str) -> DataFrame:
+    """(mask_path, mask_width, mask_height, rows) of the readable images at ``location``: Spark's image source decodes, one kernel encodes."""
     ship(spark)
-    forged = gt.withColumn("_p", report.parse_report(F.col("report"))).withColumn("_l", report.norm_label(F.coalesce(F.nullif("label", F.lit("")), F.col("_p.conclusion")))).where((F.col("_l") == "FORGED") & geometry.sized(F.col("width"), F.col("height")) & F.col("mask_path").isNotNull())
-    rows = forged.select("image_name", "width", "height", _path("mask_path").alias("_mask")).join(pred.select("image_name", report.parse_report(F.col("report"))["boxes"].alias("boxes")), "image_name")
-    images = spark.read.format("image").option("dropInvalid", "true").load(location).select(_path("image.origin").alias("_mask"), "image")
-    clamped = F.filter(F.transform("boxes", lambda b: geometry.clamp_box(b, F.col("width"), F.col("height"))), lambda b: b.isNotNull())
-    done = rows.join(images, "_mask").select("image_name", _kernel("image.data", "image.height", "image.width", "image.nChannels", "width", "height", clamped).alias("c"))
-    return done.select("image_name", "c.tp", "c.fp", "c.fn")
+    images = spark.read.format("image").option("dropInvalid", "true").load(location)
+    return images.select(plain_path("image.origin").alias("mask_path"), "image.data", "image.height", "image.width", "image.nChannels").mapInPandas(_encode, MASKS)
+
+
+def of_truth(gt: DataFrame, masks: DataFrame) -> DataFrame:
+    """(image_name, mask_width, mask_height, rows) of the samples whose mask_path is among ``masks``."""
+    named = gt.where(F.coalesce("mask_path", F.lit("")) != "").select("image_name", plain_path("mask_path").alias("mask_path"))
+    return named.join(masks, "mask_path").drop("mask_path")
+
+
+def resized(rows: Column, mask_width: Column, mask_height: Column, width: Column, height: Column) -> Column:
+    """``rows`` of a mask as those of its nearest-neighbour resize to width x height.
+
+    A target pixel t shows the source pixel at (t + 1/2) of/size, so the source pixels [a, b) are shown by the targets from the
+    least whole number not under a size/of - 1/2 up to that of b.
+    """
+    start = lambda v, of, size: F.ceil((2.0 * v * size - of) / (2.0 * of)).cast("int")
+    first = lambda y: F.greatest(F.lit(0), start(y, mask_height, height))
+    end = lambda y: F.least(height, start(y + 1, mask_height, height))
+
+    def runs(r: Column) -> Column:
+        moved = F.transform(r["runs"], lambda x: F.struct(F.greatest(F.lit(0), start(x["x1"], mask_width, width)).alias("x1"), F.least(width, start(x["x2"], mask_width, width)).alias("x2")))
+        return F.filter(moved, lambda x: x["x2"] > x["x1"])
+
+    shown = F.filter(rows, lambda r: end(r["y"]) > first(r["y"]))
+    moved = F.flatten(F.transform(shown, lambda r: F.transform(F.sequence(first(r["y"]), end(r["y"]) - 1), lambda y: F.struct(y.alias("y"), runs(r).alias("runs")))))
+    return F.when((mask_width == width) & (mask_height == height), rows).when((mask_width > 0) & (mask_height > 0), moved)
+
+
+def _sweep(runs: Column, boxes: Column) -> Column:
+    """struct(both, mask): pixels of a row that runs and boxes cover, and that runs cover; either kind may overlap itself."""
+    edge = lambda x, m, b: F.struct(x.alias("x"), F.lit(m).alias("m"), F.lit(b).alias("b"))
+    edges = lambda spans, m, b: F.flatten(F.transform(spans, lambda s: F.array(edge(s["x1"], m, b), edge(s["x2"], -m, -b))))
+    start = F.struct(F.lit(0).alias("x"), F.lit(0).alias("m"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("both"), F.lit(0).cast("long").alias("mask"))
+
+    def step(s: Column, e: Column) -> Column:
+        gap = lambda covered: F.when(covered, e["x"] - s["x"]).otherwise(0).cast("long")
+        return F.struct(
+            e["x"].alias("x"), (s["m"] + e["m"]).alias("m"), (s["b"] + e["b"]).alias("b"),
+            (s["both"] + gap((s["m"] > 0) & (s["b"] > 0))).alias("both"), (s["mask"] + gap(s["m"] > 0)).alias("mask"),
+        )
+
+    return F.aggregate(F.array_sort(F.concat(edges(runs, 1, 0), edges(boxes, 0, 1))), start, step)
+
+
+def counts(rows: Column, boxes: Column) -> Column:
+    """struct(tp, fp, fn) of the pixels of a mask against those of the union of whole-number boxes within the image.
+
+    No rows, or no boxes, are counts of 0 of what they have none of; null rows give null. Boxes without area cover nothing.
+    """
+    solid = F.filter(boxes, lambda b: (b["x2"] > b["x1"]) & (b["y2"] > b["y1"]))
+    start = F.struct(F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("mask"))
+
+    def add(s: Column, r: Column) -> Column:
+        line = _sweep(r["runs"], F.filter(solid, lambda b: (b["y1"] <= r["y"]) & (b["y2"] > r["y"])))
+        # one sweep for both sums: the pair is taken out of an array of one
+        return F.aggregate(F.array(line), s, lambda t, v: F.struct((t["tp"] + v["both"]).alias("tp"), (t["mask"] + v["mask"]).alias("mask")))
+
+    total = F.aggregate(rows, start, add)
+    drawn = geometry.union_area(solid).cast("long")
+    return F.when(rows.isNotNull(), F.struct(total["tp"].alias("tp"), (drawn - total["tp"]).alias("fp"), (total["mask"] - total["tp"]).alias("fn")))

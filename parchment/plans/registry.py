@@ -228,6 +228,44 @@ def q_loc_cascade(spark, sf_dir):
     return samples(spark, sf_dir).select("image_name", "loc_method", _r("loc_score", "loc_score"))
 
 
+# Pixel by pixel: those of the masks, and those of the predicted boxes, by image.
+_PIXELS = f"""
+    , sides AS (
+        SELECT i, CAST(width AS BIGINT) AS w, CAST(height AS BIGINT) AS h, n_valid > 0 AS boxed, unnest([{", ".join(f"{{'j': {j}, 'gx1': gx1_{j}, 'gy1': gy1_{j}, 'gx2': gx2_{j}, 'gy2': gy2_{j}, 'px1': px1_{j}, 'py1': py1_{j}, 'px2': px2_{j}, 'py2': py2_{j}}}" for j in syn.BOXES)}]) AS b, n_boxes
+        FROM s WHERE {syn.HAS_MASK}
+    ), lines AS (
+        SELECT DISTINCT i, 'g' AS side, w, y, b.gx1 + y % 5 AS x1, b.gx2 - y % 3 AS x2 FROM (SELECT *, unnest(range(b.gy1, least(b.gy2, h))) AS y FROM sides WHERE b.j <= n_boxes) WHERE {syn.IN_MASK}
+        UNION ALL SELECT i, 'p', w, y, b.px1, b.px2 FROM (SELECT *, unnest(range(b.py1, least(b.py2, h))) AS y FROM sides WHERE b.j <= n_boxes AND boxed)
+    ), pixels AS (
+        SELECT DISTINCT i, side, y, unnest(range(x1, least(x2, w))) AS x FROM lines
+    ), met AS (
+        SELECT i, y, x, count(*) FILTER (WHERE side = 'g') AS g, count(*) FILTER (WHERE side = 'p') AS p FROM pixels GROUP BY i, y, x
+    ), masked AS (
+        SELECT i, count(*) FILTER (WHERE g > 0 AND p > 0) AS tp, count(*) FILTER (WHERE g = 0) AS fp, count(*) FILTER (WHERE p = 0) AS fn FROM met GROUP BY i
+    )"""
+
+
+def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.samples(gt_rows(spark, sf_dir), pred_rows(spark, sf_dir), syn.masks(spark, sf_dir))
+
+
+@query(f"{_PIXELS} SELECT image_name, tp, fp, fn, round(tp / (tp + fp + fn), 6) AS mask_iou, round(2.0 * tp / (2 * tp + fp + fn), 6) AS mask_f1 FROM masked JOIN s ON masked.i = s.i")
+def q_mask_f1(spark, sf_dir):
+    return masked(spark, sf_dir).where("mask is not null").select("image_name", "mask.tp", "mask.fp", "mask.fn", _r("mask_iou", "mask_iou"), _r("mask_f1", "mask_f1"))
+
+
+@query(f"{_PIXELS} SELECT image_name, CASE WHEN tp IS NOT NULL THEN 'mask_f1' ELSE loc_method END AS loc_method, round(coalesce(2.0 * tp / (2 * tp + fp + fn), box_miou), 6) AS loc_score, round(box_miou, 6) AS box_miou FROM s LEFT JOIN masked ON masked.i = s.i")
+def q_loc_cascade_mask(spark, sf_dir):
+    return masked(spark, sf_dir).select("image_name", "loc_method", _r("loc_score", "loc_score"), _r("box_miou", "box_miou"))
+
+
+@query(f"{_PIXELS} SELECT true AS allow_empty, count(*) AS n_scored, round(avg(coalesce(2.0 * tp / (2 * tp + fp + fn), box_miou, 0)), 6) AS loc_f1, round(avg(coalesce(tp / (tp + fp + fn), box_miou, 0)), 6) AS loc_iou FROM s LEFT JOIN masked ON masked.i = s.i WHERE gt_label = 'FORGED' UNION ALL SELECT false, count(coalesce(2.0 * tp / (2 * tp + fp + fn), box_miou)), round(avg(coalesce(2.0 * tp / (2 * tp + fp + fn), box_miou)), 6), round(avg(coalesce(tp / (tp + fp + fn), box_miou)), 6) FROM s LEFT JOIN masked ON masked.i = s.i WHERE gt_label = 'FORGED'")
+def q_loc_agg_mask(spark, sf_dir):
+    told = {allow: summary.localisation(allow) for allow in (True, False)}
+    one = masked(spark, sf_dir).agg(*(F.struct(F.lit(allow).alias("allow_empty"), m["n_scored"].alias("n_scored"), _r(m["loc_f1"], "loc_f1"), _r(m["loc_iou"], "loc_iou")).alias(f"_{allow}") for allow, m in told.items()))
+    return one.select(F.inline(F.array("_True", "_False")))
+
+
 @query("SELECT round(avg(coalesce(box_miou, 0)), 6) AS with_empty, round(avg(box_miou), 6) AS without, count(box_miou) AS n_scored, count(*) AS n_forged FROM s WHERE gt_label = 'FORGED'")
 def q_loc_agg(spark, sf_dir):
     a, b = summary.localisation(True), summary.localisation(False)

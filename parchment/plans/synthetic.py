@@ -7,6 +7,7 @@ the other columns, so a fault of the parser cannot hide in both.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BOXES = (1, 2, 3)
 _NL = "chr(10)"
@@ -102,3 +103,22 @@ def raw_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE i % 4 WHEN 0 THEN '<think>why ' || pred_summary || '</think>' || pred_report WHEN 1 THEN '<think>a</think><report> ' || pred_report || ' </report>' WHEN 2 THEN pred_report ELSE '<REPORT>' || pred_report || '</REPORT>' END AS raw",
         "CASE WHEN i % 59 = 0 THEN 'TimeoutError()' END AS error",
     )
+
+
+#: Forged images of known size have a mask unless i % 6 = 4; every fourth is kept at twice the size of its image.
+HAS_MASK = "gt_word = 'FORGED' AND n_boxes > 0 AND width IS NOT NULL AND i % 6 <> 4"
+#: A slanted run in three of four rows of each box.
+IN_MASK = "(y + i) % 4 <> 3"
+
+
+def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_name, mask_width, mask_height, rows) by arithmetic; runs of boxes that share rows may overlap."""
+    kept = spec(spark, sf_dir).where(HAS_MASK).withColumn("k", F.when(F.col("i") % 4 == 0, 2).otherwise(1))
+    each = kept.select("i", "image_name", "k", "width", "height", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), *(F.col(f"g{c}_{j}").cast("int").alias(c) for c in ("x1", "y1", "x2", "y2"))) for j in BOXES))).alias("b"), "n_boxes").where("b.j <= n_boxes")
+    lines = each.select("i", "image_name", "k", "width", "height", "b", F.explode(F.sequence(F.col("b.y1"), F.col("b.y2") - 1)).alias("y")).where(IN_MASK).where("y < height")
+    x1, x2 = F.col("b.x1") + F.col("y") % 5, F.least(F.col("b.x2") - F.col("y") % 3, "width")
+    lines = lines.where(x2 > x1).select("image_name", "k", "width", "height", "y", F.struct((x1 * F.col("k")).alias("x1"), (x2 * F.col("k")).alias("x2")).alias("run"))
+    rows = lines.groupBy("image_name", "k", "width", "height", "y").agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    # at twice the size a row stands twice
+    rows = rows.select("image_name", (F.col("width") * F.col("k")).alias("mask_width"), (F.col("height") * F.col("k")).alias("mask_height"), F.explode(F.sequence(F.col("y") * F.col("k"), F.col("y") * F.col("k") + F.col("k") - 1)).alias("y"), "runs")
+    return rows.groupBy("image_name", "mask_width", "mask_height").agg(F.array_sort(F.collect_list(F.struct(F.col("y").cast("int").alias("y"), "runs"))).alias("rows"))

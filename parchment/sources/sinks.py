@@ -54,7 +54,7 @@ def summary_document(samples: DataFrame, gt: DataFrame, pred: DataFrame, allow_e
         "by_language": {r.language_code: {k: v for k, v in r.asDict().items() if k != "language_code"} for r in summary.by_language(samples, allow_empty).orderBy("language_code").collect()},
     }
     if include_samples:
-        doc["samples"] = [json.loads(r[0]) for r in samples.orderBy("image_name").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()]
+        doc["samples"] = [json.loads(r[0]) for r in samples.drop("mask").orderBy("image_name").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()]
     return doc
 
 

@@ -6,6 +6,7 @@ import struct
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,11 +72,64 @@ def test_run(spark, tmp_path):
     assert "S_Fin_proxy" in sinks.console(out)
 
 
-def test_mask_kernel():
-    import numpy as np
-
-    assert masks.counts(np.array([[1, 1, 0, 0]] * 4) > 0, [(1, 0, 3, 4), (1, 0, 3, 4)]) == (4, 4, 4)
-    assert masks.nearest(np.array([[1, 2], [3, 4]]), 4, 2).tolist() == [[1, 1, 2, 2], [3, 3, 4, 4]]
+def pixels(rows, width, height):
+    out = np.zeros((height, width), bool)
+    for r in rows:
+        for x in r["runs"]:
+            out[r["y"], x["x1"] : x["x2"]] = True
+    return out
+
+
+def nearest(x, width, height):
+    """Pixel by pixel: the source pixel in which the centre of the target pixel lies."""
+    return np.array([[x[(2 * j + 1) * x.shape[0] // (2 * height), (2 * i + 1) * x.shape[1] // (2 * width)] for i in range(width)] for j in range(height)])
+
+
+def test_masks_by_runs_and_by_pixels(spark):
+    """Sweeps over runs give what pixels give, for masks of other sizes, boxes that overlap or have no area, and masks without a pixel."""
+    rng = np.random.default_rng(3)
+    given, expected = [], {}
+    for k in range(60):
+        h, w, mh, mw = (int(v) for v in rng.integers(3, 20, 4))
+        if k % 3 == 0:
+            mh, mw = h, w
+        mask = rng.random((mh, mw)) < (0 if k % 10 == 9 else 0.4)
+        boxes = []
+        for _ in range(int(rng.integers(0, 5))):
+            x1, x2 = sorted(int(v) for v in rng.integers(0, w + 1, 2))
+            y1, y2 = sorted(int(v) for v in rng.integers(0, h + 1, 2))
+            boxes.append({"x1": x1, "y1": y1, "x2": x2, "y2": y2})
+        drawn = np.zeros((h, w), bool)
+        for b in boxes:
+            drawn[b["y1"] : b["y2"], b["x1"] : b["x2"]] = True
+        rows = masks.encode(mask)
+        assert (pixels(rows, mw, mh) == mask).all()
+        target = nearest(mask, w, h)
+        given.append((k, rows, mw, mh, w, h, boxes))
+        expected[k] = (int((target & drawn).sum()), int((~target & drawn).sum()), int((target & ~drawn).sum()))
+    frame = spark.createDataFrame(given, f"k int, rows {masks.ROWS}, mw int, mh int, w int, h int, boxes array<struct<x1:int,y1:int,x2:int,y2:int>>")
+    out = frame.select("k", masks.counts(masks.resized(F.col("rows"), F.col("mw"), F.col("mh"), F.col("w"), F.col("h")), F.col("boxes")).alias("c")).collect()
+    assert {r.k: tuple(r.c) for r in out} == expected
+
+
+def test_runs_may_overlap_and_rows_may_be_unknown(spark):
+    rows = [{"y": 1, "runs": [{"x1": 0, "x2": 5}, {"x1": 3, "x2": 8}, {"x1": 9, "x2": 9}]}]
+    frame = spark.createDataFrame([(rows, [{"x1": 4, "y1": 0, "x2": 6, "y2": 9}]), (None, []), ([], [{"x1": 0, "y1": 0, "x2": 2, "y2": 2}])], f"rows {masks.ROWS}, boxes array<struct<x1:int,y1:int,x2:int,y2:int>>")
+    assert [r[0] and tuple(r[0]) for r in frame.select(masks.counts(F.col("rows"), F.col("boxes"))).collect()] == [(2, 16, 6), None, (0, 4, 0)]
+
+
+def test_masks_of_files(spark, tmp_path):
+    """Image files to runs: greyscale values over 0 are set, what is no image is left out, and pixels never meet a shuffle."""
+    png(tmp_path / "a.png", [[0, 7, 7, 0, 255], [0, 0, 0, 0, 0], [1, 0, 0, 0, 1]])
+    png(tmp_path / "b.png", [[0, 0], [0, 0]])
+    (tmp_path / "c.png").write_bytes(b"no image")
+    got = {r.mask_path.rsplit("/", 1)[1]: r for r in masks.read_masks(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a.png", "b.png"} and got["b.png"].rows == []
+    assert (got["a.png"].mask_width, got["a.png"].mask_height) == (5, 3)
+    assert [(r.y, [(x.x1, x.x2) for x in r.runs]) for r in got["a.png"].rows] == [(0, [(1, 3), (4, 5)]), (2, [(0, 1), (4, 5)])]
+    gt = spark.createDataFrame([("a", f"file:{tmp_path}/a.png"), ("b", None), ("c", str(tmp_path / "c.png")), ("d", "")], "image_name string, mask_path string")
+    named = masks.of_truth(gt, masks.read_masks(spark, str(tmp_path)))
+    assert [(r.image_name, len(r.rows)) for r in named.collect()] == [("a", 2)]
     assert masks.grey(bytes([0, 0, 255]), 1, 1, 3).tolist() == [[76]]
 
 
