@@ -25,88 +25,160 @@ from pyspark.sql import functions as F
 from . import text
 from .store import Workspace
 
-#: Words whose ids a Python worker remembers between slices and tasks: a bound on its memory, not on what is encoded.
+#: Pieces of words whose ids a Python worker remembers between slices and tasks: a bound on its memory, not on what is encoded.
 REMEMBERED = 400_000
 _encoders: dict[str, Encoder] = {}
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+#: Marks at which a run of letters ends and begins whatever the tokenizer's rules for apostrophes and special tokens are.
+_MARK = np.zeros(256, bool)
+_MARK[list(b'!"#$%&()*+,-./:;=?@[\\]^_`{}~')] = True
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as ``text.words`` has them, cut further between letters (a-z, and those of Latin-1) and marks."""
+    starts, ends, at = text.words(data, offsets)
+    latin = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # their two bytes; not the signs of times and division
+    closes, opens = _LETTER[data], _LETTER[data]
+    closes[1:] |= latin
+    opens[:-1] |= latin
+    mark = _MARK[data]
+    inner = np.flatnonzero((closes[:-1] & mark[1:]) | (mark[:-1] & opens[1:])) + 1
+    inner = inner[~np.isin(inner, offsets)]  # texts lie side by side
+    starts, ends = np.sort(np.append(starts, inner)), np.sort(np.append(ends, inner))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+class Known:
+    """Ids of pieces by their bytes: hashes in order, each with where its bytes and its ids lie."""
+
+    def __init__(self) -> None:
+        self.hash = np.zeros(0, np.uint64)
+        self.place = np.zeros((0, 4), np.int64)  # start and length of the bytes, of the ids
+        self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+
+    def find(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Row of each piece, -1 where it is not known; bytes are compared."""
+        if not len(self.hash) or not len(h):
+            return np.full(len(h), -1)
+        row = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        n = ends - starts
+        hit = np.flatnonzero((self.hash[row] == h) & (self.place[row, 1] == n))
+        both = np.concatenate([self.bytes, data])
+        fine = hit[text.same_bytes(both, self.place[row[hit], 0], len(self.bytes) + starts[hit], n[hit])]
+        out = np.full(len(h), -1)
+        out[fine] = row[fine]
+        return out
+
+    def add(self, h: np.ndarray, raw: list[bytes], ids: list[list[int]]) -> None:
+        """New pieces; of two with one hash the first is remembered."""
+        size, many = np.array([len(w) for w in raw], np.int64), np.array([len(i) for i in ids], np.int64)
+        place = np.stack([len(self.bytes) + np.cumsum(size) - size, size, len(self.ids) + np.cumsum(many) - many, many], 1)
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(raw), np.uint8)])
+        self.ids = np.concatenate([self.ids, np.fromiter((x for i in ids for x in i), np.uint32, int(many.sum()))])
+        self.hash, first = np.unique(np.concatenate([self.hash, h]), return_index=True)
+        self.place = np.concatenate([self.place, place])[first]
+
 
 class Encoder:
-    """Ids of whole texts by a tokenizer whose words are split at white space, so that each distinct word is encoded once.
+    """Ids of whole texts by a tokenizer that splits words at white space and letters from marks: each distinct piece is encoded once.
 
-    ``probe`` holds what is assumed of the tokenizer: white space ends a word and is no part of one, and case does not matter.
+    What is assumed of the tokenizer is tried on a probe when it is loaded; where that fails texts are encoded one by one.
     """
 
+    PROBE = "The quick\tbrown FOX's 12 tails,\n\n(and more)... Été&naïve! x-ray can't, 'tis a.b.c 3.14%of $5 don't!"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
-        probe = "The quick\tbrown FOX's 12 tails,\n\n(and more) Été! x"
-        joined = [i for w in probe.split() for i in self._plain(w.lower())]
-        self.by_word = self._plain(probe) == joined
-        #: A special token between words keeps their ids apart in one call.
+        self.model = self.tokenizer.model
+        self.known = Known()
+        data = _LOWER[np.frombuffer(self.PROBE.encode(), np.uint8)]
+        starts, ends, _ = pieces(data, np.array([0, len(data)]))
+        cut = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+        self.plain_letters = all(self._letters(w) == self._plain(w) for w in cut if w.isalpha() and w.isascii())
+        self.by_piece = self._plain(self.PROBE.encode()) == [i for w in cut for i in self._plain(w)]
+        #: A special token between pieces keeps their ids apart in one call.
         specials = sorted(i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
         self.mark = (specials[0], self.tokenizer.id_to_token(specials[0])) if specials else None
 
-    def _plain(self, t: str) -> list[int]:
-        return self.tokenizer.encode(t, add_special_tokens=False).ids
-
-    def words(self, distinct: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word; new ones in calls of a thousand, those that could hold a special token alone."""
-        new = [w for w in distinct if w not in self.known]
-        fresh: dict[bytes, np.ndarray] = {}
-        alone = [w for w in new if self.mark is None or b"<" in w]
-        plain = [w for w in new if self.mark is not None and b"<" not in w]
-        for w in alone:
-            fresh[w] = np.array(self._plain(w.decode()), np.uint32)
-        for k in range(0, len(plain), 1000):
-            some = plain[k : k + 1000]
-            ids = np.array(self._plain(self.mark[1].join(w.decode() for w in some)), np.uint32)
-            cuts = np.flatnonzero(ids == self.mark[0])
-            parts = np.split(ids, cuts)
-            fresh.update((w, p if j == 0 else p[1:]) for j, (w, p) in enumerate(zip(some, parts, strict=True)))
-        out = [fresh[w] if w in fresh else self.known[w] for w in distinct]
-        if len(self.known) < REMEMBERED:
-            self.known.update((w, p.copy()) for w, p in fresh.items())
+    def _plain(self, raw: bytes) -> list[int]:
+        return self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids
+
+    def _letters(self, raw: bytes) -> list[int]:
+        return [t.id for t in self.model.tokenize(raw.decode())]
+
+    def encode_pieces(self, raw: list[bytes]) -> list[list[int]]:
+        """Ids of each piece: letters by the model alone, others in calls of a thousand, those that could hold a special token alone."""
+        out: list[list[int]] = [[]] * len(raw)
+        rest = []
+        for k, w in enumerate(raw):
+            if self.plain_letters and w.isalpha() and w.isascii():
+                out[k] = self._letters(w)
+            elif self.mark is None or b"<" in w:
+                out[k] = self._plain(w)
+            else:
+                rest.append(k)
+        for a in range(0, len(rest), 1000):
+            some = rest[a : a + 1000]
+            for k in some:
+                out[k] = []
+            told = iter(some)
+            now = out[next(told)]
+            for i in self._plain(self.mark[1].encode().join(raw[k] for k in some)):
+                if i == self.mark[0]:
+                    now = out[next(told)]
+                else:
+                    now.append(i)
         return out
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text of an Arrow column, in order; null counts as empty."""
         for _, _, data, offsets in text.slices(column):
-            if self.by_word:
+            if self.by_piece:
                 yield from self._slice(data, offsets)
             else:
-                yield from (np.array(self._plain(data[a:b].tobytes().decode()), np.uint32) for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+                yield from (np.array(self._plain(data[a:b].tobytes()), np.uint32) for a, b in zip(offsets[:-1], offsets[1:], strict=True))
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-        starts, ends, at = text.words(data, offsets)
+        folded = _LOWER[data]
+        starts, ends, at = pieces(folded, offsets)
         if not len(starts):
             yield from (np.zeros(0, np.uint32) for _ in range(len(offsets) - 1))
             return
-        folded = _LOWER[data]
-        for p in np.flatnonzero(data == ord("<")):  # words that may hold a special token keep their case
-            w = np.searchsorted(starts, p, "right") - 1
-            folded[starts[w] : ends[w]] = data[starts[w] : ends[w]]
-        _, first, which = np.unique(text.hashes(folded, starts, ends, fold=False), return_index=True, return_inverse=True)
-        n, like = ends - starts, first[which]
+        angles = np.flatnonzero(data == ord("<"))
+        for k in np.unique(np.searchsorted(starts, angles, "right") - 1):  # what may hold a special token keeps its case
+            folded[starts[k] : ends[k]] = data[starts[k] : ends[k]]
+        every, first, which = np.unique(text.hashes(folded, starts, ends, fold=False), return_index=True, return_inverse=True)
+        n, like, which_hash = ends - starts, first[which], which.copy()
         equal = n == n[like]
         equal[equal] = text.same_bytes(folded, starts[equal], starts[like[equal]], n[equal])
-        # words that only share a hash with another are their own
+        # pieces that only share a hash with another are their own
         odd = np.flatnonzero(~equal)
         which[odd] = len(first) + np.arange(len(odd))
-        first = np.append(first, odd)
-        ids = self.words([folded[starts[k] : ends[k]].tobytes() for k in first])
-        size = np.array([len(p) for p in ids], np.int64)
-        flat, begin = np.concatenate(ids), np.append(0, np.cumsum(size))[:-1]
-        each = size[which]
+        first, every = np.append(first, odd), np.append(every, every[which_hash[odd]])
+        row = self.known.find(every, folded, starts[first], ends[first])
+        new = np.flatnonzero(row < 0)
+        raw = [folded[a:b].tobytes() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+        ids = self.encode_pieces(raw)
+        many, begin = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        old = np.flatnonzero(row >= 0)
+        begin[old], many[old] = self.known.place[row[old], 2], self.known.place[row[old], 3]
+        many[new] = [len(i) for i in ids]
+        begin[new] = len(self.known.ids) + np.cumsum(many[new]) - many[new]
+        flat = np.concatenate([self.known.ids, np.fromiter((x for i in ids for x in i), np.uint32, int(many[new].sum()))])
+        if len(self.known.hash) < REMEMBERED:
+            self.known.add(every[new], raw, ids)
+        each = many[which]
         total = np.append(0, np.cumsum(each))
-        out = flat[np.arange(total[-1]) - np.repeat(total[:-1] - begin[which], each)]
+        shift = np.repeat(begin[which] - total[:-1], each)
+        out = flat[np.arange(total[-1]) + shift]
         cuts = total[at]
-        yield from (out[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+        yield from (out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
 
 def encoder(path: str) -> Encoder:
@@ -372,10 +444,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, u
     as empty and is that one id. Pieces of a sequence lie from 0 without gaps; sequences are numbered from 0 and are full, but for at
     most log2(window) of the last ones, whose lengths are powers of two. Rows are packed one by one, also those that are repeated or
     have no doc_id. Documents stay whole up to the rules of cutting in this module. An empty table gives no rows; other columns are not read.
-    ``window`` is a multiple of ``unit``, both powers of two.
+    ``window`` is a multiple of ``unit``, at least twice it, both powers of two.
     """
-    if window % unit or window & (window - 1) or unit & (unit - 1):
-        raise ValueError("window and unit must be powers of two, and window a multiple of unit")
+    if window < 2 * unit or unit < 1 or window & (window - 1) or unit & (unit - 1):
+        raise ValueError("window and unit must be powers of two, and window at least twice unit")
     with Workspace(docs.sparkSession) as ws:
         given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
         pieces = ws.table(given.mapInArrow(lambda it: _pieces(it, tokenizer, end_id, window, unit, with_ids), PIECES), "pieces")
