@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .store import Workspace
 
-# The patterns of the kinds, in order of precedence.
-EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)+"
+# The patterns of the kinds, in order of precedence. Groups that may repeat without bound are possessive: the matcher then
+# goes on in a loop, where it would else call itself for every turn and run out of stack on a long run of labels.
+EMAIL = r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]++)++"
 #: The label of a secret in any case, with blanks around its sign; then a value in quotes up to the closing one, or up to a blank.
 LABEL = r"(?i:password|passwd|secret|token|api_key)[ \t]*[=:]"
 SECRET = rf"(?<![A-Za-z0-9]){LABEL}[ \t]*" + r"(?:\"[^\"\r\n]{4,}\"|'[^'\r\n]{4,}'|[\"']?[^\s\"',;]{4,})"
@@ -35,7 +36,7 @@ PHONE = (
 MALE = "Mr|Herr|Monsieur|Señor|Sr|г-н"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|г-жа"
 EITHER = "Dr|Prof|Professor"
-NAME = r"(?:\p{Lu}(?:['’]\p{Lu})?[\p{L}\p{M}]+(?:-\p{Lu}[\p{L}\p{M}]+)*|\p{IsHan}{1,4}|(?!\p{IsHan})\p{Lo}[\p{Lo}\p{M}]*)"
+NAME = r"(?:\p{Lu}(?:['’]\p{Lu})?[\p{L}\p{M}]++(?:-\p{Lu}[\p{L}\p{M}]++)*+|\p{IsHan}{1,4}|(?!\p{IsHan})\p{Lo}[\p{Lo}\p{M}]*)"
 PERSON = rf"(?<![\p{{L}}-])(?:{MALE}|{FEMALE}|{EITHER})\.? {NAME}(?: {NAME})?"
 ENTITY = "|".join((EMAIL, SECRET, ACCESS_KEY, IBAN, CARD, IP, SSN, PHONE, PERSON))
 #: What every text with an entity has, quick to look for: other texts are spared the whole pattern.
@@ -58,6 +59,9 @@ SYLLABLES = {
     "cyrillic": ("ба", "вел", "гор", "дан", "зор", "кас", "лин", "мар", "нор", "пет", "рос", "сал", "тан", "фед", "чер", "шин"),
 }
 
+#: A surrogate has the shape of at most so many first characters of its value.
+SHAPED = 256
+
 # Letters that stand for letters of a script, upper case, lower case and caseless.
 LETTERS = {
     r"[a-z]": "abcdefghijklmnopqrstuvwxyz",
@@ -99,7 +103,7 @@ def _pick(h: Column, i: int, values: tuple[str, ...]) -> Column:
 
 def _shaped(value: Column, key: Column, hex_only: Column) -> Column:
     """Each digit by a digit, each letter by one of its case and script; the rest stays. ``key`` is hashed anew every 31 characters."""
-    chars = F.split(value, "")
+    chars = F.split(F.substring(value, 1, SHAPED), "")
     place = lambda c, alphabet, x: F.substring(F.lit(alphabet), x % len(alphabet) + 1, F.lit(1))
 
     def one(c: Column, i: Column) -> Column:
@@ -131,8 +135,10 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     h = _hmac(key, F.concat(kind, F.lit("|"), value, F.lit("|"), attempt.cast("string")))
     shaped = lambda v, hex_only=F.lit(False): _shaped(v, h, hex_only)
     script = F.when(value.rlike(r"^[\p{IsCyrillic}'’-]+$"), F.lit("cyrillic")).when(value.rlike(r"\p{IsLatin}"), F.lit("latin")).otherwise(F.lit("other"))
-    # short values have few surrogates of their length: every eighth attempt is a character longer
-    longer = F.concat(value, F.repeat(F.substring(value, -1, 1), F.floor(attempt / 8).cast("int")))
+    # a shape has only so many surrogates: every eighth attempt is a character longer, whatever the kind, so that attempts end
+    times = F.floor(attempt / 8).cast("int")
+    longer = F.concat(F.substring(value, 1, SHAPED), F.repeat(F.substring(value, -1, 1), times))
+    digits = F.concat(value, F.repeat(F.lit("0"), times))
 
     def family(of: str) -> Column:
         s = SYLLABLES[of]
@@ -153,26 +159,26 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
 
     local, domain = F.regexp_extract(value, "^[^@]*", 0), F.lower(F.regexp_extract(value, "@(.*)$", 1))
     mail = F.concat(shaped(F.concat(local, F.repeat(F.lit("0"), F.floor(attempt / 8).cast("int")))), F.lit("@mx"), F.substring(_hmac(key, F.concat(F.lit("domain|"), domain)), 1, 10), F.lit(".example.net"))
-    octets = F.concat_ws(".", *((_at(h, i) % 254 + 1).cast("string") for i in range(4)))
-    card = F.concat(F.substring(value, 1, 1), shaped(F.substring(value, F.lit(2), F.length(value))))  # the issuer's digit stays
+    octets = F.concat(F.concat_ws(".", *((_at(h, i) % 254 + 1).cast("string") for i in range(4))), shaped(F.repeat(F.lit(".0"), times)))
+    card = F.concat(F.substring(value, 1, 1), shaped(F.substring(digits, F.lit(2), F.length(digits))))  # the issuer's digit stays
     last = F.regexp_extract(card, "[0-9]$", 0).cast("int")
     fixed = F.concat(F.regexp_replace(card, "[0-9]$", ""), F.pmod(last - _luhn(card), F.lit(10)).cast("string"))
-    account = shaped(F.regexp_replace(value, "^....", ""))
+    account = shaped(F.regexp_replace(digits, "^....", ""))
     iban = F.concat(F.substring(value, 1, 2), F.lpad((F.lit(98) - _mod97(F.concat(F.substring(value, 1, 2), F.lit("00"), account))).cast("string"), 2, "0"), account)
     country = F.regexp_extract(value, r"^\+[0-9]{1,3}[ .-]?(?=[(0-9])", 0)
     return (
         F.when(kind == "email", mail)
         .when(kind == "secret", shaped(longer, value.rlike("^[0-9a-f]+$")))
-        .when(kind == "access_key", F.concat(F.substring(value, 1, 4), shaped(F.substring(value, 5, 16))))
+        .when(kind == "access_key", F.concat(F.substring(value, 1, 4), shaped(F.substring(digits, F.lit(5), F.length(digits)))))
         .when(kind == "iban", F.when(_mod97(value) == 1, iban).otherwise(F.concat(F.substring(value, 1, 2), shaped(F.regexp_replace(value, "^..", "")))))
         .when(kind == "ip", octets)
         .when(kind == "card", F.when(_luhn(value) == 0, fixed).otherwise(card))
-        .when(kind == "phone", F.concat(country, shaped(F.substring(value, F.length(country) + 1, F.length(value)))))
+        .when(kind == "phone", F.concat(country, shaped(F.substring(digits, F.length(country) + 1, F.length(digits)))))
         .when(kind == "given_m", given("m"))
         .when(kind == "given_f", given("f"))
         .when(kind == "given_n", given("n"))
         .when(kind == "family", F.when(script == "cyrillic", family("cyrillic")).when(script == "latin", family("latin")).otherwise(shaped(longer)))
-        .otherwise(shaped(value))
+        .otherwise(shaped(digits))
     )
 
 
@@ -220,7 +226,8 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text (with surrogates), n_replaced and kinds of every row of ``docs``.
 
     ``key`` is the secret that surrogates are made with: the same key gives the same surrogates for the same entities of a table.
-    kinds: the sorted distinct kinds found (access_key, card, email, iban, ip, person, phone, secret, ssn); n_replaced: how many entities
+    A surrogate has the shape of its value, of its first 256 characters where it is longer; where more values of a shape are to be replaced than
+    it has free surrogates, those that are left get longer ones. kinds: the sorted distinct kinds found (access_key, card, email, iban, ip, person, phone, secret, ssn); n_replaced: how many entities
     were. Names and secrets are then also replaced wherever else their text has them: names as whole words, in the case they were given
     in or in capitals, so that an ordinary word in that spelling goes too. Texts without an entity, null and empty ones
     among them, come back as they are, with 0 and no kinds. Repeated rows are treated alike; a null doc_id is carried; an empty

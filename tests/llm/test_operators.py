@@ -574,3 +574,25 @@ def test_every_operator_bears(spark, tmp_path, kind):
     assert got == dict.fromkeys(got, len(rows))
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(none).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["a@b" + ".c" * 500_000, "Mr A" + "b-A" * 330_000 + "b", "Mr " + "Ab-" * 330_000, "7" * 1_000_000, "@" * 1_000_000, "x" * 500_000 + "@b.c", "1." * 500_000, "+1" + "-2" * 500_000, 'token="' * 140_000, "password=" + "s" * 900_000, "DE89 " + "3704 " * 200_000])
+def test_pii_of_a_million_code_points(spark, unit):
+    """One run of a million code points of what entities are made of ends, takes no stack, and hides nothing else."""
+    rows = [(1, f"call +44 20 7946 0958 {unit} and Mr Bob Smith", "", "", 0)]
+    r = pii.replace_pii(frame(spark, rows), "k").first()
+    assert "7946" not in r.text and "Smith" not in r.text and r.n_replaced >= 2
+    if "@b" in unit or unit.startswith("password"):
+        assert len(r.text) < 2000
+
+
+def test_pii_of_a_full_shape(spark):
+    """More numbers of one prefix than half the surrogates of their shape: the rest get longer ones, all of them distinct, none a real one."""
+    from parchment.llm.store import Workspace
+
+    values = [("phone", f"+123{n:04d}") for n in range(6000)] + [("ssn", "000-00-0000"), ("ip", "1.2.3.4"), ("card", "4111111111111111")]
+    with Workspace(spark) as ws:
+        got = [(r.value, r.surrogate) for r in pii.surrogates(spark.createDataFrame(values, "kind string, value string"), "k", ws).collect()]
+    assert len(got) == len({s for _, s in got}) == len(values)
+    assert not {s for _, s in got} & {v for _, v in values}
+    assert all(re.fullmatch(r"\+123\d{4,6}", s) for v, s in got if v.startswith("+123"))
