@@ -9,15 +9,24 @@ from pyspark.sql import SparkSession
 
 from .operators import evaluate as ev
 from .operators import masks, summary
+from .sources import images as image_files
 from .sources import jsonl, sinks
 
 
 def run(spark: SparkSession, gt_path: str, pred_path: str, raw: bool = False, max_samples: int = 0, allow_empty_loc: bool = False, det_metric: str = "accuracy", loc_metric: str = "f1", calibrate: bool = False, include_samples: bool = False, images: str | None = None, mask_location: str | None = None, output: str | None = None, output_csv: str | None = None) -> dict:
-    """The whole evaluation; returns the summary document. ``images`` and ``mask_location``: folders of image files."""
+    """The whole evaluation; returns the summary document. ``images``: where relative image paths lie; ``mask_location``: mask files.
+
+    A malformed line of an input ends it with the line's file and number.
+    """
+    with jsonl.naming_lines(spark, {gt_path: jsonl.GT_SCHEMA, pred_path: jsonl.PRED_SCHEMA}):
+        return _run(spark, gt_path, pred_path, raw, max_samples, allow_empty_loc, det_metric, loc_metric, calibrate, include_samples, images, mask_location, output, output_csv)
+
+
+def _run(spark: SparkSession, gt_path: str, pred_path: str, raw: bool, max_samples: int, allow_empty_loc: bool, det_metric: str, loc_metric: str, calibrate: bool, include_samples: bool, images: str | None, mask_location: str | None, output: str | None, output_csv: str | None) -> dict:
     gt = ev.prepare_truth(jsonl.read_jsonl(spark, gt_path, jsonl.GT_SCHEMA))
     pred = ev.prepare_predictions(jsonl.read_jsonl(spark, pred_path, jsonl.PRED_SCHEMA), raw)
     if images:
-        gt = jsonl.with_sizes(gt, jsonl.image_sizes(spark, images))
+        gt = image_files.with_sizes(gt, images)
     g, p = ev.last_wins(gt, "image_name"), ev.last_wins(pred, "image_name")
     m = masks.of_truth(g, masks.read_masks(spark, mask_location)) if mask_location else None
     samples = ev.samples(g, p, m, max_samples).persist()

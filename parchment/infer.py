@@ -9,7 +9,6 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sources import jsonl
@@ -18,16 +17,6 @@ from .streaming import inference
 SPLIT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("sample_id", "image_file", "image_path", "label", "language_code", "width", "height")])
 
 
-def _plain(path) -> F.Column:
-    return F.regexp_replace(path, "^file:/*", "/")
-
-
-def with_content(rows: DataFrame, images: str) -> DataFrame:
-    """The bytes of each row's image, from files anywhere under ``images``; null where there is none at image_path."""
-    files = rows.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(images).select(_plain("path").alias("_path"), "content")
-    return rows.join(files, _plain("image_path") == F.col("_path"), "left").drop("_path")
-
-
 def _done(spark: SparkSession, out: str) -> DataFrame | None:
     """Keys of the records at ``out``, lines that do not parse left out; None where nothing was written yet."""
     try:
@@ -38,23 +27,71 @@ def _done(spark: SparkSession, out: str) -> DataFrame | None:
         raise
 
 
-def run(spark: SparkSession, split: str, images: str, out: str, options: inference.Options, client: inference.Client, max_samples: int = 0, resume: bool = False, retry_errors: bool = False) -> dict[str, int]:
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def unfinished(spark: SparkSession, out: str) -> list[str]:
+    """Runs under ``out`` whose plan was written and that did not come to their end."""
+    store, at = _file(spark, f"{out}/_progress")
+    names = [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []
+    has = lambda name, file: store.exists(_file(spark, f"{out}/_progress/{name}/{file}")[1])
+    return sorted(n for n in names if has(n, "plan/_SUCCESS") and not has(n, "_DONE"))
+
+
+def plan(spark: SparkSession, rows: DataFrame, out: str, batch_rows: int) -> str:
+    """Write what a run is to do, in files of about ``batch_rows`` rows, each of which will be a batch; the run's name."""
+    this, n = uuid.uuid4().hex, rows.count()
+    rows.repartition(max(1, -(-n // batch_rows))).write.parquet(f"{out}/_progress/{this}/plan")
+    return this
+
+
+def work(spark: SparkSession, out: str, this: str, images: str, options: inference.Options, client: inference.Client) -> None:
+    """Do what is left of a planned run, a batch at a time.
+
+    The checkpoint holds which file of the plan is which batch, and which batches are done. A batch is written to a folder of its own
+    number, replacing what a failed attempt left, so that a run that is taken up again repeats the one batch it was in.
+    """
+    base = f"{out}/_progress/{this}"
+    schema = spark.read.parquet(f"{base}/plan").schema
+
+    def batch(rows: DataFrame, number: int) -> None:
+        inference.infer(rows, options, client, images).write.mode("overwrite").json(f"{out}/run={this}/batch={number}")
+
+    planned = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/plan")
+    planned.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    store, at = _file(spark, f"{base}/_DONE")
+    store.create(at, True).close()
+
+
+def run(spark: SparkSession, split: str, images: str, out: str, options: inference.Options, client: inference.Client, max_samples: int = 0, resume: bool = False, retry_errors: bool = False, batch_rows: int = 1000) -> dict[str, int]:
     """Load, cap, leave out what is done (``resume``), infer, write JSON lines under ``out``, and tally what was written.
 
-    Each run writes a folder of its own under ``out``; without ``resume`` earlier records are replaced. The tally reads what
-    was written, so that the client is called once for each row.
+    Each run writes a folder of its own under ``out``, in batches of about ``batch_rows`` rows that are kept as soon as they are done.
+    With ``resume`` a run that was broken off is first brought to its end; without it earlier records are replaced. The tally
+    reads what was written, so that the client is called once for each row.
     """
+    store, at = _file(spark, out)
+    if not resume:
+        store.delete(at, True)
+    runs = unfinished(spark, out) if resume else []
+    for this in runs:
+        work(spark, out, this, images, options, client)
     rows = jsonl.head(jsonl.read_jsonl(spark, split, SPLIT_SCHEMA), max_samples).drop("ord")
-    rows = inference.todo(rows, _done(spark, out) if resume else None, retry_errors)
-    this, mode = uuid.uuid4().hex, "append" if resume else "overwrite"
-    inference.infer(with_content(rows, images), options, client).withColumn("run", F.lit(this)).write.mode(mode).partitionBy("run").json(out)
-    try:
-        written = spark.read.schema("error string").json(f"{out}/run={this}")
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":  # no row, no folder
-            return {"written": 0, "errors": 0}
-        raise
-    return inference.counters(written).first().asDict()
+    with jsonl.naming_lines(spark, {split: SPLIT_SCHEMA}):
+        runs.append(plan(spark, inference.todo(rows, _done(spark, out) if resume else None, retry_errors), out, batch_rows))
+    work(spark, out, runs[-1], images, options, client)
+    tally = {"written": 0, "errors": 0}
+    for this in runs:
+        try:
+            one = inference.counters(spark.read.schema("error string").json(f"{out}/run={this}")).first().asDict()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # no row, no folder
+                raise
+            continue
+        tally = {k: v + one[k] for k, v in tally.items()}
+    return tally
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -72,6 +109,7 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--max-samples", type=int, default=0)
     a.add_argument("--num-workers", type=int, default=told.workers)
     a.add_argument("--timeout", type=int, default=told.timeout)
+    a.add_argument("--batch-rows", type=int, default=1000, help="rows that are kept together; a broken run repeats so many calls at most")
     for flag in ("enable-thinking", "resume", "retry-errors"):
         a.add_argument(f"--{flag}", action="store_true")
     o = a.parse_args(argv)
@@ -80,7 +118,7 @@ def main(argv: list[str] | None = None) -> None:
     options = dataclasses.replace(told, model=o.model, prompt_mode=o.prompt_mode, workers=o.num_workers, max_tokens=o.max_tokens, timeout=o.timeout, thinking=o.enable_thinking)
     client = inference.http_client(o.endpoint, inference.credential(o.api_key_file), options)
     spark = SparkSession.builder.appName("parchment-infer").getOrCreate()
-    tally = run(spark, o.input_jsonl, o.images, o.output, options, client, o.max_samples, o.resume, o.retry_errors)
+    tally = run(spark, o.input_jsonl, o.images, o.output, options, client, o.max_samples, o.resume, o.retry_errors, o.batch_rows)
     print(f"{tally['written']} records written, {tally['errors']} errors")
 
 

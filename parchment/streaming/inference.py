@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import time
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import ship
 from ..functions import report
 from ..functions.pytext import basename, nonempty
-from ..sources.jsonl import data_url
+from ..sources import files
+from ..sources import images as image_files
+from ..sources.jsonl import data_kind
 
 # Own wording of the prompts; the marks in them are those that reports are parsed by.
 SIMPLE_PROMPT = "Decide whether the document in the image was tampered with. Answer with a report: [Conclusion]: FORGED or AUTHENTIC, [RISK_SCORE]: 0-100, [GROUNDING]: [x1, y1, x2, y2] and [REASON]: for every anomaly, then ## SUMMARY."
@@ -117,33 +121,85 @@ def todo(split: DataFrame, done: DataFrame | None, retry_errors: bool = False, c
 RAW = "sample_id string, image_name string, image_path string, gold_label string, language_code string, model string, width int, height int, raw string, usage string, elapsed_sec double, error string"
 
 
-def infer(rows: DataFrame, options: Options, client: Client) -> DataFrame:
-    """Records of ``rows`` (sample_id, image_file, image_path, label, language_code, width, height, content), over ``workers`` partitions."""
-    ship(rows.sparkSession)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.to_dict("records"):
-                began, raw, usage, error = time.time(), None, None, None
-                width, height = (int(r[k]) if pd.notna(r[k]) else None for k in ("width", "height"))
-                try:
-                    if r["url"] is None or width is None or height is None:
-                        raise FileNotFoundError(r["image_path"])
-                    raw, told = client(messages(r["url"], options.prompt_mode))
-                    usage = json.dumps(told)
-                except Exception as e:  # every failure is a record
-                    width = height = None
-                    error = repr(e)
-                out.append((r["sample_id"], r["image_name"], r["image_path"], r["label"], r["language_code"], options.model, width, height, raw, usage, round(time.time() - began, 3), error))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RAW.split(", ")]).astype({"width": "Int32", "height": "Int32"})
-
-    named = rows.select("sample_id", nonempty("image_file", basename(F.col("image_path"))).alias("image_name"), "image_path", "label", "language_code", F.col("width").try_cast("int").alias("width"), F.col("height").try_cast("int").alias("height"), data_url(F.col("image_path"), F.col("content")).alias("url"))
-    done = named.repartition(options.workers).mapInPandas(run, RAW)
+def in_flight(rows: Iterable, call: Callable, most: int) -> Iterator:
+    """Results of ``call`` of each row as they come, in any order, with up to ``most`` calls under way.
+
+    A row is only drawn when a call may begin, so what feeds the rows is held back while calls are slow.
+    """
+    pool, running = ThreadPoolExecutor(most), set()
+    try:
+        for row in rows:
+            running.add(pool.submit(call, row))
+            if len(running) >= most:
+                done, running = wait(running, return_when=FIRST_COMPLETED)
+                yield from (f.result() for f in done)
+        while running:
+            done, running = wait(running, return_when=FIRST_COMPLETED)
+            yield from (f.result() for f in done)
+    finally:  # also where the task ends early: what has not begun does not
+        pool.shutdown(wait=True, cancel_futures=True)
+
+
+#: Finished records that a task holds before they go on.
+HELD = 16
+
+
+def infer(rows: DataFrame, options: Options, client: Client, images: str = "") -> DataFrame:
+    """Records of ``rows`` (sample_id, image_file, image_path, label, language_code, width, height and, where it is at hand, content).
+
+    The image is ``content``, or else the file at image_path (a relative one below ``images``), opened in the task that makes the call. Its
+    size is the one in its header; the row's where the header tells none. ``options.workers`` calls are under way at once, however many
+    cores there are: they are shared among as many partitions as can run. Any failure is its row's error record.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    tasks = max(1, min(options.workers, spark.sparkContext.defaultParallelism))
+    each = -(-options.workers // tasks)
+    columns = [c.split()[0] for c in RAW.split(", ")]
+
+    def one(r: dict) -> dict:
+        began, width, height, raw, usage, error = time.time(), None, None, None, None, None
+        try:
+            data = r["content"]
+            if data is None:
+                if not r["image_path"]:
+                    raise FileNotFoundError("no image_path")
+                data = files.read(files.below(r["image_path"], images))
+            width, height = image_files.size_of_bytes(data) or (r["width"], r["height"])
+            if width is None or height is None:
+                raise ValueError(f"no image: {r['image_path']}")
+            raw, told = client(messages(f"{r['kind']},{base64.b64encode(data).decode()}", options.prompt_mode))
+            usage = json.dumps(told)
+        except Exception as e:  # every failure is a record
+            width = height = raw = None
+            error = repr(e)
+        return {**r, "gold_label": r["label"], "model": options.model, "width": width, "height": height, "raw": raw, "usage": usage, "elapsed_sec": round(time.time() - began, 3), "error": error}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for record in in_flight((r for b in batches for r in b.to_pylist()), one, each):
+            held.append(record)
+            if len(held) == HELD:
+                yield _records(held, columns)
+                held = []
+        if held:
+            yield _records(held, columns)
+
+    content = F.col("content") if "content" in rows.columns else F.lit(None).cast("binary")
+    named = rows.select("sample_id", nonempty("image_file", basename(F.col("image_path"))).alias("image_name"), "image_path", "label", "language_code", F.col("width").try_cast("int").alias("width"), F.col("height").try_cast("int").alias("height"), data_kind(F.col("image_path")).alias("kind"), content.alias("content"))
+    done = named.repartition(tasks).mapInArrow(run, RAW)
     told = done.withColumn("r", report.record(F.col("raw"), F.col("error"), F.col("width"), F.col("height")))
     return told.select("sample_id", "image_name", "image_path", "gold_label", "language_code", "model", "width", "height", "r.raw_output", "r.raw_output_full", "r.thinking", "r.has_think_tag", "r.has_report_tag", "r.parsed", "elapsed_sec", "usage", F.col("raw").alias("api_raw_content"), "error")
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+
+def _records(held: list[dict], columns: list[str]) -> pa.RecordBatch:
+    types = [_ARROW[c.split()[1]] for c in RAW.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in held], t) for c, t in zip(columns, types, strict=True)], columns)
+
+
 def counters(records: DataFrame) -> DataFrame:
     """One row: records written, and errors among them."""
     return records.agg(F.count(F.lit(1)).alias("written"), F.count("error").alias("errors"))
