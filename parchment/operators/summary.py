@@ -55,15 +55,19 @@ def rollup(samples: DataFrame, allow_empty: bool = False) -> DataFrame:
     return samples.rollup("language_code").agg(F.grouping("language_code").cast("boolean").alias("total"), *measures(allow_empty))
 
 
-def scores(samples: DataFrame, det: str = "accuracy", loc: str = "f1", allow_empty: bool = False, calibrate: bool = False, has_gt_reports: bool = True) -> DataFrame:
-    """One row: the measures over all samples with S_Det, S_Loc, S_Exp, S_Rep and the final scores."""
+def chosen(det: str = "accuracy", loc: str = "f1", calibrate: bool = False) -> dict[str, Column]:
+    """S_Det, S_Loc and the final scores, over a row of measures."""
     if det not in ("accuracy", "f1", "macro_f1") or loc not in ("f1", "iou"):
         raise ValueError(f"no such metric: {det}, {loc}")
-    all_ = samples.agg(*measures(allow_empty, None if has_gt_reports else F.lit(0.0)))
     s = {"S_Det": F.col(det), "S_Loc": F.col(f"loc_{loc}"), "S_Exp": F.col("s_exp")}
     final = lambda rep: sum((scoring.WEIGHTS[k] * c for k, c in s.items()), F.lit(0.0)) + scoring.WEIGHTS["S_Rep"] * rep
     rep = scoring.calibrated(F.col("s_rep")) if calibrate else F.lit(None).cast("double")
-    return all_.withColumns({"S_Det": s["S_Det"], "S_Loc": s["S_Loc"], "S_Fin": final(F.col("s_rep")), "S_Rep_calibrated": rep, "S_Fin_calibrated": final(rep)})
+    return {"S_Det": s["S_Det"], "S_Loc": s["S_Loc"], "S_Fin": final(F.col("s_rep")), "S_Rep_calibrated": rep, "S_Fin_calibrated": final(rep)}
+
+
+def scores(samples: DataFrame, det: str = "accuracy", loc: str = "f1", allow_empty: bool = False, calibrate: bool = False, has_gt_reports: bool = True) -> DataFrame:
+    """One row: the measures over all samples with S_Det, S_Loc, S_Exp, S_Rep and the final scores."""
+    return samples.agg(*measures(allow_empty, None if has_gt_reports else F.lit(0.0))).withColumns(chosen(det, loc, calibrate))
 
 
 def confusion(samples: DataFrame) -> DataFrame:

@@ -417,12 +417,47 @@ def q_dataset_profile(spark, sf_dir):
     return summary.profile(gt_rows(spark, sf_dir).withColumn("gt_label", F.col("label")))
 
 
-@query()
+_CSV_PARTS = ", ".join(f"round(CAST({k} AS DOUBLE), 6) AS rep_{k}" for k in (*scoring.PARTS, "language_factor"))
+
+
+@query(f"""SELECT s.image_name, CAST(s.i AS VARCHAR) AS sample_id, language_code, expected_script, pred_script, gt_label, pred_label, CASE WHEN det_correct THEN 'True' ELSE 'False' END AS det_correct,
+    round(box_miou, 6) AS loc_score, loc_method, round(box_miou, 6) AS box_miou, CAST(NULL AS DOUBLE) AS mask_iou, CAST(NULL AS DOUBLE) AS mask_f1, CAST(count_score AS DOUBLE) AS count_score, round(exp_score, 6) AS exp_score,
+    round(CAST(rep_score AS DOUBLE), 6) AS rep_score, {_CSV_PARTS}, n_valid AS pred_boxes, n_boxes AS gt_boxes, CAST(pred_len AS INT) AS pred_report_len, CAST(gt_len AS INT) AS gt_report_len, coalesce(told, '') AS issues
+    FROM s LEFT JOIN (SELECT i, string_agg(issue, ';' ORDER BY issues."at") AS told FROM issues GROUP BY i) t ON s.i = t.i""")
 def q_samples_csv(spark, sf_dir):
-    return sinks.csv_frame(samples(spark, sf_dir))
+    rows = sinks.csv_frame(samples(spark, sf_dir))
+    return rows.select(*(F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in rows.schema))
+
+
+_CHOICES = {(det, loc): (d, m) for det, d in (("accuracy", "avg(CAST(det_correct AS INT))"), ("f1", _F), ("macro_f1", f"(({_F}) + ({_A})) / 2")) for loc, m in (("f1", "coalesce(avg(mask_f1), 0)"), ("iou", "coalesce(avg(mask_iou), 0)"))}
+
+
+@query(f"{_PIXELS}, scored AS (SELECT s.*, coalesce(2.0 * tp / (2 * tp + fp + fn), box_miou) AS mask_f1, coalesce(tp / (tp + fp + fn), box_miou) AS mask_iou FROM s LEFT JOIN masked ON masked.i = s.i) " + " UNION ALL ".join(f"SELECT '{det}' AS det, '{loc}' AS loc, round({d}, 6) AS s_det, round({m}, 6) AS s_loc, round(0.30 * {d} + 0.20 * {m} + 0.15 * avg(exp_score) + 0.35 * avg(rep_score), 6) AS s_fin FROM scored" for (det, loc), (d, m) in _CHOICES.items()))
+def q_score_choices(spark, sf_dir):
+    one = masked(spark, sf_dir).agg(*summary.measures(False))
+    told = []
+    for det, loc in _CHOICES:
+        c = summary.chosen(det, loc)
+        told.append(F.struct(F.lit(det).alias("det"), F.lit(loc).alias("loc"), _r(c["S_Det"], "s_det"), _r(c["S_Loc"], "s_loc"), _r(c["S_Fin"], "s_fin")))
+    return one.select(F.inline(F.array(*told)))
 
 
 @query()
 def q_infer_stub(spark, sf_dir):
     rows = syn.ground_truth(spark, sf_dir).select("sample_id", "image_file", F.lit("/none.png").alias("image_path"), "label", "language_code", "width", "height", F.encode("image_file", "UTF-8").alias("content"))
     return inference.infer(rows, inference.Options("stub"), inference.stub_client).drop("elapsed_sec")
+
+
+_STUB = inference.stub_client(inference.messages("data:image/png;base64," + "A" * 24))
+_PLACED = {k: f"CAST(greatest(0, least({of}, round_even({v} * ({of} / greatest(14, round_even({of} / 14.0, 0) * 14)), 0))) AS INT)" for k, v, of in (("x1", 10, "width"), ("y1", 20, "height"), ("x2", 30, "width"), ("y2", 40, "height"))}
+_FINE = "width IS NOT NULL"
+
+
+@query(f"""SELECT CAST(i AS VARCHAR) AS sample_id, image_name, gt_word AS gold_label, language_code, 'stub' AS model, CASE WHEN {_FINE} THEN width END AS width, CASE WHEN {_FINE} THEN height END AS height,
+    CASE WHEN {_FINE} THEN 't' END AS thinking, CASE WHEN {_FINE} THEN true END AS has_report_tag, CASE WHEN {_FINE} THEN 'FORGED' END AS conclusion, CASE WHEN {_FINE} THEN {_STUB[1]["total_tokens"]} END AS risk_score,
+    CASE WHEN {_FINE} THEN {" || ', ' || ".join(f"CAST({v} AS VARCHAR)" for v in _PLACED.values())} END AS box, CASE WHEN {_FINE} THEN '{{"total_tokens": {_STUB[1]["total_tokens"]}}}' END AS usage,
+    CASE WHEN NOT ({_FINE}) THEN 'ValueError(''no image: /none.png'')' END AS error FROM spec WHERE has_gt""")
+def q_infer_records(spark, sf_dir):
+    r = q_infer_stub(spark, sf_dir)
+    box = F.array_join(F.get("parsed.anomalies", F.lit(0))["grounding"].cast("array<string>"), ", ")
+    return r.select("sample_id", "image_name", "gold_label", "language_code", "model", "width", "height", "thinking", "has_report_tag", "parsed.conclusion", "parsed.risk_score", box.alias("box"), "usage", "error")

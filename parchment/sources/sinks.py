@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import os
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from ..functions import scoring
 from ..operators import summary
 
+# The columns of the per-sample CSV; the keys of the summary below are fixed, too.
 CSV_FIELDS = (
     "image_name", "sample_id", "language_code", "expected_script", "pred_script", "gt_label", "pred_label", "det_correct", "loc_score", "loc_method", "box_miou", "mask_iou", "mask_f1", "count_score", "exp_score",
     "rep_score", "rep_format", "rep_self_consistency", "rep_verdict_match", "rep_grounding", "rep_count_align", "rep_detail", "rep_length_align", "rep_language_factor", "pred_boxes", "gt_boxes", "pred_report_len",
@@ -25,8 +32,43 @@ def csv_frame(samples: DataFrame) -> DataFrame:
     return samples.withColumns(parts | {"issues": F.array_join("issues", ";"), "det_correct": boolean}).select(*CSV_FIELDS)
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as lines of the stdlib's csv writer, which knows how numbers, quotes and line ends are to look."""
+    for batch in batches:
+        out = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            cell = io.StringIO()
+            csv.writer(cell, lineterminator="").writerow(row)
+            out.append(cell.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+
 def write_csv(samples: DataFrame, path: str) -> None:
-    csv_frame(samples).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("nullValue", "").option("emptyValue", "").csv(path)
+    """One CSV file in the order of image names, the bytes that the stdlib's writer would give.
+
+    The sort is by range and each part is formatted where it lies. The parts are then strung together by Hadoop's file system behind one
+    header, a buffer at a time, and the file appears under its name when it is whole.
+    """
+    spark = samples.sparkSession
+    ship(spark)
+    frame = csv_frame(samples)
+    parts, whole = f"{path}.{uuid.uuid4().hex}.parts", f"{path}.{uuid.uuid4().hex}.tmp"
+    frame.orderBy("image_name", *CSV_FIELDS[1:]).mapInArrow(_lines, "value string").write.option("lineSep", "\r\n").text(parts)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    at = lambda p: hadoop.fs.Path(p)
+    store = at(path).getFileSystem(conf)
+    out = store.create(at(whole), True)
+    try:
+        out.write(bytearray((",".join(CSV_FIELDS) + "\r\n").encode()))
+        for name in sorted(f.getPath().getName() for f in store.listStatus(at(parts)) if f.getPath().getName().startswith("part-")):
+            part = store.open(at(f"{parts}/{name}"))
+            hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            part.close()
+    finally:
+        out.close()
+    store.delete(at(path), True)
+    store.rename(at(whole), at(path))
+    store.delete(at(parts), True)
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = True) -> None:

@@ -1,6 +1,8 @@
 """Files to summary, masks, inference and the registry."""
 
+import csv
 import gzip
+import io
 import json
 import struct
 import zipfile
@@ -68,10 +70,43 @@ def test_run(spark, tmp_path):
     assert out["samples"][0]["sample_id"] == "last" and out["samples"][0]["exp_score"] == 1
     assert out["top_issues"] == {"empty_report": 1} and out["by_language"]["zh"]["s_rep"] == 0
     assert json.loads((tmp_path / "o/s.json").read_text())["num_common"] == 2
-    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == list(sinks.CSV_FIELDS)
+    with open(tmp_path / "csv", newline="") as f:
+        written = list(csv.DictReader(f))
+    assert [r["image_name"] for r in written] == ["a.png", "b.png"] and list(written[0]) == list(sinks.CSV_FIELDS)
+    assert (written[0]["sample_id"], written[0]["mask_f1"], written[1]["issues"]) == ("last", "0.5", "empty_report")
     assert "S_Fin_proxy" in sinks.console(out)
 
 
+def test_csv_is_one_ordered_file(spark, tmp_path):
+    """The bytes of Python's writer, in the order of names, whatever the number of parts; an earlier file is replaced."""
+    rng = np.random.default_rng(1)
+    names = ["a", "B", "é", "日本", 'quo"te', "com,ma", "new\nline", "cr\rx", "crlf\r\n", " lead", "😀", "\uffff", ""] + [f"n{k:04d}" for k in range(300)]
+    rng.shuffle(names)
+    values = [0.0, -0.0, 1.0, 1e-3, 1e-4, 1.5e-5, 2e-3, 1e16, 1e23, 123456789.125, 1 / 3, None, 2.0**-44, 5e-324]
+    parts = (*sinks.scoring.PARTS, "language_factor")
+    rows = []
+    for k, name in enumerate(names):
+        v = lambda j, k=k: values[(k + j) % len(values)] if k % 2 else float(rng.random() * 10.0 ** int(rng.integers(-9, 3)))
+        rows.append((name, None if k % 3 else str(k), "en", "latin", "zh", "FORGED", "AUTHENTIC", k % 2 == 0, v(0), "none", v(1), v(2), v(3), v(4), v(5), v(6), tuple(v(7 + j) for j in range(len(parts))), k, -k, k * 10**6, 0, ["x", 'y"', "z,"][: k % 4]))
+    kinds = {"det_correct": "boolean", "rep_breakdown": "struct<" + ",".join(f"{p}:double" for p in parts) + ">", "issues": "array<string>", **dict.fromkeys(("pred_boxes", "gt_boxes", "pred_report_len", "gt_report_len"), "int")}
+    texts = ("image_name", "sample_id", "language_code", "expected_script", "pred_script", "gt_label", "pred_label", "loc_method")
+    columns = [c for c in sinks.CSV_FIELDS if not c.startswith("rep_") or c == "rep_score"]
+    columns.insert(columns.index("rep_score") + 1, "rep_breakdown")
+    schema = ", ".join(f"{c} {'string' if c in texts else kinds.get(c, 'double')}" for c in columns)
+    expected = io.StringIO(newline="")
+    writer = csv.writer(expected)
+    writer.writerow(sinks.CSV_FIELDS)
+    for r in sorted(rows, key=lambda r: r[0]):
+        d = dict(zip(columns, r, strict=True))
+        d |= {f"rep_{p}": x for p, x in zip(parts, d["rep_breakdown"], strict=True)} | {"issues": ";".join(d["issues"])}
+        writer.writerow([d[c] for c in sinks.CSV_FIELDS])
+    at = tmp_path / "o.csv"
+    at.write_text("old")
+    sinks.write_csv(spark.createDataFrame(rows, schema).repartition(7), str(at))
+    assert at.read_bytes() == expected.getvalue().encode()
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["o.csv"]
+
+
 def pixels(rows, width, height):
     out = np.zeros((height, width), bool)
     for r in rows:
