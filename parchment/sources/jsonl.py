@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import gzip
-import io
-import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..cluster import ship
+from .archive import read_archive
 
 _text = lambda *names: [T.StructField(n, T.StringType()) for n in names]
 #: Loosely typed fields are read as strings and cast later, so that "10" and 10 are both a width.
@@ -21,40 +17,10 @@ GT_SCHEMA = T.StructType(_text("sample_id", "image_file", "image_name", "image_p
 PRED_SCHEMA = T.StructType(_text("sample_id", "image_name", "image_path", "gold_label", "language_code", "model", "report", "raw_output", "raw_output_full", "api_raw_content", "thinking", "width", "height", "error"))
 
 
-def member(names: list[str]) -> str:
-    """The member of an archive that holds the predictions."""
-    for wanted in ("prediction.jsonl.gz", "prediction.jsonl"):
-        if wanted in names:
-            return wanted
-    found = next((n for n in names if n.endswith((".jsonl", ".jsonl.gz"))), None)
-    if found is None:
-        raise ValueError("the archive has no .jsonl or .jsonl.gz member")
-    return found
-
-
-def _unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for path, content in zip(frame["path"], frame["content"], strict=True):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                name = member(archive.namelist())
-                with archive.open(name) as raw:
-                    stream = gzip.open(raw) if name.endswith(".gz") else raw
-                    held: list[tuple[int, str]] = []
-                    for k, line in enumerate(io.TextIOWrapper(stream, "utf-8")):
-                        held.append((k, line))
-                        if len(held) == 4096:
-                            yield pd.DataFrame({"file": path, "at": [h[0] for h in held], "value": [h[1] for h in held]})
-                            held = []
-                    if held:
-                        yield pd.DataFrame({"file": path, "at": [h[0] for h in held], "value": [h[1] for h in held]})
-
-
 def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """(ord, value) of all lines."""
     if path.endswith(".zip"):
-        ship(spark)
-        lines = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_unzip, "file string, at long, value string")
-        return lines.select(F.struct("file", F.lit(0).cast("long").alias("block"), "at").alias("ord"), "value")
+        return read_archive(spark, path).select(F.struct("file", F.lit(0).cast("long").alias("block"), "at").alias("ord"), "value")
     return spark.read.text(path).select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("ord"), "value")
 
 

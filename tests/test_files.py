@@ -13,7 +13,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 import pytest
 
 from parchment import evaluate, infer
-from parchment.sources import files, images, jsonl
+from parchment.sources import archive, files, images, jsonl
 from parchment.streaming import inference
 
 # --- lines ----------------------------------------------------------------------------------------------------------
@@ -55,6 +55,65 @@ def test_lines_are_named(spark, tmp_path):
             spark.conf.set(k, v)
 
 
+# --- archives -------------------------------------------------------------------------------------------------------
+
+
+def zipped(path, members, kind=zipfile.ZIP_DEFLATED):
+    with zipfile.ZipFile(path, "w", kind) as z:
+        for name, text in members.items():
+            z.writestr(name, gzip.compress(text) if name.endswith(".gz") else text)
+
+
+def test_archives(spark, tmp_path):
+    """The member of the predictions by its name, else the first of lines; all members, each a partition of its own; folders of archives."""
+    (tmp_path / "f").mkdir()
+    zipped(tmp_path / "f" / "a.zip", {"x.jsonl": b"1\n2", "prediction.jsonl": b"3\n", "prediction.jsonl.gz": "4\n\n\u00e95\r\n6".encode()})
+    zipped(tmp_path / "f" / "b.zip", {"readme": b"no", "d/y.jsonl": b"7\n8\n", "z.jsonl.gz": b""})
+    lines = lambda path, **k: sorted((r.file.rsplit("/", 1)[1], r.member, r.at, r.value) for r in archive.read_archive(spark, str(path), **k).collect())
+    a = [("a.zip", "prediction.jsonl.gz", 0, "4"), ("a.zip", "prediction.jsonl.gz", 1, ""), ("a.zip", "prediction.jsonl.gz", 2, "\u00e95"), ("a.zip", "prediction.jsonl.gz", 3, "6")]
+    b = [("b.zip", "d/y.jsonl", 0, "7"), ("b.zip", "d/y.jsonl", 1, "8")]
+    assert lines(tmp_path / "f" / "a.zip") == lines(f"file://{tmp_path}/f/a.zip") == a
+    assert lines(tmp_path / "f") == a + b
+    every = archive.read_archive(spark, str(tmp_path / "f"), members="all")
+    assert every.rdd.getNumPartitions() == 5 and every.count() == 9
+    assert spark.read.format("parchment_jsonl").load(str(tmp_path / "f")).count() == 6
+
+
+def test_broken_archives(spark, tmp_path):
+    """What is wrong with an archive is told with its name: no member, no archive, cut off, changed bytes, broken text."""
+    zipped(tmp_path / "none.zip", {"a.txt": b"x"})
+    (tmp_path / "text.zip").write_bytes(b"not an archive")
+    zipped(tmp_path / "utf.zip", {"a.jsonl": b'{"a": 1}\n\xff\xfe\n'})
+    zipped(tmp_path / "whole.zip", {"a.jsonl": b"".join(b"%d\n" % (k * k) for k in range(50_000))}, zipfile.ZIP_STORED)
+    data = bytearray((tmp_path / "whole.zip").read_bytes())
+    (tmp_path / "cut.zip").write_bytes(data[:1000])
+    data[20_000] ^= 1
+    (tmp_path / "changed.zip").write_bytes(data)
+    with zipfile.ZipFile(tmp_path / "gz.zip", "w") as z:
+        z.writestr("a.jsonl.gz", gzip.compress(b"1\n" * 1000)[:-9])
+    for name, why in {"none": "no .jsonl", "text": "not an archive", "utf": "broken at line 1", "cut": "not an archive", "changed": "Bad CRC-32", "gz": "broken at line", "missing": "missing.zip"}.items():
+        with pytest.raises(Exception, match=rf"(?s){name}\.zip.*{why}" if name != "missing" else why):
+            archive.read_archive(spark, str(tmp_path / f"{name}.zip")).collect()
+
+
+def test_archives_are_streamed(tmp_path):
+    """A member of 200 MB in an archive of 200 MB takes a few batches of memory."""
+    import tracemalloc
+
+    line = os.urandom(5000).hex().encode() + b"\n"
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_STORED) as z, z.open("a.jsonl", "w", force_zip64=True) as f:
+        for _ in range(20_000):
+            f.write(line)
+    assert (tmp_path / "big.zip").stat().st_size > 200_000_000
+    reader = archive.ArchiveReader(str(tmp_path / "big.zip"), "one")
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 20_000
+        assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    finally:
+        tracemalloc.stop()
+
+
 # --- headers --------------------------------------------------------------------------------------------------------
 
 
