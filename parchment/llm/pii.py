@@ -236,7 +236,8 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     spark = docs.sparkSession
     with Workspace(spark) as ws:
         entities = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-        rows = docs.select("doc_id", "text", entities.alias("found"))
+        # the one pass of the pattern over whole texts; what follows reads what it found
+        rows = ws.result(docs.select("doc_id", "text", entities.alias("found")))
         of_text = ["h1", "h2"]
         found = rows.where(F.size("found") > 0).select(F.xxhash64("text").alias("h1"), F.sha1("text").alias("h2"), "found")
         matches = ws.table(found.dropDuplicates(of_text).select(*of_text, F.posexplode("found").alias("at", "match")).select(*of_text, "at", "match", kind_of(F.col("match")).alias("of"), F.posexplode(_parts(F.col("match"))).alias("k", "part")).select(*of_text, "at", "of", "k", "part.kind", "part.value"), "parts")
@@ -253,7 +254,7 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
         lists = ws.result(lists.join(as_runs, of_text, "left").join(pieces, of_text, "left"))
         plain = rows.where(F.size("found") == 0).select("doc_id", "text", F.lit(0).cast("long").alias("n_replaced"), F.array().cast("array<string>").alias("kinds"))
         changed = rows.where(F.size("found") > 0).select("doc_id", "text", F.xxhash64("text").alias("h1"), F.sha1("text").alias("h2")).join(lists, of_text)
-        gaps = F.split("text", ENTITY, -1)
+        gaps = F.split("text", ENTITY, -1)  # of the few texts with an entity only
         gaps = F.when(F.col("pieces").isNull(), gaps).otherwise(F.transform(gaps, lambda g: F.aggregate("pieces", g, lambda a, x: F.replace(a, x["value"], x["new"]))))
         word = lambda w: F.coalesce(F.try_element_at("runs", w), w)
         gaps = F.when(F.col("runs").isNull(), gaps).otherwise(F.transform(gaps, lambda g: F.array_join(F.transform(F.regexp_extract_all(g, F.lit(RUNS), F.lit(0)), word), "")))
