@@ -59,6 +59,30 @@ def myers(peq: dict[str, int], m: int, text: str, budget: int) -> tuple[int, int
     return best
 
 
+def begin(item: str, text: str, end: int, distance: int) -> int:
+    """Where an occurrence of ``item`` that ends at ``end`` with ``distance`` edits begins: the same, backwards from its end.
+
+    Of several beginnings the one that makes the occurrence most nearly as long as the item, then the longer one.
+    """
+    m = len(item)
+    peq, mask, top = masks(item[::-1]), (1 << m) - 1, 1 << (m - 1)
+    pv, mv, score, found = mask, 0, m, []
+    for n, c in enumerate(text[max(0, end - m - distance) : end][::-1], 1):
+        eq = peq.get(c, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | (~(xh | pv) & mask)
+        mh = pv & xh
+        score += 1 if ph & top else -1 if mh & top else 0
+        ph = (ph << 1 | 1) & mask  # the occurrence ends here: text before it is not free
+        mh = mh << 1 & mask
+        pv = mh | (~(xv | ph) & mask)
+        mv = ph & xv
+        if score == distance:
+            found.append(n)
+    return end - min(found, key=lambda n: (abs(n - m), -n))
+
+
 def masks(item: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, c in enumerate(item):
@@ -125,7 +149,7 @@ class Matcher:
                 if got and (best is None or got[0] < best[0]):
                     best = (got[0], low + got[1])
             if best:
-                out.append((item_id, best[0], max(0, best[1] - m), best[1]))
+                out.append((item_id, best[0], begin(item, text, best[1], best[0]), best[1]))
         return out
 
 
