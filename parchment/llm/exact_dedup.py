@@ -62,7 +62,7 @@ def learn_state(spark: SparkSession, path: str, state: str, digest: Callable[[Co
             digest(normalised(F.col("text"))).alias("digest"),
             F.struct(
                 F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"),
-                (-F.col("doc_id")).alias("minus_id"),
+                F.bitwise_not("doc_id").alias("not_id"),
                 F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).alias("locator"),
             ).alias("row"),
         )
@@ -76,7 +76,7 @@ def learn_state(spark: SparkSession, path: str, state: str, digest: Callable[[Co
     best, size = (f"value.`{c}`" for c in stored.schema["value"].dataType.names)
     return stored.select(
         F.col("key.digest").alias("digest"),
-        (-F.col(f"{best}.minus_id")).alias("doc_id"),
+        F.bitwise_not(f"{best}.not_id").alias("doc_id"),
         F.col(f"{best}.n").alias("n_code_points"),
         F.col(f"{best}.locator").alias("locator"),
         F.col(size).alias("group_size"),
@@ -108,6 +108,6 @@ def exact_dedup(spark: SparkSession, path: str, digest: Callable[[Column], Colum
             return ws.result(grouped.select(*out))
         # one digest, several texts: those few groups again, with the text itself as the key
         again = rows.join(odd, "digest", "left_semi")
-        best = again.groupBy("digest", "body").agg(F.max(F.struct("n", (-F.col("doc_id")).alias("minus_id"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
-        best = best.select("digest", "body", (-F.col("best.minus_id")).alias("keep_id"), F.col("best.n").alias("keep_n"), "group_size")
+        best = again.groupBy("digest", "body").agg(F.max(F.struct("n", F.bitwise_not("doc_id").alias("not_id"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
+        best = best.select("digest", "body", F.bitwise_not("best.not_id").alias("keep_id"), F.col("best.n").alias("keep_n"), "group_size")
         return ws.result(grouped.join(odd, "digest", "left_anti").select(*out).unionByName(again.join(best, ["digest", "body"]).select(*out)))
