@@ -24,12 +24,16 @@ from .store import Workspace, held_out
 # English terms of abuse, and words that report speech.
 TERMS = ("bastard", "clown", "creep", "disgusting", "dumb", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 REPORTING = ("called", "calls", "cites", "cited", "quote", "quoted", "quotes", "said", "says", "term", "word", "wrote")
-OPENING, CLOSING = "\"“„«‘'", "\"”“»’'"
+#: Of these, the ones that what is reported follows at once, and words that lead up to it.
+NAMING = ("called", "calls", "cites", "cited", "quote", "quoted", "quotes", "term")
+ARTICLES = ("a", "an", "the", "him", "her", "them", "me", "us", "it")
+#: Quotation marks, each with those that close it.
+MARKS = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’", "'": "'", "「": "」"}
 
 #: Labelled rows of each class that the lexicon and the weights are learnt from, at most.
 SAMPLE = 20_000
-#: Learnt lexicon entries, at most; each is in this share of the toxic documents at least.
-ENTRIES, SHARE = 200, 0.01
+#: Learnt lexicon entries are in this share of the toxic documents at least, which bounds their number by the length of those.
+SHARE = 0.01
 #: Code points on each side of a hit that are its context window.
 WINDOW = 60
 
@@ -162,12 +166,28 @@ def _spaceless(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _edge(text: str, at: int) -> bool:
+    """Whether a place of a text is outside words, as its ends are."""
+    return not (0 <= at < len(text) and (text[at].isalnum() or text[at] == "_"))
+
+
 def _quoted(text: str, start: int, end: int) -> bool:
-    before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
-    opened, closed = max(map(before.rfind, OPENING)), min((p for c in CLOSING if (p := after.find(c)) >= 0), default=-1)
-    if opened >= 0 and closed >= 0 and not re.search(r"[.!?]\s", before[opened + 1 :]):
-        return True
-    return any(w in REPORTING for w in _WORD.findall(before.lower())[-4:])
+    """Whether a hit stands between marks of one pair, each of them outside words on its outer side, or right behind a word that reports speech.
+
+    So apostrophes are no marks. A pair may hold several words but no end of a sentence before the hit, and a mark that is closed before the
+    hit is none of its own. Between the reporting word and the hit only words may stand, three at most, one of them or the
+    reporting word itself such as needs a what: a comma ends the report.
+    """
+    before, after = text[:start], text[end:]
+    for opening, closing in MARKS.items():
+        opened = next((k for k in range(len(before) - 1, -1, -1) if before[k] == opening and _edge(before, k - 1) and (k + 1 == len(before) or not before[k + 1].isspace())), -1)
+        if opened < 0 or re.search(r"[.!?]\s", before[opened + 1 :]) or any(c in closing and _edge(text, k + 1) for k, c in enumerate(before[opened + 1 :], opened + 1)):
+            continue
+        if any(c in closing and _edge(after, k + 1) for k, c in enumerate(after)):
+            return True
+    near = re.search(r"(?:[^\W\d_]+ ){1,4}$", before)
+    words = near[0].lower().split() if near else []
+    return any(w in REPORTING and (w in NAMING or any(v in NAMING or v in ARTICLES for v in words[k + 1 :])) for k, w in enumerate(words))
 
 
 def hits(data: np.ndarray, offsets: np.ndarray, automaton: Automaton) -> tuple[np.ndarray, np.ndarray]:
@@ -228,26 +248,31 @@ def learn_lexicon(texts: DataFrame, n_toxic: int) -> tuple[list[str], list[str]]
     words = texts.select("text", "y").distinct().select("y", F.explode(F.array_distinct(F.concat(spaced, *dense))).alias("w"))
     words = words.where(F.length("w") <= 40).groupBy("w").agg(F.sum("y").cast("long").alias("a"), F.sum(1 - F.col("y")).cast("long").alias("b"))
     least = max(3, math.ceil(SHARE * n_toxic))
-    good = words.where((F.col("a") >= least) & (F.col("a") >= 20 * F.col("b"))).orderBy(F.desc("a"), "w").limit(ENTRIES).collect()
+    good = words.where((F.col("a") >= least) & (F.col("a") >= 20 * F.col("b"))).orderBy(F.desc("a"), "w").collect()
     terms = [r.w for r in good]
     # stems: document counts of word beginnings, from distinct texts once more
     long_words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{5,}"), F.lit(0)))
     beginnings = F.array_distinct(F.flatten(F.transform(long_words, lambda w: F.array(*(F.substring(w, 1, k) for k in (4, 5, 6, 7))))))
     begins = texts.select("text", "y").distinct().select("y", F.explode(beginnings).alias("w"))
     begins = begins.groupBy("w").agg(F.sum("y").cast("long").alias("a"), F.sum(1 - F.col("y")).cast("long").alias("b"))
-    found = begins.where((F.col("a") >= 2 * least) & (F.col("a") >= 50 * F.col("b"))).orderBy(F.desc("a"), F.desc(F.length("w")), "w").limit(4 * ENTRIES).collect()
+    found = begins.where((F.col("a") >= 2 * least) & (F.col("a") >= 50 * F.col("b"))).orderBy(F.desc("a"), F.desc(F.length("w")), "w").collect()
     stems: list[str] = []
     for r in found:
         if not any(r.w.startswith(s) or s.startswith(r.w) for s in stems) and not any(t.startswith(r.w) for t in [*TERMS, *(t for t in terms if next(x.a for x in good if x.w == t) >= 0.9 * r.a)]):
             stems.append(r.w)
-    return terms, stems[:ENTRIES]
+    return terms, stems
 
 
 class Weights:
-    """Logistic model over kinds of hits, fitted by Newton steps around stated weights."""
+    """Logistic model over hits of each kind among a text's words, fitted by Newton steps around stated weights.
+
+    A hit counts by how many there are in so many words: ``PER`` words with one hit are as a text of a single hit, shorter texts count as
+    that many words, so that a long text is not taken for abuse because of the odd hit that any long text has.
+    """
 
-    #: What a hit of each kind weighs before anything is learnt, and the intercept.
-    PRIOR = np.array([2.5, 0.3, 1.0, 0.1, -2.5])
+    #: What hits of each kind weigh before anything is learnt, and the intercept.
+    PRIOR = np.array([2.5, 0.3, 1.0, 0.1, -2.0])
+    PER = 150
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
         self.w = self.PRIOR.copy()
@@ -261,12 +286,13 @@ class Weights:
             if np.abs(step).max() < 1e-6:
                 break
 
-    @staticmethod
-    def design(counts: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.log2(1 + counts), np.ones(len(counts))])
+    @classmethod
+    def design(cls, x: np.ndarray) -> np.ndarray:
+        """Of rows of counts by kind and the number of words."""
+        return np.column_stack([np.log2(1 + x[:, :KINDS] * cls.PER / np.maximum(x[:, KINDS:], cls.PER)), np.ones(len(x))])
 
-    def score(self, counts: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.design(counts) @ self.w, -40, 40)))
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.w, -40, 40)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -287,10 +313,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         automaton = Automaton(sorted({*TERMS, *terms}), stems)
         shared = spark.sparkContext.broadcast(automaton)
         x = ws.table(given.mapInArrow(lambda it: _features(it, shared.value), "doc_id long, n_words double, " + ", ".join(f"h{k} double" for k in range(KINDS))), "hits")
-        fit = x.join(chosen, "doc_id").groupBy(*(f"h{k}" for k in range(KINDS)), "y").count().orderBy(*(f"h{k}" for k in range(KINDS)), "y")
-        fit = fit.toPandas()
-        again = np.repeat(np.arange(len(fit)), fit["count"]) if len(fit) else np.zeros(0, int)
-        model = Weights(fit[[f"h{k}" for k in range(KINDS)]].to_numpy(float)[again], fit["y"].to_numpy(float)[again])
-        z = sum((F.log2(1 + F.col(f"h{k}")) * float(model.w[k]) for k in range(KINDS)), F.lit(float(model.w[KINDS])))
+        columns = [*(f"h{k}" for k in range(KINDS)), "n_words"]
+        fit = x.join(chosen, "doc_id").select(*columns, "y").orderBy(*columns, "y").toPandas()  # at most ``sample`` documents a class
+        model = Weights(fit[columns].to_numpy(float), fit["y"].to_numpy(float))
+        rate = lambda k: F.col(f"h{k}") * float(Weights.PER) / F.greatest(F.col("n_words"), F.lit(float(Weights.PER)))
+        z = sum((F.log2(1 + rate(k)) * float(model.w[k]) for k in range(KINDS)), F.lit(float(model.w[KINDS])))
         out = x.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), (1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))).alias("score"), sum(F.col(f"h{k}") for k in range(KINDS)).cast("long").alias("n_hits"))
         return ws.result(out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_hits"))

@@ -596,3 +596,57 @@ def test_pii_of_a_full_shape(spark):
     assert len(got) == len({s for _, s in got}) == len(values)
     assert not {s for _, s in got} & {v for _, v in values}
     assert all(re.fullmatch(r"\+123\d{4,6}", s) for v, s in got if v.startswith("+123"))
+
+
+QUOTED = {
+    'she wrote "you *idiot*" again': True, "you *idiot* again": False, "You're an *idiot* and it's a shame": False, "don't be such a *moron*, you can't think": False, "he said 'you *moron*' twice": True,
+    "the dogs' *idiot* owners' house": False, '"fine" you *idiot* "fine"': False, "„Du *Idiot*“ rief er": True, "«quel *idiot*» dit-il": True, '"Stop. You *idiot*" he said': False, "she called him an *idiot*": True,
+    "the word *idiot* is old": False, "the term *idiot* is old": True, "She said hello, *idiot*": False, "he said you *idiot*": False, "he said the word *idiot*": True, "rock 'n' roll *idiot* 'n' me": False, "*idiot*": False, '"*idiot*': False,
+    'x"*idiot*"x': False,
+}
+
+
+def test_quotation():
+    for marked, quoted in QUOTED.items():
+        start, end = marked.index("*"), marked.rindex("*") - 1
+        assert toxicity._quoted(marked.replace("*", ""), start, end) is quoted, marked
+
+
+def test_a_long_text_is_not_abuse_for_one_hit():
+    w = toxicity.Weights(np.zeros((0, 5)), np.zeros(0))
+    short, long, quoted, none = w.score(np.array([[1, 0, 0, 0, 8.0], [1, 0, 0, 0, 5000], [0, 1, 0, 0, 8], [0, 0, 0, 0, 8]]))
+    assert short > 0.5 > max(long, quoted) and min(long, quoted) >= none
+
+
+def test_positions_of_edited_occurrences():
+    """The beginning of an occurrence, found backwards, is one from which the item is at the distance that was found."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    assert decontam.begin("abcdefghij", "xxxabcdeefghijyy", 14, 1) == 3
+    rng = random.Random(4)
+    for _ in range(300):
+        item = "".join(rng.choice("abcd ") for _ in range(rng.randint(20, 60)))
+        edited = list(item)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(edited))
+            edited[k : k + 1] = rng.choice([[], ["e"], [edited[k], "e"]])
+        text = "".join(rng.choice("abcd ") for _ in range(30)) + "".join(edited) + "".join(rng.choice("abcd ") for _ in range(10))
+        got = decontam.myers(decontam.masks(item), len(item), text, 3)
+        if got:
+            start = decontam.begin(item, text, got[1], got[0])
+            assert distance(item, text[start : got[1]]) == got[0]
+
+
+def test_exact_ids_at_the_ends(spark, tmp_path):
+    """The least and the greatest id there are."""
+    rows = [(-(1 << 63), "a b", "", "", 0), ((1 << 63) - 1, "a b", "", "", 0), (0, "ab", "", "", 0), (None, "a b", "", "", 0)]
+    frame(spark, rows).write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_dedup(spark, str(tmp_path / "d")).collect()}
+    assert got == {-(1 << 63): (-(1 << 63), True), (1 << 63) - 1: (-(1 << 63), False), 0: (-(1 << 63), False), None: (-(1 << 63), False)}
