@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .operators import evaluate as ev
-from .operators import masks, summary
+from .operators import masks
 from .sources import images as image_files
 from .sources import jsonl, sinks
 
@@ -27,22 +27,27 @@ def _run(spark: SparkSession, gt_path: str, pred_path: str, raw: bool, max_sampl
     pred = ev.prepare_predictions(jsonl.read_jsonl(spark, pred_path, jsonl.PRED_SCHEMA), raw)
     if images:
         gt = image_files.with_sizes(gt, images)
-    g, p = ev.last_wins(gt, "image_name"), ev.last_wins(pred, "image_name")
-    m = masks.of_truth(g, masks.read_masks(spark, mask_location)) if mask_location else None
-    samples = ev.samples(g, p, m, max_samples).persist()
+    watched = ev.Watched(gt, pred)
+    m = masks.of_truth(ev.last_wins(gt, "image_name"), masks.read_masks(spark, mask_location)) if mask_location else None
+    samples = ev.samples(watched.gt, watched.pred, m, max_samples, watched.common)
+    more = bool(output_csv or include_samples)  # samples are gone through again
+    samples = samples.persist() if more else samples
     try:
-        if samples.isEmpty():
+        told = sinks.figures(samples, allow_empty_loc)
+        if not told.get(None, {"n": 0})["n"]:
             raise SystemExit("no common image_name of ground truth and predictions")
-        for line in sinks.warnings(summary.diagnostics(gt, pred)):
+        info = watched.info()
+        for line in sinks.warnings(info):
             print(f"WARNING: {line}", file=sys.stderr)
-        document = sinks.summary_document(samples, gt, pred, allow_empty_loc, det_metric, loc_metric, calibrate, include_samples)
+        document = sinks.summary_document(told, info, det_metric, loc_metric, calibrate, allow_empty_loc, samples if include_samples else None)
         if output:
             sinks.write_summary(document, output)
         if output_csv:
             sinks.write_csv(samples, output_csv)
         return document
     finally:
-        samples.unpersist()
+        if more:
+            samples.unpersist()
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -56,8 +61,9 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--max-samples", type=int, default=0)
     a.add_argument("--det-metric", choices=("accuracy", "f1", "macro_f1"), default="accuracy")
     a.add_argument("--loc-metric", choices=("f1", "iou"), default="f1")
-    for flag in ("allow-empty-loc", "calibrate", "include-samples", "skip-bertscore"):
+    for flag in ("allow-empty-loc", "calibrate", "include-samples"):
         a.add_argument(f"--{flag}", action="store_true")
+    a.add_argument("--skip-bertscore", action="store_true", help="for command lines that have it: changes nothing, the explanation score is token F1 always")
     a.add_argument("--images")
     a.add_argument("--masks")
     o = a.parse_args(argv)

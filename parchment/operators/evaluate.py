@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import geometry, report, scoring
@@ -46,14 +48,37 @@ def prepare_truth(df: DataFrame) -> DataFrame:
     return out.where("image_name != ''")
 
 
-def samples(gt: DataFrame, pred: DataFrame, masks: DataFrame | None = None, max_samples: int = 0) -> DataFrame:
+class Watched:
+    """Both inputs on their way into samples, with what a run is to say about them counted as the rows pass: no pass of its own.
+
+    ``info`` is there once an action over what was made of ``gt`` and ``pred`` has ended.
+    """
+
+    def __init__(self, gt: DataFrame, pred: DataFrame):
+        self.seen = {k: Observation() for k in ("gt", "rows", "keys", "common")}
+        one = F.count(F.lit(1))
+        self.gt = last_wins(gt.observe(self.seen["gt"], one.alias("num_gt"), F.bool_or(F.col("report") != "").alias("has_gt_reports")), "image_name")
+        rows = pred.observe(self.seen["rows"], one.alias("rows"), F.count_if(~F.col("has_text")).alias("empty"))
+        self.pred = last_wins(rows, "image_name").observe(self.seen["keys"], one.alias("num_pred"))
+
+    def common(self, both: DataFrame) -> DataFrame:
+        return both.observe(self.seen["common"], F.count(F.lit(1)).alias("num_common"))
+
+    def info(self) -> dict:
+        """num_gt, num_pred, num_common, duplicates, empty, has_gt_reports, coverage: what ``summary.diagnostics`` gives."""
+        d = {k: v for o in self.seen.values() for k, v in o.get.items()}
+        d["duplicates"] = d.pop("rows") - d["num_pred"]
+        return d | {"has_gt_reports": bool(d["has_gt_reports"]), "coverage": d["num_common"] / max(1, d["num_gt"])}
+
+
+def samples(gt: DataFrame, pred: DataFrame, masks: DataFrame | None = None, max_samples: int = 0, watch: Callable[[DataFrame], DataFrame] = lambda both: both) -> DataFrame:
     """One row for each image that both have (inputs keyed once): labels, localisation, counts, report quality, issues.
 
     ``masks``: image_name, mask_width, mask_height, rows (see masks) where a sample has one; keyed once. They count for forged samples of
     known size, resized to it.
     """
     a = gt.select("image_name", "sample_id", "language_code", "label", F.col("report").alias("gt_report"), "width", "height")
-    both = a.join(pred.select("image_name", F.col("report").alias("pred_report")), "image_name")
+    both = watch(a.join(pred.select("image_name", F.col("report").alias("pred_report")), "image_name"))
     if max_samples > 0:
         both = both.orderBy("image_name").limit(max_samples)
     parsed = both.withColumns({"gt": report.parse_report(F.col("gt_report")), "pred": report.parse_report(F.col("pred_report"))})

@@ -55,14 +55,20 @@ def rollup(samples: DataFrame, allow_empty: bool = False) -> DataFrame:
     return samples.rollup("language_code").agg(F.grouping("language_code").cast("boolean").alias("total"), *measures(allow_empty))
 
 
-def chosen(det: str = "accuracy", loc: str = "f1", calibrate: bool = False) -> dict[str, Column]:
-    """S_Det, S_Loc and the final scores, over a row of measures."""
+def chosen_of(s: dict, det: str = "accuracy", loc: str = "f1", calibrate: bool = False) -> dict:
+    """S_Det, S_Loc and the final scores, of measures by name: columns, or the numbers themselves; calibrated ones are None without ``calibrate``."""
     if det not in ("accuracy", "f1", "macro_f1") or loc not in ("f1", "iou"):
         raise ValueError(f"no such metric: {det}, {loc}")
-    s = {"S_Det": F.col(det), "S_Loc": F.col(f"loc_{loc}"), "S_Exp": F.col("s_exp")}
-    final = lambda rep: sum((scoring.WEIGHTS[k] * c for k, c in s.items()), F.lit(0.0)) + scoring.WEIGHTS["S_Rep"] * rep
-    rep = scoring.calibrated(F.col("s_rep")) if calibrate else F.lit(None).cast("double")
-    return {"S_Det": s["S_Det"], "S_Loc": s["S_Loc"], "S_Fin": final(F.col("s_rep")), "S_Rep_calibrated": rep, "S_Fin_calibrated": final(rep)}
+    own = {"S_Det": s[det], "S_Loc": s[f"loc_{loc}"], "S_Exp": s["s_exp"]}
+    final = lambda rep: scoring.WEIGHTS["S_Det"] * own["S_Det"] + scoring.WEIGHTS["S_Loc"] * own["S_Loc"] + scoring.WEIGHTS["S_Exp"] * own["S_Exp"] + scoring.WEIGHTS["S_Rep"] * rep
+    rep = scoring.calibrated(s["s_rep"]) if calibrate else None
+    return {"S_Det": own["S_Det"], "S_Loc": own["S_Loc"], "S_Fin": final(s["s_rep"]), "S_Rep_calibrated": rep, "S_Fin_calibrated": final(rep) if calibrate else None}
+
+
+def chosen(det: str = "accuracy", loc: str = "f1", calibrate: bool = False) -> dict[str, Column]:
+    """``chosen_of`` over a row of measures."""
+    names = ("accuracy", "f1", "macro_f1", "loc_f1", "loc_iou", "s_exp", "s_rep")
+    return {k: F.lit(None).cast("double") if v is None else v for k, v in chosen_of({n: F.col(n) for n in names}, det, loc, calibrate).items()}
 
 
 def scores(samples: DataFrame, det: str = "accuracy", loc: str = "f1", allow_empty: bool = False, calibrate: bool = False, has_gt_reports: bool = True) -> DataFrame:
@@ -78,6 +84,31 @@ def loc_methods(samples: DataFrame) -> DataFrame:
     return samples.groupBy("loc_method").agg(F.count(F.lit(1)).alias("n")).orderBy("loc_method")
 
 
+# What labels, methods and issues can be.
+LABELS = ("FORGED", "AUTHENTIC", "UNKNOWN")
+METHODS = ("mask_f1", "box_miou", "no_gt_boxes", "skipped_authentic", "none")
+ISSUES = (
+    "empty_report", "missing_or_invalid_conclusion", "missing_risk_score", "malformed_grounding", "invalid_box_order", "missing_summary", "missing_header", "missing_detail_section", "missing_end_marker",
+    "authentic_predicted_with_boxes", "forged_without_boxes",
+)
+
+
+def everything(samples: DataFrame, allow_empty: bool = False) -> DataFrame:
+    """All figures of a summary in one pass: by language, and over all (language_code null, total true).
+
+    measures, binary (tp, fp, fn, tn), confusion (counts by "true->predicted"), methods, parts (means of report quality) and issues (by name: n, and
+    where the issue came first in the order of image names).
+    """
+    pairs = {f"{g}->{p}": F.count_if((F.col("gt_label") == g) & (F.col("pred_label") == p)) for g in LABELS for p in LABELS}
+    named = lambda values: F.struct(*(c.alias(k) for k, c in values.items()))
+    at = lambda k: F.array_position("issues", F.lit(k))
+    issues = {k: F.struct(F.sum(F.size("issues") - F.size(F.array_remove("issues", k))).alias("n"), F.min(F.when(at(k) > 0, F.struct(F.col("image_name").alias("image_name"), at(k).alias("at")))).alias("first")) for k in ISSUES}
+    return samples.rollup("language_code").agg(
+        F.grouping("language_code").cast("boolean").alias("total"), *measures(allow_empty), named(binary("FORGED")).alias("binary"), named(pairs).alias("confusion"),
+        named({k: F.count_if(F.col("loc_method") == k) for k in METHODS}).alias("methods"), named({k: F.avg(f"rep_breakdown.{k}") for k in (*scoring.PARTS, "language_factor")}).alias("parts"), named(issues).alias("issues"),
+    )
+
+
 def top_issues(samples: DataFrame, k: int = 20) -> DataFrame:
     """The k most frequent issues, every occurrence counted; among equals the one seen first in the order of image names."""
     each = samples.select("image_name", F.posexplode("issues").alias("at", "issue"))

@@ -1,7 +1,7 @@
 """Ground truth and predictions derived from the ``documents`` table, by one SQL text that Spark and DuckDB both run.
 
 ``SPEC`` has what every report should say, and the report texts made of it. Queries parse the texts; their oracles compute from
-the other columns, so a fault of the parser cannot hide in both.
+the other columns, so a fault of the parser cannot hide in both. Summaries hold a document's whole text, reasons the beginning of it again.
 """
 
 from __future__ import annotations
@@ -58,9 +58,9 @@ WITH d AS (
            CAST(CASE WHEN i % 31 = 0 THEN NULL WHEN i % 37 = 0 THEN 250 WHEN (i % 2 = 0) <> (i % 5 = 0) THEN 80 + i % 21 ELSE i % 9 END AS INT) AS risk_word,
            CASE WHEN (i {{div}} 2) % 10 = 7 AND i % 3 <> 0 THEN 'th' WHEN (i {{div}} 2) % 10 = 8 AND i % 3 <> 0 THEN 'ar' WHEN (i {{div}} 2) % 10 = 9 AND i % 3 <> 0 THEN 'zh' ELSE 'latin' END AS script,
            CASE WHEN body = '' THEN 'plain words' ELSE trim(substr(body, 1, 250)) END AS gt_reason,
-           CASE WHEN body = '' THEN 'plain words' ELSE trim(substr(body, 1, 220)) END AS gt_summary,
+           CASE WHEN body = '' THEN 'plain words' ELSE body END AS gt_summary,
            CASE WHEN length(body) < 40 THEN 'other words' ELSE trim(substr(body, 11, 250)) END AS latin_reason,
-           CASE WHEN length(body) < 40 THEN 'other words' ELSE trim(substr(body, 21, 220)) END AS latin_summary,
+           CASE WHEN length(body) < 40 THEN 'other words' ELSE trim(substr(body, 21)) END AS latin_summary,
            i % 53 <> 0 AS has_gt, i % 47 <> 0 AND i % 53 <> 1 AS has_pred, i % 43 = 0 AS is_doubled
     FROM d
 ), t AS (

@@ -25,6 +25,9 @@ CSV_FIELDS = (
 )
 
 
+BY_LANGUAGE = ("n", "n_forged", "n_scored", "accuracy", "f1", "macro_f1", "loc_f1", "loc_iou", "authentic_no_box_rate", "s_exp", "s_rep", "avg_pred_report_len", "avg_gt_report_len", "script_match_rate")
+
+
 def csv_frame(samples: DataFrame) -> DataFrame:
     """The columns of the per-sample CSV, in order."""
     parts = {f"rep_{k}": F.col(f"rep_breakdown.{k}") for k in (*scoring.PARTS, "language_factor")}
@@ -75,27 +78,34 @@ def write_jsonl(df: DataFrame, path: str, append: bool = True) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
 
 
-def summary_document(samples: DataFrame, gt: DataFrame, pred: DataFrame, allow_empty: bool = False, det: str = "accuracy", loc: str = "f1", calibrate: bool = False, include_samples: bool = False) -> dict:
-    """The summary as one document; only aggregates reach the driver, and the samples where asked for."""
-    info = summary.diagnostics(gt, pred).first().asDict()
-    s = summary.scores(samples, det, loc, allow_empty, calibrate, info["has_gt_reports"]).first().asDict()
-    binary = samples.agg(*(c.alias(k) for k, c in summary.binary("FORGED").items())).first().asDict()
+def figures(samples: DataFrame, allow_empty: bool = False) -> dict[str | None, dict]:
+    """All figures by language, and under None those over all: one job, of which a row for each language reaches the driver."""
+    return {None if r["total"] else r["language_code"]: r for r in (row.asDict(True) for row in summary.everything(samples, allow_empty).collect())}
+
+
+def summary_document(told: dict[str | None, dict], info: dict, det: str = "accuracy", loc: str = "f1", calibrate: bool = False, allow_empty: bool = False, samples: DataFrame | None = None) -> dict:
+    """The summary as one document, from ``figures`` and what is known of the inputs; with every sample where ``samples`` are given."""
+    s = dict(told[None])
+    if not info["has_gt_reports"]:
+        s["s_exp"] = 0.0
+    final = summary.chosen_of(s, det, loc, calibrate)
+    issues = sorted(((-v["n"], (v["first"]["image_name"], v["first"]["at"]), k) for k, v in s["issues"].items() if v["n"]))[:20]
     doc = {
         "num_gt": info["num_gt"], "num_pred": info["num_pred"], "num_common": s["n"], "num_forged": s["n_forged"], "num_forged_loc_scored": s["n_scored"], "weights": scoring.WEIGHTS,
         "selected_proxy_metrics": {"S_Det": det, "S_Loc": loc, "S_Exp_method": "token_f1_proxy" if info["has_gt_reports"] else "no_gt_reports", "allow_empty_loc": allow_empty},
         "scores": {
-            "S_Det": s["S_Det"], "S_Det_accuracy": s["accuracy"], "S_Det_f1": s["f1"], "S_Det_macro_f1": s["macro_f1"], "S_Loc": s["S_Loc"], "S_Loc_mF1_proxy": s["loc_f1"], "mIoU_proxy": s["loc_iou"],
-            "authentic_no_box_rate": s["authentic_no_box_rate"], "S_Exp": s["s_exp"], "S_Rep_proxy": s["s_rep"], "S_Rep_calibrated": s["S_Rep_calibrated"], "S_Fin_proxy": s["S_Fin"], "S_Fin_calibrated": s["S_Fin_calibrated"],
+            "S_Det": final["S_Det"], "S_Det_accuracy": s["accuracy"], "S_Det_f1": s["f1"], "S_Det_macro_f1": s["macro_f1"], "S_Loc": final["S_Loc"], "S_Loc_mF1_proxy": s["loc_f1"], "mIoU_proxy": s["loc_iou"],
+            "authentic_no_box_rate": s["authentic_no_box_rate"], "S_Exp": s["s_exp"], "S_Rep_proxy": s["s_rep"], "S_Rep_calibrated": final["S_Rep_calibrated"], "S_Fin_proxy": final["S_Fin"], "S_Fin_calibrated": final["S_Fin_calibrated"],
         },
         "calibration_anchors": [scoring.ANCHOR] if calibrate else None,
-        "binary_confusion": {k.upper(): v for k, v in binary.items()},
-        "confusion": {f"{r.gt_label}->{r.pred_label}": r.n for r in summary.confusion(samples).collect()},
-        "loc_methods": {r.loc_method: r.n for r in summary.loc_methods(samples).collect()},
-        "rep_breakdown_avg": {k: v for k, v in sorted(summary.breakdown(samples).first().asDict().items()) if v is not None},
-        "top_issues": {r.issue: r.n for r in summary.top_issues(samples).collect()},
-        "by_language": {r.language_code: {k: v for k, v in r.asDict().items() if k != "language_code"} for r in summary.by_language(samples, allow_empty).orderBy("language_code").collect()},
+        "binary_confusion": {k.upper(): v for k, v in s["binary"].items()},
+        "confusion": {k: v for k, v in sorted(s["confusion"].items()) if v},
+        "loc_methods": {k: v for k, v in sorted(s["methods"].items()) if v},
+        "rep_breakdown_avg": {k: v for k, v in sorted(s["parts"].items()) if v is not None},
+        "top_issues": {k: -n for n, _, k in issues},
+        "by_language": {k: {c: r[c] for c in BY_LANGUAGE} for k, r in sorted((k, r) for k, r in told.items() if k is not None)},
     }
-    if include_samples:
+    if samples is not None:
         doc["samples"] = [json.loads(r[0]) for r in samples.drop("mask").orderBy("image_name").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()]
     return doc
 
@@ -113,15 +123,15 @@ def console(document: dict) -> str:
     return "\n".join(lines)
 
 
-def warnings(diagnostics: DataFrame) -> list[str]:
+def warnings(info: dict) -> list[str]:
     """What a run should be warned of."""
-    d, out = diagnostics.first(), []
-    if d["duplicates"]:
-        out.append(f"{d['duplicates']} duplicate image_name in predictions; the last one counts")
-    if d["empty"]:
-        out.append(f"{d['empty']} predictions have an empty report")
-    if d["coverage"] < 0.95:
-        out.append(f"predictions cover {d['coverage']:.1%} of the ground truth; the rest is in no mean")
-    if not d["has_gt_reports"]:
+    out = []
+    if info["duplicates"]:
+        out.append(f"{info['duplicates']} duplicate image_name in predictions; the last one counts")
+    if info["empty"]:
+        out.append(f"{info['empty']} predictions have an empty report")
+    if info["coverage"] < 0.95:
+        out.append(f"predictions cover {info['coverage']:.1%} of the ground truth; the rest is in no mean")
+    if not info["has_gt_reports"]:
         out.append("the ground truth has no reports; the explanation score is 0")
     return out
