@@ -14,6 +14,8 @@ from .store import Workspace, held_out
 
 #: Labelled rows of each class that the discriminant is fitted on, at most: those with the smallest id hashes.
 SAMPLE = 20_000
+#: Bytes of text whose statistics are computed at once: there are some twenty numbers for each byte.
+SLICE = 1 << 20
 #: Shrinkage of a class covariance towards the pooled one, and of that towards a multiple of the identity.
 TO_POOLED, TO_IDENTITY = 0.15, 0.02
 
@@ -88,7 +90,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for low, high, data, offsets in tx.slices(batch.column("text")):
+        for low, high, data, offsets in tx.slices(batch.column("text"), SLICE):
             x = np.ascontiguousarray(statistics(data, offsets))
             flat = pa.array(x.ravel())
             yield pa.RecordBatch.from_arrays(
@@ -155,7 +157,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in tx.slices(batch.column("text")):
+            for low, high, data, offsets in tx.slices(batch.column("text"), SLICE):
                 yield batch.slice(low, high - low).filter(pa.array(model.score(statistics(data, offsets)) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
