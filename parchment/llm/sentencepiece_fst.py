@@ -28,7 +28,7 @@ MARK = "▁"
 #: Where the public tokenizers are described to be; a parameter of every operator here.
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose encodings a worker remembers, and neighbour pairs; beyond that it starts anew.
-REMEMBERED, REMEMBERED_PAIRS = 600_000, 2_000_000
+REMEMBERED, REMEMBERED_PAIRS = 300_000, 1_000_000
 
 
 class _Words(dict):
