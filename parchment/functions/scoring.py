@@ -19,7 +19,7 @@ SCRIPTS = {
     "zh": r"[一-鿿㐀-䶿豈-﫿぀-ヿ가-힯]",
     "latin": r"[A-zÀ-ɏ]",
 }
-LANGUAGES = {"latin": ("en", "id", "ms", "vi", "fr", "es", "pt", "de", "tr"), "zh": ("zh", "ja", "ko"), "th": ("th",), "ar": ("ar",)}
+LANGUAGES = {"zh": ("zh", "ja", "ko"), "th": ("th",), "ar": ("ar",)}
 
 VALID = ("FORGED", "AUTHENTIC")
 
@@ -34,8 +34,7 @@ def script_of(text: Column) -> Column:
 def expected_script(language: Column) -> Column:
     out = F.lit("latin")
     for script, codes in LANGUAGES.items():
-        if script != "latin":
-            out = F.when(language.isin(*codes), script).otherwise(out)
+        out = F.when(language.isin(*codes), script).otherwise(out)
     return out
 
 
