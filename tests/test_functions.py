@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parchment.functions import geometry as g
 from parchment.functions import report as r
 from parchment.functions import scoring as s
+from parchment.functions.pytext import spaced_words
 from parchment.plans import registry
 
 
@@ -155,5 +156,17 @@ def test_script_searches_a_text_once_for_each_script(spark, tmp_path):
     assert plan.count("regexp_replace(") <= len(s.SCRIPTS) and plan.count("regexp_instr(") <= len(s.SCRIPTS)
 
 
+def test_words_are_counted_in_a_kernel(spark):
+    """What lies between blanks are the words, and no expression goes through them one by one."""
+    rng = random.Random(9)
+    texts = [("".join(rng.choice("aB1_é中٣Ⅷ²İſ ̈\u200b\x1c\u2028.-😀\n\t ") for _ in range(rng.randint(0, 20))),) for _ in range(400)]
+    frame = spark.createDataFrame(texts, "t string")
+    words = F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    for row in frame.select(words.alias("words"), spaced_words(F.col("t")).alias("spaced")).collect():
+        assert row.spaced.split() == row.words
+    plan = frame.select(s.token_f1(F.col("t"), F.lit("a b")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan and "array_sort(" not in plan
+
+
 def test_calibration():
     assert 0.5342 * s.calibration_factor() == pytest.approx(0.078471, abs=1e-6)
