@@ -13,6 +13,7 @@ from parchment.functions import report as r
 from parchment.functions import scoring as s
 from parchment.functions.pytext import spaced_words
 from parchment.plans import registry
+from parchment.plans import synthetic as syn
 
 
 def one(spark, column):
@@ -168,5 +169,20 @@ def test_words_are_counted_in_a_kernel(spark):
     assert "ArrowEvalPython" in plan and "aggregate(" not in plan and "array_sort(" not in plan
 
 
+def test_marks_are_tried_only_where_one_can_begin():
+    first = re.match(r"\(\?iU\)\(\?=(\[.*?[^\\]\])\)\(\?=", r.MARKS)
+    assert first, r.MARKS
+    for mark in ("[conclusion]", "Risk_score", "\n---", "\n### anomaly", "##summary", "# forgery analysis", "Detailed anomaly analysis", "End of report"):
+        assert re.match(first[1], mark[0].lower()), mark
+
+
+def test_letters_of_the_derived_view(spark):
+    """Spark's spelling of the view's two patterns keeps what DuckDB's keeps, with no range for Java to try."""
+    frame = spark.createDataFrame([("".join(map(chr, range(1, 0x250))),), (" a  b c   dé×÷ ",), ("x \n y",)], "t string")
+    told = lambda d: F.regexp_replace(F.regexp_replace("t", f"[^{d['letters']} ]", ""), d["spaces"], " ")
+    assert all(a == b for a, b in frame.select(told(syn.SPARK), told(syn.DUCKDB)).collect())
+    assert "-" not in syn.SPARK["letters"] and "[^A-Za-zÀ-ÿ ]" in syn.SPEC.format(**syn.DUCKDB)
+
+
 def test_calibration():
     assert 0.5342 * s.calibration_factor() == pytest.approx(0.078471, abs=1e-6)
