@@ -222,3 +222,11 @@ def test_inference_job(spark, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_mask_counts_make_rows_and_boxes_once(spark):
+    """No expression of the counts stands in the plan more than once: nested passes would make it again for each row."""
+    frame = spark.createDataFrame([([], [], 1, 1, 1, 1)], f"rows {masks.ROWS}, boxes array<struct<x1:int,y1:int,x2:int,y2:int>>, mw int, mh int, w int, h int")
+    out = frame.select(masks.counts(masks.resized(F.col("rows"), F.col("mw"), F.col("mh"), F.col("w"), F.col("h")), F.col("boxes")).alias("c"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("flatten(transform(filter(rows") == 1 and plan.count("filter(boxes") == 1 and "array_sort(" not in plan
