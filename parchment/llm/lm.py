@@ -39,8 +39,8 @@ WEIGHT = 16
 HELD = 750_000
 #: Rows whose logits are held at once, few enough for a processor's cache.
 ROWS_AT_ONCE = 1024
-#: Bytes of text that are scored at once.
-SCORED = 1 << 20
+#: Bytes of text that are scored at once, and those of an Arrow batch.
+SCORED, SENT_AT_ONCE = 1 << 20, 4 << 20
 #: The identity of the end of a text.
 END = np.uint64(0x0E0D)
 
@@ -322,7 +322,7 @@ def lm_scores(docs: DataFrame, vocabulary: int = VOCABULARY, sent: int = SENT) -
     """
     spark = docs.sparkSession
     given = docs.select("doc_id", "text")
-    with Workspace(spark) as ws:
+    with Workspace(spark) as ws, small_batches(spark, 10_000, SENT_AT_ONCE):
         train = given.where(~held_out("doc_id", 5, 1)).select("text")
         counts = ws.table(train.mapInArrow(_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
         total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()

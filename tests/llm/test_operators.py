@@ -195,6 +195,26 @@ def test_lm(spark, docs):
         assert r.score < 0
 
 
+def test_lm_takes_text_in_bounded_batches(spark, monkeypatch):
+    def bounded(f):
+        def checked(batches, *rest):
+            def each():
+                for batch in batches:
+                    if batch.nbytes > 6 << 20:
+                        raise ValueError(f"a batch of {batch.nbytes} bytes")
+                    yield batch
+
+            return f(each(), *rest)
+
+        return checked
+
+    for name in ("_words", "_ngrams", "_score"):
+        monkeypatch.setattr(lm, name, bounded(getattr(lm, name)))
+    rows = spark.range(3000).coalesce(1).selectExpr("id AS doc_id", "repeat(concat('w', id % 50, ' '), 2000) AS text")
+    got = lm.lm_scores(rows, vocabulary=20, sent=100)
+    assert got.count() == 3000 and got.select("n_tokens").distinct().collect() == [(2001,)]
+
+
 def test_lm_beats_word_frequencies(spark):
     """On held-out documents whose words follow from the word before, by 0.2 log10 a token at least; and against sums over the whole vocabulary."""
     rng = random.Random(6)
