@@ -4,11 +4,13 @@ import collections
 import random
 import re
 import time
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from parchment.functions import geometry as g
+from parchment.functions import pytext
 from parchment.functions import report as r
 from parchment.functions import scoring as s
 from parchment.functions.pytext import spaced_words
@@ -186,3 +188,38 @@ def test_letters_of_the_derived_view(spark):
 
 def test_calibration():
     assert 0.5342 * s.calibration_factor() == pytest.approx(0.078471, abs=1e-6)
+
+
+def test_white_space_and_words_as_in_plain_python(spark):
+    rng = random.Random(11)
+    signs = ["a", "Z", "é", "ÿ", "ª", "²", "_", "-", "×", "字", "ไ", "٣", "~", "!", "\x7f", "𝒳", "  ", " ", *pytext.BLANKS]
+    texts = ["", *("".join(rng.choice(signs) for _ in range(rng.randint(1, 14))) for _ in range(3000)), *("ab cd" + b + "e" for b in pytext.BLANKS), *(b + "x" + b for b in pytext.BLANKS)]
+    t = F.col("t")
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select("t", pytext.strip(t).alias("s"), pytext.collapse(t).alias("c"), pytext.filled(t).alias("f"), pytext.spaced_words(t).alias("w")).collect()
+    blank = re.compile(f"[{re.escape(pytext.BLANKS)}]+")
+    for r in got:
+        assert r.s == r.t.strip(pytext.BLANKS)
+        assert r.c == blank.sub(" ", r.t).strip(" ")
+        assert r.f == (r.s != "")
+        assert r.w.split(" ") == re.sub("\0+", " ", "".join(c if c in " _" or unicodedata.category(c)[0] in "LN" else "\0" for c in r.t.lower())).split(" ")
+
+
+def test_even_text_is_not_rewritten(spark):
+    texts = spark.range(40).coalesce(1).select(F.repeat(F.concat(F.lit(" uninterrupted"), F.col("id").cast("string")), 50_000).alias("t"))
+    kept = texts.localCheckpoint()
+
+    def took(c):
+        began = time.perf_counter()
+        kept.agg(F.max(F.octet_length(c))).collect()
+        return time.perf_counter() - began
+
+    plain, quick = (min(took(c) for _ in range(3)) for c in (F.btrim(F.regexp_replace("t", rf"(?U)[{pytext.WS}]+", " "), F.lit(pytext.BLANKS)), pytext.collapse(F.col("t"))))
+    assert quick < 0.7 * plain
+    # a script is counted only where there is more than one to choose from
+    assert kept.limit(1).select(s.script_of(F.col("t"))).first()[0] == "latin"
+
+
+def test_script_of_is_that_of_best_script(spark):
+    texts = ["", "12 3", "abc", "é", "ɏ", "ɐ", "字", "a字", "字a", "ab字", "ไทa", "12ء", "Σ", "a Σ", "[", "`1"]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", s.script_of(F.col("t")).alias("s"), s.best_script(F.col("t")).alias("b")).collect()
+    assert all(r.s == (r.b.script if r.b.n > 0 else "other") for r in rows)
