@@ -85,3 +85,48 @@ def test_one_scan_a_text(spark):
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 2
     assert plan.count("</report>") == 2
+
+
+def output_alone(raw, error):
+    """A record without sizes, each tag and mark searched for alone."""
+    if error:
+        return (None, None, None, None, None, error)
+    raw = raw or ""
+    think, wrapped = (re.search(rf"<{t}>(.*?)</{t}>", raw, I | S) for t in ("think", "report"))
+    report = (wrapped.group(1) if wrapped else raw[think.end() :] if think else raw).strip() or raw.strip()
+    label, risk = ALONE["conclusion"].search(report), re.search(r"\[risk[_\s]?score\][:*\s]*([0-9]+)", report, I)
+    label = "UNKNOWN" if label is None else "FORGED" if label.group(1).lower() == "forged" else "AUTHENTIC"
+    risk = min(100, int(risk.group(1))) if risk else 80 if label == "FORGED" else 0
+    boxes = [[round(float(x)) for x in re.findall(r"-?\d+(?:\.\d+)?", m.group(1))][:4] for m in ALONE["box"].finditer(report)]
+    return (report, think.group(1).strip() if think else "", bool(think), bool(wrapped), (label, risk, [b if len(b) >= 4 else None for b in boxes]), None)
+
+
+TAGS = ["<think>", "</think>", "<report>", "</report>", "<THINK>", "</Thınk>", "<REPORT>", "</Report>", "<", "</", ">", "</thin", "think>", "　", "é ", "[Risk score]: 007", "[risk_score]:** 250", "[grounding]: [9, 8, -1.5, 2.4, 7]"]
+
+
+def test_record_is_searching(spark):
+    rng = random.Random(12)
+    texts = [None, "", "<think></think>", "<report> </report> ", "<think>a</think> \n", "</think><think>", "<report><think>a</report>b</think>c"]
+    texts += ["".join(rng.choice(TAGS if rng.random() < 0.6 else FRAGMENTS) for _ in range(rng.randint(1, 16))) for _ in range(4000)]
+    rows = [(i, t, "late" if i % 50 == 49 else "" if i % 2 else None) for i, t in enumerate(texts)]
+    none = F.lit(None).cast("int")
+    frame = spark.createDataFrame(rows, "i int, t string, e string").select("i", "e", report.record(F.col("t"), F.col("e"), none, none).alias("r"))
+    for i, e, r in frame.collect():
+        told = r.parsed and (r.parsed.conclusion, r.parsed.risk_score, [a.grounding for a in r.parsed.anomalies])
+        assert (r.raw_output, r.thinking, r.has_think_tag, r.has_report_tag, told, r.error) == output_alone(texts[i], e), repr(texts[i])
+        assert r.raw_output_full == (None if r.error else texts[i] or "")
+
+
+def test_record_takes_each_step_once(spark):
+    """The plan of a record has each search of a whole text once: pairs of tags, verdict and score, and groundings as tags, gaps and anomalies."""
+    frame = spark.createDataFrame([("a", "b", 1, 2)], "t string, e string, w int, h int").select(report.record(F.col("t"), F.col("e"), F.col("w"), F.col("h")).alias("r")).select("r.error", "r.parsed.conclusion", "r.raw_output")
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(p) for p in (report.WRAPPED, report.THINKING, report.CONCLUSION, report.RISK_BRACKETED, report.GROUNDING)] == [1, 2, 1, 1, 3]
+
+
+@pytest.mark.parametrize("unit", ["<", "word <", "</", "<think"])
+def test_long_outputs(spark, unit):
+    """Long outputs of opening signs end, and give what stands between the tags."""
+    n = 100_000
+    p = spark.createDataFrame([("<think>" + unit * n + "</think><report>" + unit * n + "x</report>",)], "t string").select(report.split_output(F.col("t")).alias("p")).first().p
+    assert (p.thinking, p.report) == (unit * n, unit * n + "x")
